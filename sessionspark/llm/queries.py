@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
-from . import decontamination
+from . import decontamination, kdtree, mixing, sharding, simhash, tokenfile, unigram
 
 
 def queries() -> dict:
-    return {"op1_winnowing": decontamination.op1_winnowing}
+    return {
+        "op1_winnowing": decontamination.op1_winnowing,
+        "op3_splitting_tree": mixing.op3_splitting_tree,
+        "op6_kd_trees": kdtree.op6_kd_trees,
+        "op7_simhash_tiles": simhash.op7_simhash_tiles,
+        "op8_feistel_shards": sharding.op8_feistel_shards,
+        "op9_zstd_token_file": tokenfile.op9_zstd_token_file,
+        "op10_unigram_viterbi": unigram.op10_unigram_viterbi,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_winnowing": decontamination.ORACLE}
+    return {"op1_winnowing": decontamination.ORACLE, "op6_kd_trees": kdtree.ORACLE}
