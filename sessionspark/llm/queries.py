@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import decontamination, kdtree, mixing, sharding, simhash, tokenfile, unigram
+from . import decontamination, kdtree, langid, merkle, mixing, quotations, sharding, simhash, tokenfile, unigram
 
 
 def queries() -> dict:
     return {
         "op1_winnowing": decontamination.op1_winnowing,
+        "op2_merkle_fixity": merkle.op2_merkle_fixity,
         "op3_splitting_tree": mixing.op3_splitting_tree,
+        "op4_language_crf": langid.op4_language_crf,
+        "op5_quotation_links": quotations.op5_quotation_links,
         "op6_kd_trees": kdtree.op6_kd_trees,
         "op7_simhash_tiles": simhash.op7_simhash_tiles,
         "op8_feistel_shards": sharding.op8_feistel_shards,
@@ -18,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_winnowing": decontamination.ORACLE, "op6_kd_trees": kdtree.ORACLE}
+    return {"op1_winnowing": decontamination.ORACLE, "op2_merkle_fixity": merkle.ORACLE, "op5_quotation_links": quotations.ORACLE, "op6_kd_trees": kdtree.ORACLE}
