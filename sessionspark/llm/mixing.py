@@ -18,6 +18,7 @@ equal rows are rows of their own; an empty table gives empty results.
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -99,10 +100,13 @@ def plan(totals: list[tuple[str | None, int]], n_shards: int, seed: int, weights
     return pd.DataFrame({"source": names, "src": range(len(names)), "source_size": sizes, "target": wanted, "block_words": words, "n_blocks": blocks, "epochs": epochs, "rest": rest, "ends": list(ends)})
 
 
-def mix(docs: DataFrame, *, keys: list[str], source: str = "source", text: str = "text", n_shards: int = 24, seed: int = 0, weights: dict | None = None) -> tuple[DataFrame, DataFrame]:
-    """(rows, drawn): rows has row_key, keys, source, size, source_size and target of every document; drawn has row_key, epoch, shard, order_key, from_word and n_words of each piece of a drawn block."""
+def mix(docs: DataFrame, *, keys: list[str], source: str = "source", text: str = "text", n_shards: int = 24, seed: int = 0, weights: dict | None = None, order: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows, drawn): rows has row_key, keys, source, size, source_size and target of every document; drawn has row_key, epoch, shard, order_key, from_word and n_words of each piece of a drawn block.
+
+    The stream's order is a hash of the columns in order (keys, if not given) and the text.
+    """
     spark = docs.sparkSession
-    hashed = docs.select(*keys, F.col(source).cast("string").alias("_source"), F.xxhash64(*keys, F.xxhash64(text), F.lit(seed)).alias("_hash"), F.col(text).alias("_text"))
+    hashed = docs.select(*keys, F.col(source).cast("string").alias("_source"), F.xxhash64(*(order or keys), F.xxhash64(text), F.lit(seed)).alias("_hash"), F.col(text).alias("_text"))
     rows, _ = textio.save(word_counts(hashed, keys=[*keys, "_source", "_hash"], text="_text").withColumn("row_key", F.monotonically_increasing_id()), "sizes")
     totals = sorted(((r[0], r[1]) for r in rows.groupBy("_source").agg(F.sum("size")).collect()), key=lambda t: (t[0] is None, t[0] or ""))
     planned = [(r.source, *(int(x) for x in (r.src, r.source_size)), float(r.target), *(int(x) for x in (r.block_words, r.n_blocks, r.epochs, r.rest)), [int(x) for x in r.ends]) for r in plan(totals, n_shards, seed, weights).itertuples(index=False)]
@@ -134,13 +138,11 @@ def mix(docs: DataFrame, *, keys: list[str], source: str = "source", text: str =
 
 def _cut(frames: Iterator[pd.DataFrame], text: str) -> Iterator[pd.DataFrame]:
     """Texts reduced to their drawn runs of words; a whole text stays as it is."""
-    import re
-
     word = re.compile("[^\x20\x09-\x0d]+")
     for f in frames:
-        out = []
+        out: list[str] = []
         for t, size, runs in zip(f[text], f["_size"], f["_runs"], strict=True):
-            at, merged = 0, []
+            merged: list[list[int]] = []
             for r in runs:
                 if merged and r["from_word"] == merged[-1][1]:
                     merged[-1][1] += r["n_words"]
@@ -151,15 +153,14 @@ def _cut(frames: Iterator[pd.DataFrame], text: str) -> Iterator[pd.DataFrame]:
                 continue
             spans = [m.span() for m in word.finditer(t)]
             out.append("\n".join(t[spans[a][0] : spans[b - 1][1]] for a, b in merged))
-            at += 1
         yield f.assign(**{text: out}).drop(columns=["_size", "_runs"])
 
 
-def mixed_documents(docs: DataFrame, *, keys: list[str], source: str = "source", text: str = "text", **how) -> DataFrame:
+def mixed_documents(docs: DataFrame, *, key: str = "doc_id", source: str = "source", text: str = "text", **how) -> DataFrame:
     """The mix as documents with the columns of docs: a row for each pass that draws words of a document, with those words."""
     columns = docs.columns
     kept, _ = textio.save(docs.withColumn("_row", F.monotonically_increasing_id()), "documents")
-    rows, drawn = mix(kept, keys=["_row"], source=source, text=text, **how)
+    rows, drawn = mix(kept, keys=["_row"], order=[key], source=source, text=text, **how)
     runs = drawn.join(rows.select("row_key", "_row", F.col("size").alias("_size")), "row_key").groupBy("_row", "epoch", "_size").agg(F.array_sort(F.collect_list(F.struct("from_word", "n_words"))).alias("_runs"))
     joined = kept.join(runs.drop("epoch"), "_row").select(*columns, "_size", "_runs")
     out = joined.mapInPandas(lambda frames: _cut(frames, text), docs.schema)

@@ -162,14 +162,14 @@ def near_links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def group_near_duplicates(docs: DataFrame, *, keys: list[str], key: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
-    """keys, fp and component_id (the least key of the group) of every row."""
+    """keys, fp, label (of the group) and component_id (the group's least key) of every row."""
     rows, _ = textio.save(fingerprint(docs, keys=keys, text=text), "fingerprints")
     distinct, _ = textio.save(rows.groupBy("fp").agg(F.min(key).alias("least")), "distinct")
     labels = connected_components(near_links(distinct, radius))
     labelled = distinct.join(labels, distinct.fp == labels.node, "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
     labelled, _ = textio.save(labelled, "labelled")
     groups = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
-    return rows.join(labelled.select("fp", "label").join(groups, "label").select("fp", "component_id"), "fp", "left").select(*keys, "fp", "component_id")
+    return rows.join(labelled.select("fp", "label").join(groups, "label"), "fp", "left").select(*keys, "fp", "label", "component_id")
 
 
 def op7_simhash_tiles(spark, sf_dir: str) -> DataFrame:
