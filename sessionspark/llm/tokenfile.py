@@ -1,7 +1,7 @@
 """Token-id files with a shared zstandard dictionary.
 
-A dictionary is trained on a bounded sample: the first SAMPLE_BYTES characters of the SAMPLE_DOCS texts with the least
-hash, serialized as ids. Documents are sorted by id over range partitions; each task encodes its documents, compresses
+A dictionary is trained on a bounded sample: the first SAMPLE_CHARS characters of about SAMPLE_DOCS texts that a hash of
+the id picks (8 times as many at most, where ids repeat), serialized as ids. Documents are sorted by id over range partitions; each task encodes its documents, compresses
 the little-endian 32-bit ids of each document on its own, and writes blocks of about BLOCK_BYTES. A block is a row of a
 Parquet table: the frames one after the other, their offsets, document ids and token counts, the ids written before it in
 its partition, and the dictionary's SHA-256. A reader finds a document by its block's id range and slices its frame.
@@ -129,8 +129,12 @@ def train_dictionary(samples: list[bytes]) -> bytes:
 
 
 def _sample_dictionary(docs: DataFrame, key: str, text: str, tokenizer: str, end_id: int) -> bytes:
-    rows = docs.where(F.col(text).isNotNull()).select(F.xxhash64(key).alias("h"), F.substring(text, 1, SAMPLE_CHARS).alias("t")).orderBy("h", "t").limit(SAMPLE_DOCS).collect()
-    ids = Encoder(tokenizer).encode([r.t for r in rows])
+    """A dictionary of about SAMPLE_DOCS documents, each taken where a hash of its id is under the share that gives so many."""
+    rows = docs.where(F.col(text).isNotNull())
+    share = min(1.0, SAMPLE_DOCS / max(1, rows.count()))
+    h = F.shiftrightunsigned(F.xxhash64(key, F.lit(9)), 11).cast("double") / float(1 << 53)
+    picked = rows.where(h < share).select(F.substring(text, 1, SAMPLE_CHARS).alias("t")).limit(8 * SAMPLE_DOCS).collect()
+    ids = Encoder(tokenizer).encode(sorted(r.t for r in picked))
     return train_dictionary([np.append(x, np.uint32(end_id)).astype("<u4").tobytes() for x in ids])
 
 
