@@ -36,78 +36,127 @@ LEVEL = 3
 BLOCKS = "part int, block int, doc_ids array<bigint>, n_tokens array<bigint>, offsets array<bigint>, start_in_part long, n_ids long, payload binary, dictionary string"
 
 
+#: Bytes after a space before which a text is cut: ASCII but for white space, and all that cannot begin white space.
+_AFTER_CUT = np.ones(256, bool)
+_AFTER_CUT[[*range(9, 14), *range(28, 33), 0xC2, 0xE1, 0xE2, 0xE3]] = False
+_AS_IS = np.arange(256, dtype=np.uint8)
+
+
 class Encoder:
-    """Ids of texts by the tokenizers library, with a bounded cache of pieces."""
+    """Ids of texts by the tokenizers library, with a bounded cache of pieces, kept by 64-bit hashes.
+
+    Only pieces of at most LONGEST bytes are kept: below a kilobyte the hash has no structural collisions.
+    """
 
-    CACHE, LONGEST, JOINED = 400_000, 64, 512
+    CACHE, LONGEST, JOINED, FRESH = 4_000_000, 64, 512, 1 << 18
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.tokenizer.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, trim_offsets=False, use_regex=True)
+        self.plain, self.parted = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.plain.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.mark = next(t.content for t in self.parted.get_added_tokens_decoder().values() if t.special)
+        self.mark_id = self.parted.token_to_id(self.mark)
         self._clear()
 
     def _clear(self) -> None:
-        self.known: dict[str, int] = {}
+        # Hashes and numbers of the pieces kept, sorted by hash: a large table, and a small one of those added of late.
+        self.known = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))] * 2
         self.ids, self.used = np.zeros(1 << 20, np.uint32), 0
         self.first, self.length, self.n = np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int64), 0
 
-    @staticmethod
-    def cut(text: str) -> list[str]:
-        """Pieces of a text: each but the first starts with a space before a non-space."""
-        parts = text.split(" ")
-        out = [parts[0]]
-        for p in parts[1:]:
-            if p and not p[0].isspace():
-                out.append(" " + p)
-            else:
-                out[-1] += " " + p
+    def _encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces, one after the other, and their counts: many at a time, parted by a special token that none holds."""
+        joined = [i for i, p in enumerate(pieces) if self.mark not in p]
+        alone = [i for i, p in enumerate(pieces) if self.mark in p]
+        ids, counts = [], []
+        groups = [joined[i : i + self.JOINED] for i in range(0, len(joined), self.JOINED)]
+        for group, e in zip(groups, self.parted.encode_batch_fast([self.mark.join([*(pieces[i] for i in g), ""]) for g in groups], add_special_tokens=False), strict=True):
+            x = np.array(e.ids, np.uint32)
+            ends = np.flatnonzero(x == self.mark_id)
+            ids.append(np.delete(x, ends))
+            counts.append(np.diff(ends, prepend=-1) - 1)
+            if len(ends) != len(group):
+                raise ValueError("the special token doesn't part the pieces")
+        for i in alone:
+            ids.append(np.array(self.plain.encode(pieces[i], add_special_tokens=False).ids, np.uint32))
+            counts.append(np.array([len(ids[-1])]))
+        order = np.array(joined + alone, np.int64)
+        n, flat = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (counts, ids))
+        first = np.zeros(len(pieces), np.int64)
+        first[order], count = np.cumsum(n) - n, np.zeros(len(pieces), np.int64)
+        count[order] = n
+        return flat, np.stack([first, count])
+
+    def _add(self, pieces: list[str]) -> int:
+        """Store the ids of pieces; returns the first one's number."""
+        flat, (first, count) = self._encode(pieces)
+        while self.used + len(flat) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while self.n + len(pieces) > len(self.first):
+            self.first, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.length))
+        self.ids[self.used : self.used + len(flat)] = flat
+        self.first[self.n : self.n + len(pieces)], self.length[self.n : self.n + len(pieces)] = first + self.used, count
+        self.used, self.n = self.used + len(flat), self.n + len(pieces)
+        return self.n - len(pieces)
+
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        """Numbers of the pieces with these hashes, -1 where there is none."""
+        out = np.full(len(h), -1, np.int64)
+        for keys, numbers in self.known:
+            if len(keys):
+                at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+                hit = keys[at] == h
+                out[hit] = numbers[at[hit]]
         return out
 
-    def _add(self, pieces: list[str]) -> None:
-        """Encode new pieces: those with a cut before them many at a time, told apart by their offsets."""
-        joined = [p for p in pieces if p[:1] == " " and len(p) > 1 and not p[1].isspace()]
-        alone = [p for p in pieces if not (p[:1] == " " and len(p) > 1 and not p[1].isspace())]
-        groups = [joined[i : i + self.JOINED] for i in range(0, len(joined), self.JOINED)] + [[p] for p in alone]
-        for group, e in zip(groups, self.tokenizer.encode_batch(["".join(g) for g in groups], add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, np.uint32)
-            if len(group) == 1:
-                counts = np.array([len(ids)])
-            else:
-                ends = np.cumsum([len(p) for p in group])
-                counts = np.bincount(np.searchsorted(ends, np.array([a for a, _ in e.offsets], np.int64), "right"), minlength=len(group))
-            while self.used + len(ids) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-            while self.n + len(group) > len(self.first):
-                self.first, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.length))
-            self.ids[self.used : self.used + len(ids)] = ids
-            self.first[self.n : self.n + len(group)] = self.used + np.cumsum(counts) - counts
-            self.length[self.n : self.n + len(group)] = counts
-            for k, p in enumerate(group, self.n):
-                self.known[p] = k
-            self.used += len(ids)
-            self.n += len(group)
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+    def _keep(self, h: np.ndarray, numbers: np.ndarray) -> None:
+        """Keep pieces with new hashes (sorted)."""
+
+        def merged(a, b):
+            at = np.searchsorted(a[0], b[0])
+            return np.insert(a[0], at, b[0]), np.insert(a[1], at, b[1])
+
+        large, small = self.known
+        small = merged(small, (h, numbers))
+        if len(small[0]) > self.FRESH:
+            large, small = merged(large, small), (small[0][:0], small[1][:0])
+        self.known = [large, small]
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all rows of a piece of a text column, and where each row's begin and end."""
         if self.n > self.CACHE:
             self._clear()
-        cut = [self.cut(t) if t else [] for t in texts]
-        flat = [p for c in cut for p in c]
-        new = list({p for p in flat if p not in self.known})
-        if new:
-            self._add(new)
-        at = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
-        for p in new:  # long pieces aren't kept
-            if len(p) > self.LONGEST:
-                del self.known[p]
-        n = self.length[at]
-        ends = np.cumsum(n)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self.ids[np.repeat(self.first[at] - (ends - n), n) + np.arange(total)]
-        bounds = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum([len(c) for c in cut])))] if texts else [0]
-        return [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        cut = np.zeros(len(data) + 1, bool)
+        cut[:-2] = (data[:-1] == 32) & _AFTER_CUT[data[1:]] if len(data) else False
+        full = np.flatnonzero(np.diff(offsets))
+        cut[offsets[full]] = True
+        cut[-1] = True
+        at = np.flatnonzero(cut)
+        starts, ends = at[:-1], at[1:]
+        number = np.empty(len(starts), np.int64)
+        text = data.tobytes()
+        long = np.flatnonzero(ends - starts > self.LONGEST)
+        short = np.flatnonzero(ends - starts <= self.LONGEST)
+        h, one, same = np.unique(textio.span_hashes(data, starts[short], ends[short], _AS_IS), return_index=True, return_inverse=True)
+        found = self._find(h)
+        new = np.flatnonzero(found < 0)
+        a, b = starts[short[one[new]]].tolist(), ends[short[one[new]]].tolist()
+        begin = self._add([text[x:y].decode() for x, y in zip(a, b, strict=True)])
+        found[new] = np.arange(begin, self.n)
+        self._keep(h[new], found[new])
+        number[short] = found[same]
+        begin = self._add([text[x:y].decode() for x, y in zip(starts[long].tolist(), ends[long].tolist(), strict=True)])
+        number[long] = np.arange(begin, self.n)
+        n = self.length[number]
+        last = np.cumsum(n)
+        ids = self.ids[np.repeat(self.first[number] - (last - n), n) + np.arange(int(last[-1]) if len(last) else 0)]
+        return ids, np.concatenate(([0], last))[np.searchsorted(starts, offsets)]
+
+    def encode_texts(self, texts: list[str]) -> list[np.ndarray]:
+        raw = [t.encode() for t in texts]
+        ids, bounds = self.encode(np.frombuffer(b"".join(raw), np.uint8), np.concatenate(([0], np.cumsum([len(r) for r in raw]))).astype(np.int64))
+        return [ids[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -134,7 +183,7 @@ def _sample_dictionary(docs: DataFrame, key: str, text: str, tokenizer: str, end
     share = min(1.0, SAMPLE_DOCS / max(1, rows.count()))
     h = F.shiftrightunsigned(F.xxhash64(key, F.lit(9)), 11).cast("double") / float(1 << 53)
     picked = rows.where(h < share).select(F.substring(text, 1, SAMPLE_CHARS).alias("t")).limit(8 * SAMPLE_DOCS).collect()
-    ids = Encoder(tokenizer).encode(sorted(r.t for r in picked))
+    ids = Encoder(tokenizer).encode_texts(sorted(r.t for r in picked))
     return train_dictionary([np.append(x, np.uint32(end_id)).astype("<u4").tobytes() for x in ids])
 
 
@@ -162,10 +211,11 @@ def write_tokens(docs: DataFrame, path: str, *, tokenizer: str, key: str = "doc_
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types, strict=True)], names=names)
 
         for batch in batches:
-            sizes = np.concatenate(([0], np.cumsum([len(x) if x else 0 for x in batch.column(1).to_pylist()])))
-            for i, j in textio.pieces(sizes):
-                for k, ids in zip(batch.column(0).slice(i, j - i).to_pylist(), enc.encode(batch.column(1).slice(i, j - i).to_pylist()), strict=True):
-                    raw = np.append(ids, np.uint32(end_id)).astype("<u4").tobytes()
+            data, offsets = textio.utf8(batch.column(1))
+            for i, j in textio.pieces(offsets):
+                ids, bounds = enc.encode(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                for k, a, b in zip(batch.column(0).slice(i, j - i).to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                    raw = np.append(ids[a:b], np.uint32(end_id)).astype("<u4").tobytes()
                     frames.append(packer.compress(raw))
                     keys.append(k)
                     counts.append(len(raw) // 4)
