@@ -189,7 +189,9 @@ def sample(docs: DataFrame, *, key: str, text: str, label: str, per_label: int =
     n = rows.groupBy(label).count().withColumn("_share", F.lit(per_label) / F.col("count"))
     h = F.shiftrightunsigned(F.xxhash64(key, F.lit(7)), 11).cast("double") / float(1 << 53)
     begin = F.pmod(F.xxhash64(key), F.greatest(F.length(text) - SAMPLE_CHARS, F.lit(0)) + 1) + 1
-    picked = rows.join(n.select(F.col(label).alias("_label"), "_share"), F.col(label) == F.col("_label")).where(h < F.col("_share"))
+    # A row for each label: a model holds TABLE weights for each, so a table that couldn't be broadcast has no model.
+    shares = F.broadcast(n.select(F.col(label).alias("_label"), "_share"))
+    picked = rows.join(shares, F.col(label) == F.col("_label")).where(h < F.col("_share"))
     return sorted((r.t, r.l) for r in picked.select(F.substring(F.col(text), begin.cast("int"), F.lit(SAMPLE_CHARS)).alias("t"), F.col(label).alias("l")).collect())
 
 
