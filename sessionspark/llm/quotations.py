@@ -64,16 +64,14 @@ def link_quotations(messages: DataFrame, *, conv: str = "conv_id", turn: str = "
     quotes = lines.select("c", "t", F.explode("quoted").alias("line")).join(origins, ["c", "line"]).where("origin < t")
     parents = quotes.groupBy("c", "t").agg(F.max("origin").alias("parent"))
     # Pointer doubling: up is the farthest ancestor known, far the steps to it.
-    nodes, path = textio.save(parents.select("c", "t", F.col("parent").alias("up"), F.lit(1).cast("long").alias("far"), "parent"), "replies")
-    while True:
+    nodes, path = textio.save(parents.select("c", "t", F.col("parent").alias("up"), F.lit(1).cast("long").alias("far"), "parent", F.lit(False).alias("done")), "replies")
+    while nodes.where("not done").limit(1).count():
+        # Only nodes that haven't reached a root go on; one long conversation doesn't make all others join again.
         ends = nodes.select("c", F.col("t").alias("up"), F.col("up").alias("_up"), F.col("far").alias("_far"))
-        grown = nodes.join(ends, ["c", "up"], "left").select("c", "t", F.coalesce("_up", "up").alias("up"), (F.col("far") + F.coalesce("_far", F.lit(0))).alias("far"), "parent", F.col("_up").isNotNull().alias("moved"))
-        grown, new_path = textio.save(grown, "replies")
+        moved = nodes.where("not done").join(ends, ["c", "up"], "left").select("c", "t", F.coalesce("_up", "up").alias("up"), (F.col("far") + F.coalesce("_far", F.lit(0))).alias("far"), "parent", F.col("_up").isNull().alias("done"))
+        nodes, new_path = textio.save(nodes.where("done").unionByName(moved), "replies")
         textio.drop(messages.sparkSession, path)
         path = new_path
-        nodes = grown.drop("moved")
-        if not grown.where("moved").limit(1).count():
-            break
     links = nodes.select(F.col("c").alias("_c"), F.col("t").alias("_t"), "parent", "up", "far")
     joined = parsed.join(links, (F.col(conv) == F.col("_c")) & (F.col(turn) == F.col("_t")), "left")
     return joined.select(conv, turn, *keep, F.col("parent").alias("parent_turn"), F.coalesce("up", F.col(turn)).alias("root_turn"), F.coalesce("far", F.lit(0).cast("long")).alias("depth"), "n_quoted", "max_level", "clean_text")
