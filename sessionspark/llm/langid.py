@@ -19,6 +19,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -183,8 +184,8 @@ def train(samples: list[tuple[str, str]], seed: int = 0) -> Model:
     return model
 
 
-def sample(docs: DataFrame, *, key: str, text: str, label: str, per_label: int = PER_LABEL) -> list[tuple[str, str]]:
-    """About per_label (text, label) rows of each label, with a bounded part of each text, in a fixed order."""
+def sample(docs: DataFrame, *, key: str, text: str, label: str, per_label: int = PER_LABEL) -> DataFrame:
+    """About per_label (text, label) rows of each label, with a bounded part of each text."""
     rows = docs.where(F.col(label).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull())
     n = rows.groupBy(label).count().withColumn("_share", F.lit(per_label) / F.col("count"))
     h = F.shiftrightunsigned(F.xxhash64(key, F.lit(7)), 11).cast("double") / float(1 << 53)
@@ -192,7 +193,7 @@ def sample(docs: DataFrame, *, key: str, text: str, label: str, per_label: int =
     # A row for each label: a model holds TABLE weights for each, so a table that couldn't be broadcast has no model.
     shares = F.broadcast(n.select(F.col(label).alias("_label"), "_share"))
     picked = rows.join(shares, F.col(label) == F.col("_label")).where(h < F.col("_share"))
-    return sorted((r.t, r.l) for r in picked.select(F.substring(F.col(text), begin.cast("int"), F.lit(SAMPLE_CHARS)).alias("t"), F.col(label).alias("l")).collect())
+    return picked.select(F.substring(F.col(text), begin.cast("int"), F.lit(SAMPLE_CHARS)).alias("text"), F.col(label).alias("label"))
 
 
 def identify(docs: DataFrame, model: Model, *, keys: list[str], text: str = "text", runs: bool = False) -> DataFrame:
@@ -241,8 +242,20 @@ def held_out(key: str = "doc_id") -> Column:
 
 
 def fit(docs: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "lang") -> Model:
-    """A model from the rows that aren't held out."""
-    return train(sample(docs.where(~held_out(key)), key=key, text=text, label=label))
+    """A model from the rows that aren't held out. One task trains on the bounded sample; the driver gets the weights."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = sorted(pair for f in frames for pair in zip(f["text"], f["label"], strict=True))
+        m = train(rows)
+        yield pd.DataFrame({"labels": [m.labels], "weights": [m.weights.tobytes()], "transition": [m.transition.tobytes()]})
+
+    picked = sample(docs.where(~held_out(key)), key=key, text=text, label=label)
+    row = picked.repartition(1).mapInPandas(run, "labels array<string>, weights binary, transition binary").first()
+    model = Model(list(row.labels) if row else [])
+    if model.labels:
+        model.weights = np.frombuffer(row.weights, np.float32).reshape(TABLE, -1)
+        model.transition = np.frombuffer(row.transition, np.float32).reshape(len(model.labels), -1)
+    return model
 
 
 def op4_language_crf(spark, sf_dir: str) -> DataFrame:

@@ -48,7 +48,7 @@ class Encoder:
     Only pieces of at most LONGEST bytes are kept: below a kilobyte the hash has no structural collisions.
     """
 
-    CACHE, LONGEST, JOINED, FRESH = 4_000_000, 64, 512, 1 << 18
+    CACHE, LONGEST, JOINED, FRESH = 1_500_000, 64, 512, 1 << 18
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -182,9 +182,14 @@ def _sample_dictionary(docs: DataFrame, key: str, text: str, tokenizer: str, end
     rows = docs.where(F.col(text).isNotNull())
     share = min(1.0, SAMPLE_DOCS / max(1, rows.count()))
     h = F.shiftrightunsigned(F.xxhash64(key, F.lit(9)), 11).cast("double") / float(1 << 53)
-    picked = rows.where(h < share).select(F.substring(text, 1, SAMPLE_CHARS).alias("t")).limit(8 * SAMPLE_DOCS).collect()
-    ids = Encoder(tokenizer).encode_texts(sorted(r.t for r in picked))
-    return train_dictionary([np.append(x, np.uint32(end_id)).astype("<u4").tobytes() for x in ids])
+    picked = rows.where(h < share).select(F.substring(text, 1, SAMPLE_CHARS).alias("t")).limit(8 * SAMPLE_DOCS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = encoder(tokenizer).encode_texts(batch.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array([np.append(x, np.uint32(end_id)).astype("<u4").tobytes() for x in ids], pa.binary())], names=["ids"])
+
+    return train_dictionary(sorted(bytes(r.ids) for r in picked.mapInArrow(run, "ids binary").collect()))
 
 
 def write_tokens(docs: DataFrame, path: str, *, tokenizer: str, key: str = "doc_id", text: str = "text", end_id: int = 2) -> bytes:
