@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from . import textio
 
 CHAIN, TABLE = 64, 1 << 18
-PER_LABEL, SAMPLE_CHARS, MIXED, EPOCHS, BATCH, RATE, DECAY = 400, 2048, 3, 4, 64, 0.2, 1e-4
+PER_LABEL, SAMPLE_CHARS, MIXED, EPOCHS, BATCH, RATE, DECAY = 200, 2048, 3, 4, 64, 0.2, 1e-4
 
 ASCII_LETTERS = np.zeros(256, bool)
 ASCII_LETTERS[65:91] = ASCII_LETTERS[97:123] = True
@@ -61,7 +61,7 @@ def word_features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tup
     where.append(at + wide - 1)
     where = np.concatenate(where)
     order = np.argsort(where, kind="stable")
-    slots = (textio.mix(np.concatenate(grams))[order] >> np.uint64(64 - 18)).astype(np.int64)
+    slots = (textio.mix(np.concatenate(grams))[order] >> np.uint64(64 - 18)).astype(np.int32)
     return slots, np.searchsorted(where[order], at)
 
 

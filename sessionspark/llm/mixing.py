@@ -136,24 +136,21 @@ def mix(docs: DataFrame, *, keys: list[str], source: str = "source", text: str =
     return rows.select("row_key", *keys, "source", "size", "source_size", "target"), drawn
 
 
-def _cut(frames: Iterator[pd.DataFrame], text: str) -> Iterator[pd.DataFrame]:
-    """Texts reduced to their drawn runs of words; a whole text stays as it is."""
-    word = re.compile("[^\x20\x09-\x0d]+")
-    for f in frames:
-        out: list[str] = []
-        for t, size, runs in zip(f[text], f["_size"], f["_runs"], strict=True):
-            merged: list[list[int]] = []
-            for r in runs:
-                if merged and r["from_word"] == merged[-1][1]:
-                    merged[-1][1] += r["n_words"]
-                else:
-                    merged.append([r["from_word"], r["from_word"] + r["n_words"]])
-            if merged == [[0, size]]:
-                out.append(t)
-                continue
-            spans = [m.span() for m in word.finditer(t)]
-            out.append("\n".join(t[spans[a][0] : spans[b - 1][1]] for a, b in merged))
-        yield f.assign(**{text: out}).drop(columns=["_size", "_runs"])
+_WORD = re.compile("[^\x20\x09-\x0d]+")
+
+
+def _cut(text: str, size: int, runs: list[dict]) -> str:
+    """A text reduced to its drawn runs of words; a whole text stays as it is."""
+    merged: list[list[int]] = []
+    for r in runs:
+        if merged and r["from_word"] == merged[-1][1]:
+            merged[-1][1] += r["n_words"]
+        else:
+            merged.append([r["from_word"], r["from_word"] + r["n_words"]])
+    if merged == [[0, size]]:
+        return text
+    spans = [m.span() for m in _WORD.finditer(text)]
+    return "\n".join(text[spans[a][0] : spans[b - 1][1]] for a, b in merged)
 
 
 def mixed_documents(docs: DataFrame, *, key: str = "doc_id", source: str = "source", text: str = "text", **how) -> DataFrame:
@@ -163,7 +160,16 @@ def mixed_documents(docs: DataFrame, *, key: str = "doc_id", source: str = "sour
     rows, drawn = mix(kept, keys=["_row"], order=[key], source=source, text=text, **how)
     runs = drawn.join(rows.select("row_key", "_row", F.col("size").alias("_size")), "row_key").groupBy("_row", "epoch", "_size").agg(F.array_sort(F.collect_list(F.struct("from_word", "n_words"))).alias("_runs"))
     joined = kept.join(runs.drop("epoch"), "_row").select(*columns, "_size", "_runs")
-    out = joined.mapInPandas(lambda frames: _cut(frames, text), docs.schema)
+    at = columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j in textio.pieces(textio.utf8(batch.column(at))[1]):
+                held = [c.slice(i, j - i) for c in batch.columns]
+                held[at] = pa.array([_cut(*x) for x in zip(held[at].to_pylist(), held[-2].to_pylist(), held[-1].to_pylist(), strict=True)], held[at].type)
+                yield pa.RecordBatch.from_arrays(held[:-2], names=columns)
+
+    out = joined.mapInArrow(run, docs.schema)
     return out.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType)) if "n_chars" in columns else out
 
 
