@@ -18,16 +18,20 @@ def eye_aspect(points: Column, eye: list[int]) -> Column:
 
 
 def gaze(points: Column, left: list[int], right: list[int], irises: tuple[int, int]) -> tuple[Column, Column, Column]:
-    """Mean iris ratio, direction and confidence; eyes are their outer and inner corner first and fourth."""
+    """Mean iris ratio, direction and confidence; eyes are their outer and inner corner first and fourth.
+
+    Without iris points the direction is center (0.6), with an eye of no width too (0.5); a missing coordinate gives away (0.5).
+    """
     corner = [F.get(points, F.lit(i)) for i in (left[0], left[3], right[0], right[3])]
     iris = [F.get(points, F.lit(i)) for i in irises]
     widths = distance(corner[0], corner[1]), distance(corner[2], corner[3])
     ratio = (F.try_divide(distance(iris[0], corner[0]), widths[0]) + F.try_divide(distance(iris[1], corner[2]), widths[1])) / 2
     few, flat = F.size(points) <= max(irises), (widths[0] == 0) | (widths[1] == 0)
-    direction = F.when(few | flat, "center").when(ratio < 0.35, "right").when(ratio > 0.65, "left").otherwise("center")
-    confidence = F.when(few, 0.6).when(flat, 0.5).when((ratio < 0.35) | (ratio > 0.65), 0.8).otherwise(0.9)
+    direction = F.when(few | flat, "center").when(ratio.isNull(), "away").when(ratio < 0.35, "right").when(ratio > 0.65, "left").otherwise("center")
+    confidence = F.when(few, 0.6).when(flat | ratio.isNull(), 0.5).when((ratio < 0.35) | (ratio > 0.65), 0.8).otherwise(0.9)
     return ratio, direction, confidence
 
 
 def looking_away(direction: Column, confidence: Column, faces: Column) -> Column:
-    return (direction == "away") | (confidence < 0.5) | (faces > 1)
+    """Away, unsure, more than one face, or none."""
+    return (direction == "away") | (confidence < 0.5) | (faces != 1)

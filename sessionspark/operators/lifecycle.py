@@ -69,3 +69,55 @@ def error_code(name: Column) -> Column:
 def duration_seconds(start: Column, end: Column) -> Column:
     """Null unless both are set."""
     return (F.unix_micros(end.cast("timestamp")) - F.unix_micros(start.cast("timestamp"))) / 1e6
+
+
+def open_duration_seconds(start: Column, end: Column, as_of: Column) -> Column:
+    """An open end counts as as_of; 0 without a start."""
+    return F.when(start.isNull(), 0.0).otherwise(duration_seconds(start, F.coalesce(end.cast("timestamp"), as_of.cast("timestamp"))))
+
+
+def shown_minutes(seconds: Column) -> Column:
+    """Whole minutes, halves up."""
+    return F.floor(seconds / 60 + 0.5)
+
+
+# Kind of an error, status and code; all others are internal.
+ERROR_CLASSES = {"DatabaseError": (503, "database_error"), "OperationalError": (503, "database_error"), "ValidationError": (400, "validation_error")}
+
+
+def error_class(name: Column) -> Column:
+    """(status, code) of an unhandled error's class name."""
+    out = None
+    for kind, (status, code) in ERROR_CLASSES.items():
+        value = F.struct(F.lit(status).alias("status"), F.lit(code).alias("code"))
+        out = F.when(name == kind, value) if out is None else out.when(name == kind, value)
+    return out.otherwise(F.struct(F.lit(500).alias("status"), F.lit("internal_error").alias("code")))
+
+
+def commands(log: DataFrame) -> DataFrame:
+    """status and refused of each command (interview_id, ts, event_id, command: start, end, terminate), all interviews pending at first.
+
+    The first start is taken, and then the first end or terminate; every other command is refused and says which status stood.
+    """
+    w = Window.partitionBy("interview_id").orderBy("ts", "event_id")
+    before, upto = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(Window.unboundedPreceding, 0)
+    starts = F.col("command") == "start"
+    out = log.withColumn("_started", F.count_if(starts).over(before) > 0)
+    out = out.withColumn("_finish", F.when(~starts & F.col("_started"), F.when(F.col("command") == "terminate", "terminated").otherwise("completed")))
+    out = out.withColumn("_was", F.coalesce(F.first("_finish", ignorenulls=True).over(before), F.when(F.col("_started"), "in_progress").otherwise("pending")))
+    out = out.withColumn("status", F.coalesce(F.first("_finish", ignorenulls=True).over(upto), F.when(F.col("_started") | starts, "in_progress").otherwise("pending")))
+    taken = F.when(starts, F.col("_was") == "pending").otherwise(F.col("_was") == "in_progress")
+    verb = F.when(starts, "start").otherwise("end")
+    return out.withColumn("refused", F.when(~taken, F.concat(F.lit("Cannot "), verb, F.lit(" interview with status: "), F.col("_was")))).drop("_started", "_finish", "_was")
+
+
+def children(parents: DataFrame, rows: DataFrame, key: str, order: list[str], columns: list[str], name: str) -> DataFrame:
+    """parents with an ordered array of their rows, empty for those without any."""
+    listed = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order, *(c for c in columns if c not in order)))).alias(name))
+    joined = parents.join(listed, key, "left")
+    return joined.withColumn(name, F.coalesce(name, F.array().cast(joined.schema[name].dataType)))
+
+
+def upsert(table: DataFrame, changes: DataFrame, key: str) -> DataFrame:
+    """table with changed rows replaced by those of changes and new ones added; each key is in changes once, and columns agree."""
+    return table.join(changes.select(key), key, "left_anti").unionByName(changes.select(*table.columns))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Category shares and difficulty weights.
@@ -42,3 +42,18 @@ def plan(candidates: DataFrame, n: int, *, key: str, level: str, skills: str, te
         else:
             difficulty = F.when(F.col(level) == name, pick) if difficulty is None else difficulty.when(F.col(level) == name, pick)
     return rows.select(key, F.col("q.category").alias("category"), F.col("q.number").alias("number"), difficulty.alias("difficulty"), F.floor(draw(2) * F.col("q.n_templates")).cast("int").alias("template"), F.coalesce(F.get(skills, F.floor(draw(3) * F.size(skills)).cast("int")), F.lit("")).alias("skill_tag"))
+
+
+def fill(template: Column, skill: Column) -> Column:
+    """The template with the skill for {skill}; left as it is where there is no skill."""
+    return F.when(F.coalesce(skill, F.lit("")) == "", template).otherwise(F.replace(template, F.lit("{skill}"), skill))
+
+
+def shown_skills(skills: Column, most: int = 15) -> Column:
+    """The first skills and how many more there are."""
+    more = F.when(F.size(skills) > most, F.array(F.concat(F.lit("+"), (F.size(skills) - most).cast("string"), F.lit(" more")))).otherwise(F.array().cast("array<string>"))
+    return F.concat(F.slice(skills, 1, most), more)
+
+
+def prompt_skills(skills: Column, most: int = 10) -> Column:
+    return F.when(F.size(skills) > 0, F.array_join(F.slice(skills, 1, most), ", ")).otherwise("Not specified")

@@ -8,6 +8,7 @@ from pyspark.sql.window import WindowSpec
 
 from ..functions import audio
 
+
 def _frames() -> WindowSpec:
     return Window.partitionBy("session").orderBy("frame_no")
 
@@ -23,6 +24,13 @@ def noise_floor(frames: DataFrame) -> DataFrame:
     return out.withColumn("floor", F.when(F.col("_n") >= 30, F.get("_held", F.floor(F.col("_n") * 30 / 100).cast("int"))).otherwise(F.lit(0.01))).drop("_held", "_n")
 
 
+def crossing_floor(frames: DataFrame) -> DataFrame:
+    """The zero-crossing rate at a quarter of the last 50 sorted ones, from 20 frames on; null before. No decision uses it."""
+    held = F.sort_array(F.collect_list("zcr").over(_frames().rowsBetween(-49, 0)))
+    out = frames.withColumn("_held", held).withColumn("_n", F.size("_held"))
+    return out.withColumn("zcr_floor", F.when(F.col("_n") >= 20, F.get("_held", F.floor(F.col("_n") / 4).cast("int")))).drop("_held", "_n")
+
+
 def speech_votes(frames: DataFrame) -> DataFrame:
     """Two of: energy over the floor, zero crossings and centroid in their ranges."""
     votes = (F.col("energy") > F.greatest(F.lit(0.025), 3 * F.col("floor"))).cast("int") + ((F.col("zcr") > 0.15) & (F.col("zcr") < 0.5)).cast("int") + ((F.col("centroid") > 0.15) & (F.col("centroid") < 0.7)).cast("int")

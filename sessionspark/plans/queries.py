@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import audio, extraction, geometry
-from ..operators import lifecycle, patterns, questions, strikes, turns
+from ..operators import lifecycle, messages, patterns, quality, questions, strikes, turns
 from ..sources import documents, tables
 from ..streaming import state
 
@@ -420,3 +420,118 @@ def sliding_windows(spark, d):
  select event_type, min(ts) as start, max(ts) + interval 2 hours as "end", count(*) as n, round(sum(value), 2) as total from s group by event_type, k""")
 def session_windows(spark, d):
     return state.windows(tables.table(spark, d, "events"), "session")
+
+
+_RAW = """case event_type when 'view' then '{"type": "audio", "data": "' || event_id || '"}' when 'click' then '{"type": "text", "text": "event ' || event_id || '"}' when 'error' then '{"type": "text", "text' when 'signup' then '{"type": "ping"}'
+ else case when event_id % 2 = 0 then '{"type": "cheating_detected", "event_type": "tab_switch"}' else '{"type": "cheating_detected", "event_type": "no_face", "confidence": 0.8}' end end"""
+
+
+@query(f"""with m as (select event_id, {_RAW} as raw from events), p as (select *, json_valid(raw) as ok, case when json_valid(raw) then raw end as j from m)
+ select event_id, case when not ok then 'error' when j->>'$.type' in ('audio', 'text', 'cheating_detected', 'end_interview') then j->>'$.type' else 'ignored' end as route, j->>'$.type' as type, j->>'$.data' as data, j->>'$.text' as text, j->>'$.event_type' as event_type,
+ case when j->>'$.type' = 'cheating_detected' then coalesce((j->>'$.confidence')::double, 0.0) end as confidence from p""")
+def message_demux(spark, d):
+    return messages.demux(tables.table(spark, d, "events").select("event_id", F.expr(_RAW).alias("raw"))).drop("raw")
+
+
+@query(f"""with {_FG}, pc as (select session, frame_no, list_transform(x, lambda v: trunc(v * 32767)::int) as p from gx)
+ select session, frame_no, to_base64(unhex(array_to_string(list_transform(p, lambda v: printf('%02x%02x', v & 255, (v >> 8) & 255)), ''))) as data, len(p)::int as n, round(list_sum(list_transform(p, lambda v: v / 32768.0::double)), 6) as total from pc""")
+def base64_audio(spark, d):
+    data = messages.pcm_base64(audio.pcm16(audio.gained(F.col("x"))))
+    f = tables.frames(spark, d).select("session", "frame_no", data.alias("data")).withColumn("y", audio.from_pcm16(messages.base64_pcm(F.col("data"))))
+    return f.select("session", "frame_no", "data", F.size("y").alias("n"), F.round(F.aggregate("y", F.lit(0.0), lambda s, v: s + v), 6).alias("total"))
+
+
+@query(f"""with {_E}, st as (select *, coalesce(last_value(case event_type when 'view' then true when 'purchase' then false end ignore nulls) over (partition by session order by frame_no rows between unbounded preceding and 1 preceding), false) as speaking from e)
+ select session, count(*) as passed, min(frame_no) as first_frame, max(frame_no) as last_frame from st where speech and not speaking group by 1""")
+def echo_gate(spark, d):
+    kept = messages.echo_gate(_event_frames(spark, d)).groupBy("session")
+    return kept.agg(F.count(F.lit(1)).alias("passed"), F.min("frame_no").alias("first_frame"), F.max("frame_no").alias("last_frame"))
+
+
+@query(f"""with {_FG}, src as (select session, frame_no, x from gx), z as (select session, frame_no, {_ZCR} as zcr from src), h as (select *, list(zcr) over (partition by session order by frame_no rows between 49 preceding and current row) as h from z)
+ select session, frame_no, round(case when len(h) >= 20 then list_sort(h)[len(h) // 4 + 1] end, 6) as zcr_floor from h""")
+def zero_crossing_floor(spark, d):
+    z = tables.frames(spark, d).select("session", "frame_no", audio.zero_crossings(audio.gained(F.col("x"))).alias("zcr"))
+    return turns.crossing_floor(z).select("session", "frame_no", F.round("zcr_floor", 6).alias("zcr_floor"))
+
+
+_SPAN = """t as (select o_orderkey as interview_id, case when o_orderstatus <> 'P' then o_orderdate end as a, case when o_orderstatus = 'F' then e end as b from orders left join (select l_orderkey, max(l_shipdate) as e from lineitem group by 1) on l_orderkey = o_orderkey)"""
+
+
+def _timed(spark, d):
+    ends = tables.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.max("l_shipdate").alias("e"))
+    o = tables.table(spark, d, "orders").join(ends, "o_orderkey", "left")
+    return o.select(F.col("o_orderkey").alias("interview_id"), F.when(F.col("o_orderstatus") != "P", F.col("o_orderdate")).alias("a"), F.when(F.col("o_orderstatus") == "F", F.col("e")).alias("b"))
+
+
+@query(f"""with {_SPAN} select interview_id, round((epoch_us(b) - epoch_us(a)) / 1e6, 3) as seconds, case when a is null then 0.0::double else round((epoch_us(coalesce(b, timestamp '2024-01-01')) - epoch_us(a)) / 1e6, 3) end as open_seconds, floor((epoch_us(b) - epoch_us(a)) / 1e6 / 60 + 0.5)::bigint as minutes from t""")
+def interview_durations(spark, d):
+    a, b = F.col("a"), F.col("b")
+    seconds = lifecycle.duration_seconds(a, b)
+    return _timed(spark, d).select("interview_id", F.round(seconds, 3).alias("seconds"), F.round(lifecycle.open_duration_seconds(a, b, F.lit("2024-01-01")), 3).alias("open_seconds"), lifecycle.shown_minutes(seconds).alias("minutes"))
+
+
+@query(f"""with {_SPAN}, n as (select count(*) as n from t), e as (select count(*) as n, count(*) filter (not (value / 100 between 0 and 1)) as r, count(*) filter (event_type not in ('view', 'click', 'error')) as k from events)
+ select 'end_after_start' as rule, n as checked, (select count(*) from t where b < a) as broken from n union all select 'confidence_range', n, r from e union all select 'event_kind', n, k from e""")
+def data_quality(spark, d):
+    e = tables.table(spark, d, "events")
+    spans = quality.broken(_timed(spark, d), {"end_after_start": quality.ordered(F.col("a"), F.col("b"))})
+    return spans.unionByName(quality.broken(e, {"confidence_range": quality.within(F.col("value") / 100, 0, 1), "event_kind": quality.one_of(F.col("event_type"), ["view", "click", "error"])}))
+
+
+_NAMED = "case event_type when 'error' then 'DatabaseError' when 'view' then 'ValidationError' when 'signup' then 'OperationalError' when 'click' then 'KeyError' else 'Exception' end"
+
+
+@query(f"""select kind, status, code, short, count(*) as n from (select {_NAMED} as kind, case when event_type in ('error', 'signup') then 503 when event_type = 'view' then 400 else 500 end as status, case when event_type in ('error', 'signup') then 'database_error' when event_type = 'view' then 'validation_error' else 'internal_error' end as code,
+ case event_type when 'error' then 'database' when 'view' then 'validation' when 'signup' then 'operational' when 'click' then 'key' else 'unknown_error' end as short from events) group by 1, 2, 3, 4""")
+def error_classes(spark, d):
+    e = tables.table(spark, d, "events").select(F.expr(_NAMED).alias("kind"))
+    return e.groupBy("kind", lifecycle.error_class(F.col("kind")).alias("c"), lifecycle.error_code(F.col("kind")).alias("short")).agg(F.count(F.lit(1)).alias("n")).select("kind", "c.*", "short", "n")
+
+
+_LOG = "select event_id, user_id as interview_id, ts, case event_type when 'view' then 'start' when 'error' then 'terminate' else 'end' end as command from events where event_type in ('view', 'error', 'purchase')"
+
+
+@query(f"""with recursive c as (select *, row_number() over (partition by interview_id order by ts, event_id) as k from ({_LOG})),
+ r as (select interview_id, 0::bigint as k, null::bigint as event_id, 'pending' as status, null::varchar as refused from (select distinct interview_id from c)
+  union all select c.interview_id, c.k, c.event_id, case when c.command = 'start' and r.status = 'pending' then 'in_progress' when c.command <> 'start' and r.status = 'in_progress' then (case c.command when 'terminate' then 'terminated' else 'completed' end) else r.status end,
+  case when not (c.command = 'start' and r.status = 'pending' or c.command <> 'start' and r.status = 'in_progress') then 'Cannot ' || (case c.command when 'start' then 'start' else 'end' end) || ' interview with status: ' || r.status end from r join c on c.interview_id = r.interview_id and c.k = r.k + 1)
+ select event_id, interview_id, status, refused from r where k > 0""")
+def lifecycle_commands(spark, d):
+    e = tables.table(spark, d, "events").where(F.col("event_type").isin("view", "error", "purchase"))
+    command = F.when(F.col("event_type") == "view", "start").when(F.col("event_type") == "error", "terminate").otherwise("end")
+    return lifecycle.commands(e.select("event_id", F.col("user_id").alias("interview_id"), "ts", command.alias("command"))).select("event_id", "interview_id", "status", "refused")
+
+
+@query("""select o_orderkey as interview_id, coalesce(len(q), 0)::int as questions, to_json(struct_pack(id := o_orderkey, status := o_orderstatus, questions := coalesce(q, [])))::varchar as body
+ from orders left join (select l_orderkey, list(struct_pack(l_linenumber, l_partkey) order by l_linenumber, l_partkey) as q from lineitem group by 1) on l_orderkey = o_orderkey""")
+def interview_response(spark, d):
+    """Each interview with its questions, as the JSON that a client gets."""
+    o = tables.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"))
+    q = tables.table(spark, d, "lineitem").withColumnRenamed("l_orderkey", "id")
+    nested = lifecycle.children(o, q, "id", ["l_linenumber", "l_partkey"], [], "questions")
+    return nested.select(F.col("id").alias("interview_id"), F.size("questions").alias("questions"), messages.reply("id", "status", "questions").alias("body"))
+
+
+@query("""with c as (select c_custkey, c_name, c_mktsegment from customer), u as (select c_custkey, c_name || ' II' as c_name, 'CHANGED' as c_mktsegment from c where c_custkey % 10 = 0 union all select c_custkey + 1000000, c_name, 'NEW' from c where c_custkey % 25 = 0)
+ select * from c where c_custkey not in (select c_custkey from u) union all select * from u""")
+def candidate_upsert(spark, d):
+    c = tables.table(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    changed = c.where("c_custkey % 10 = 0").select("c_custkey", F.concat("c_name", F.lit(" II")).alias("c_name"), F.lit("CHANGED").alias("c_mktsegment"))
+    new = c.where("c_custkey % 25 = 0").select((F.col("c_custkey") + 1_000_000).alias("c_custkey"), "c_name", F.lit("NEW").alias("c_mktsegment"))
+    return lifecycle.upsert(c, changed.unionByName(new), "c_custkey")
+
+
+@query(f"""with s as (select doc_id, {_SKILLS} as s from documents) select doc_id, array_to_string(s[1:15], '|') || case when len(s) > 15 then '|+' || (len(s) - 15) || ' more' else '' end as shown, case when len(s) > 0 then array_to_string(s[1:10], ', ') else 'Not specified' end as prompt,
+ case when len(s) > 0 then replace('How do you use {{skill}}?', '{{skill}}', s[1]) else 'How do you use {{skill}}?' end as question from s""")
+def skill_texts(spark, d):
+    s = tables.table(spark, d, "documents").select("doc_id", extraction.skills(F.col("text")).alias("s"))
+    return s.select("doc_id", F.array_join(questions.shown_skills(F.col("s")), "|").alias("shown"), questions.prompt_skills(F.col("s")).alias("prompt"), questions.fill(F.lit("How do you use {skill}?"), F.get("s", F.lit(0))).alias("question"))
+
+
+@query("select event_id, case when event_id % 3 = 2 then 'plain ```' else event_type end as category from events")
+def fenced_replies(spark, d):
+    """Model replies in code fences, parsed; those without a fence at their start stay as they are."""
+    body = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit(' ```json\n[{"category": "'), "event_type", F.lit('"}]\n```\n'))).when(F.col("event_id") % 3 == 1, F.concat(F.lit('[{"category": "'), "event_type", F.lit('"}]'))).otherwise("plain ``` ")
+    rows = tables.table(spark, d, "events").select("event_id", messages.unfenced(body).alias("reply"))
+    return rows.select("event_id", F.coalesce(F.get(F.from_json("reply", "array<struct<category:string>>"), F.lit(0))["category"], "reply").alias("category"))

@@ -5,8 +5,8 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from sessionspark.functions import audio, extraction
-from sessionspark.operators import lifecycle, questions, strikes, turns
+from sessionspark.functions import audio, extraction, geometry
+from sessionspark.operators import lifecycle, messages, quality, questions, strikes, turns
 from sessionspark.plans import queries as plans
 from sessionspark.streaming import state
 
@@ -90,3 +90,42 @@ def test_stream_equals_batch(spark, tmp_path):
     query = out.writeStream.format("memory").queryName("strikes").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert sorted(spark.table("strikes").collect()) == sorted(state.run_batch(reports, "interview_id", state.strike_step(2), state.STRIKES).collect())
+
+
+def test_messages_that_are_no_object(spark):
+    raw = [None, "", "[1]", "{", "7", '{"type": "audio", "data": "AAA="}', '{"type": "cheating_detected"}', "{}"]
+    got = messages.demux(spark.createDataFrame([(k, r) for k, r in enumerate(raw)], "k int, raw string")).orderBy("k").collect()
+    assert [r.route for r in got] == ["error"] * 5 + ["audio", "cheating_detected", "ignored"]
+    assert got[5].data == "AAA=" and got[6].confidence == 0.0
+
+
+def test_base64_samples(spark):
+    rows = spark.createDataFrame([([0, -1, 32767, -32768],), ([],)], "x array<int>")
+    assert [r[0] for r in rows.select(messages.base64_pcm(messages.pcm_base64(F.col("x")))).collect()] == [[0, -1, 32767, -32768], []]
+    assert [_one(spark, t, messages.base64_pcm) for t in ("AQI=", "AQID", "!", None)] == [[513], [513], None, None]
+
+
+def test_upload_checks(spark):
+    files = spark.createDataFrame([("a.PDF", 10), ("a.exe", 10), ("a.txt", 11 << 20), (None, 1)], "name string, n long")
+    got = quality.broken(files, {"upload": quality.upload(F.col("name"), F.col("n"))}).first()
+    assert (got.checked, got.broken) == (4, 3)
+
+
+def test_gaze_without_points(spark):
+    schema = "p array<struct<x:double,y:double>>, faces int"
+    width = [(0.0, 0.0)] * 3 + [(1.0, 0.0)] + [(0.0, 0.0)] * 5 + [(1.0, 0.0)] + [(0.0, 0.0)] * 2
+    rows = spark.createDataFrame([([(0.0, 0.0)] * 5, 1), ([(0.0, 0.0)] * 14, 1), ([*width, (0.5, 0.0), None], 1), ([*width, (0.5, 0.0), (0.5, 0.0)], 0)], schema)
+    _, direction, confidence = geometry.gaze(F.col("p"), [0, 1, 2, 3], [6, 7, 8, 9], (12, 13))
+    got = rows.select(direction, confidence, geometry.looking_away(direction, confidence, F.col("faces"))).collect()
+    assert [tuple(r) for r in got] == [("center", 0.6, False), ("center", 0.5, False), ("away", 0.5, True), ("center", 0.9, True)]
+
+
+def test_parents_without_children(spark):
+    rows = spark.createDataFrame([(1, 2), (1, 1)], "id int, n int")
+    got = lifecycle.children(spark.createDataFrame([(1,), (2,)], "id int"), rows, "id", ["n"], [], "rows").orderBy("id").collect()
+    assert [[x.n for x in r.rows] for r in got] == [[1, 2], []]
+
+
+@pytest.mark.parametrize(("text", "want"), [("```json\n[1]\n```", "[1]"), (" x ``` ", "x ```"), ("", "")])
+def test_fences(spark, text, want):
+    assert _one(spark, text, messages.unfenced) == want
