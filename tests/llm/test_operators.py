@@ -213,3 +213,18 @@ def test_pipeline_runs_and_keeps_columns(spark):
         docs, _ = textio.save(stage(spark, docs, folder), name)
         assert set(docs.columns) == {"doc_id", "text", "lang", "source", "n_chars"}
     assert corpus_pipeline.token_ids(spark, docs, folder).count() == docs.count()
+
+
+@pytest.mark.parametrize("n", [0, 1, 1000])
+def test_pipeline_stages_take_edge_rows(spark, docs, n):
+    """Nulls, repeated rows, clashing columns, one row and none: every stage keeps the columns, and texts that it keeps are whole."""
+    folder = "/root/testdata/sf0.001"
+    now = docs.where("doc_id = 12") if n == 1 else docs.limit(n)
+    whole = {r.text for r in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        now, _ = textio.save(stage(spark, now, folder), name)
+        assert now.columns == docs.columns
+        if name != "source_weights":
+            assert {r.text for r in now.collect()} <= whole - {None, "", "  \n ", "12 34"}
+    got = corpus_pipeline.token_ids(spark, now, folder)
+    assert got.count() == now.count() and (got.count() > 0) == (n > 0)
