@@ -535,3 +535,11 @@ def fenced_replies(spark, d):
     body = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit(' ```json\n[{"category": "'), "event_type", F.lit('"}]\n```\n'))).when(F.col("event_id") % 3 == 1, F.concat(F.lit('[{"category": "'), "event_type", F.lit('"}]'))).otherwise("plain ``` ")
     rows = tables.table(spark, d, "events").select("event_id", messages.unfenced(body).alias("reply"))
     return rows.select("event_id", F.coalesce(F.get(F.from_json("reply", "array<struct<category:string>>"), F.lit(0))["category"], "reply").alias("category"))
+
+
+@query("""with e as (select user_id as session, event_id, ts, case event_type when 'purchase' then 'end_interview' when 'view' then 'audio' else 'text' end as type from events),
+ g as (select *, coalesce(ts >= lag(ts) over (partition by session order by ts, event_id) + interval 6 hours, true) as new from e), s as (select *, sum(new::int) over (partition by session order by ts, event_id) as k from g)
+ select session, min(ts) as start, max(ts) + interval 6 hours as ended_at, count(*) as messages, last(type order by ts, event_id) as last_type from s group by session, k having last(type order by ts, event_id) <> 'end_interview'""")
+def disconnected_sessions(spark, d):
+    kind = F.when(F.col("event_type") == "purchase", "end_interview").when(F.col("event_type") == "view", "audio").otherwise("text")
+    return state.disconnects(tables.table(spark, d, "events").select(F.col("user_id").alias("session"), "event_id", "ts", kind.alias("type")), "6 hours")

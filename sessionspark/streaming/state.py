@@ -70,7 +70,10 @@ def rate_step(limit: int, window_ms: int) -> Callable:
 
 
 def run_batch(rows: DataFrame, key: str, step: Callable, schema: str) -> DataFrame:
-    """The rule over a table: rows are dealt by key and sorted, and state passes from batch to batch, so no group is held whole."""
+    """The rule over a table: rows are dealt by key and sorted, and state passes from batch to batch, so no group is held whole.
+
+    Rows without a key belong to no one: they give nothing.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         state, now = (), None
@@ -81,11 +84,11 @@ def run_batch(rows: DataFrame, key: str, step: Callable, schema: str) -> DataFra
                 state, out = step(state, part)
                 yield out
 
-    return rows.repartition(key).sortWithinPartitions(key, "ts", "event_id").mapInPandas(run, schema)
+    return rows.where(F.col(key).isNotNull()).repartition(key).sortWithinPartitions(key, "ts", "event_id").mapInPandas(run, schema)
 
 
 def run_stream(rows: DataFrame, key: str, step: Callable, schema: str, state_schema: str) -> DataFrame:
-    """The rule over a stream; order inside a micro-batch is (ts, event_id)."""
+    """The rule over a stream; order inside a micro-batch is (ts, event_id). Rows without a key give nothing."""
 
     def run(_: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held = state.get if state.exists else ()
@@ -94,10 +97,20 @@ def run_stream(rows: DataFrame, key: str, step: Callable, schema: str, state_sch
         state.update(held)
         yield out
 
-    return rows.groupBy(key).applyInPandasWithState(run, schema, state_schema, "append", GroupStateTimeout.NoTimeout)
+    return rows.where(F.col(key).isNotNull()).groupBy(key).applyInPandasWithState(run, schema, state_schema, "append", GroupStateTimeout.NoTimeout)
 
 
 def windows(events: DataFrame, kind: str) -> DataFrame:
     """Counts and sums in tumbling (1 day), sliding (1 day by 12 hours) or session (2 hours) windows of each event type; events.ts must be a timestamp."""
     w = {"tumbling": F.window("ts", "1 day"), "sliding": F.window("ts", "1 day", "12 hours"), "session": F.session_window("ts", "2 hours")}[kind]
     return events.groupBy(w.alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select("event_type", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n", F.round("total", 2).alias("total"))
+
+
+def disconnects(rows: DataFrame, idle: str, ends: str = "end_interview") -> DataFrame:
+    """Stretches of messages (session, ts, event_id, type) that fall silent for idle without an end message: such a session is ended.
+
+    Table and stream alike; a stream needs a watermark on ts, which tells when a stretch is over.
+    """
+    last = F.max(F.struct("ts", "event_id", "type"))["type"]
+    found = rows.groupBy("session", F.session_window("ts", idle).alias("w")).agg(F.count(F.lit(1)).alias("messages"), last.alias("last_type"))
+    return found.where(~F.coalesce(F.col("last_type") == ends, F.lit(False))).select("session", F.col("w.start").alias("start"), F.col("w.end").alias("ended_at"), "messages", "last_type")

@@ -129,3 +129,19 @@ def test_parents_without_children(spark):
 @pytest.mark.parametrize(("text", "want"), [("```json\n[1]\n```", "[1]"), (" x ``` ", "x ```"), ("", "")])
 def test_fences(spark, text, want):
     assert _one(spark, text, messages.unfenced) == want
+
+
+def test_disconnects_of_a_stream(spark, tmp_path):
+    at = dt.datetime(2024, 1, 1)
+    rows = spark.createDataFrame([(k, s, at + dt.timedelta(minutes=m), t) for k, (s, m, t) in enumerate([(1, 0, "audio"), (1, 5, "text"), (2, 0, "audio"), (2, 1, "end_interview"), (3, 500, "text")])], "event_id long, session long, ts timestamp, type string")
+    rows.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")).withWatermark("ts", "1 minute")
+    query = state.disconnects(stream, "10 minutes").writeStream.format("memory").queryName("gone").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    assert [(r.session, r.messages, r.last_type) for r in spark.table("gone").collect()] == [(1, 2, "text")]  # the third may go on
+    assert sorted(r.session for r in state.disconnects(rows, "10 minutes").collect()) == [1, 3]
+
+
+def test_rows_without_a_key(spark):
+    rows = _reports(spark, [0.7, 0.8]).withColumn("interview_id", F.lit(None).cast("long"))
+    assert state.run_batch(rows, "interview_id", state.strike_step(2), state.STRIKES).count() == 0
