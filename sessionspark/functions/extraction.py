@@ -62,10 +62,14 @@ def display(skill: str) -> str:
 
 
 def skills(text: Column) -> Column:
-    """Sorted display names of the keywords that the text contains, with no word boundary."""
-    table = F.array(*(F.struct(F.lit(s).alias("key"), F.lit(display(s)).alias("name")) for s in [*TECH_SKILLS, *SOFT_SKILLS]))
-    low = F.lower(text)
-    return F.array_sort(F.array_distinct(F.transform(F.filter(table, lambda s: low.contains(s["key"])), lambda s: s["name"])))
+    """Sorted display names of the keywords that the text contains, with no word boundary.
+
+    The table stands in the names' order, so that no row is sorted; the lower-cased text is bound once, as a lambda's variable.
+    """
+    known = sorted((display(s), s) for s in {*TECH_SKILLS, *SOFT_SKILLS})
+    table = F.array(*(F.struct(F.lit(s).alias("key"), F.lit(n).alias("name")) for n, s in known))
+    found = F.transform(F.array(F.lower(text)), lambda low: F.transform(F.filter(table, lambda s: low.contains(s["key"])), lambda s: s["name"]))
+    return F.array_distinct(found[0])
 
 
 def education(text: Column) -> Column:
