@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Frames of a session that its noise spectrum is learned from.
+NOISE_FRAMES = 50
+
 
 def energy(x: Column) -> Column:
     """Root of the mean square; 0 of an empty frame."""
@@ -55,15 +58,40 @@ def spectral_centroid(frames: pd.Series) -> pd.Series:
     return frames.map(one, na_action="ignore")
 
 
-def denoise(frames: pd.DataFrame) -> pd.DataFrame:
-    """A session's frames in order, each with its noise subtracted; the noise spectrum is learned from the first 50."""
+def noise_spectra(frames: pd.DataFrame) -> pd.DataFrame:
+    """The running noise spectrum after each of a session's first frames (k = 0, 1, ...)."""
+    frames = frames.sort_values("k")
     noise, out = None, []
-    for k, x in enumerate(frames.sort_values("frame_no")["x"]):
+    for x in frames["x"]:
+        m = np.abs(np.fft.rfft(np.asarray(x, float)))
+        noise = m if noise is None else 0.95 * noise + 0.05 * m
+        out.append(noise.tolist())
+    return frames[["session", "k"]].assign(noise=out)
+
+
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def subtracted(frames: pd.Series, noise: pd.Series) -> pd.Series:
+    """Each frame less 1.5 times its noise spectrum, with a tenth of its magnitudes at least."""
+
+    def one(x, n) -> list[float]:
         x = np.asarray(x, float)
         f = np.fft.rfft(x)
         m = np.abs(f)
-        if k < 50:
-            noise = m if noise is None else 0.95 * noise + 0.05 * m
-        y = np.fft.irfft(np.maximum(m - 1.5 * noise, 0.1 * m) * np.exp(1j * np.angle(f)))
-        out.append(y[: len(x)].tolist())
-    return frames.sort_values("frame_no").assign(x=out)
+        y = np.fft.irfft(np.maximum(m - 1.5 * np.asarray(n, float), 0.1 * m) * np.exp(1j * np.angle(f)))
+        return y[: len(x)].tolist()
+
+    return pd.Series([one(x, n) for x, n in zip(frames, noise, strict=True)], dtype=object)
+
+
+def denoise(frames: DataFrame) -> DataFrame:
+    """session, frame_no and x of every frame, its noise subtracted; the noise spectrum is learned from a session's first 50.
+
+    Only those 50 are gathered; each frame is then joined to the spectrum of its place, or to the last one.
+    """
+    place = F.row_number().over(Window.partitionBy("session").orderBy(F.asc_nulls_last("frame_no"), "x")) - 1
+    numbered = frames.select("session", "frame_no", "x", place.alias("k"))
+    kinds = frames.schema
+    learned = numbered.where(F.col("k") < NOISE_FRAMES).select("session", "k", "x").groupBy("session").applyInPandas(noise_spectra, T.StructType([kinds["session"], T.StructField("k", T.IntegerType()), T.StructField("noise", T.ArrayType(T.DoubleType()))]))
+    learned = learned.select(F.col("session").alias("_session"), F.col("k").alias("_k"), "noise")
+    on = F.col("session").eqNullSafe(F.col("_session")) & (F.least("k", F.lit(NOISE_FRAMES - 1)) == F.col("_k"))
+    return numbered.join(learned, on).select("session", "frame_no", subtracted("x", "noise").alias("x"))

@@ -305,8 +305,7 @@ def audio_stats(spark, d):
 @query()
 def audio_pipeline(spark, d):
     """Denoise, gain, vote and latch; the noise estimate is a recurrence over a session's first frames."""
-    clean = tables.frames(spark, d).groupBy("session").applyInPandas(audio.denoise, "session int, frame_no long, x array<double>")
-    return turns.voice_activity(clean)
+    return turns.voice_activity(audio.denoise(tables.frames(spark, d)))
 
 
 _E = "e as (select user_id as session, event_id, event_type, value >= 150 as speech, row_number() over (partition by user_id order by ts, event_id) as frame_no from events)"
