@@ -5,7 +5,8 @@ Whole passes over a source (epochs) draw all its blocks, the last pass the first
 drawn words miss the target by half a block at most. The block quotas of all sources are split down a binary tree over
 the output shards: each node gives its left half of shards a multivariate-hypergeometric draw of its own blocks, the
 right half the rest. A leaf's quotas are ranges of the permuted ranks, so the shards' blocks are disjoint within a pass.
-Blocks are shuffled inside a shard by a hash (column order_key).
+Blocks are shuffled inside a shard by a hash (column order_key). Shards are laid out by shard and order_key; one of more
+than RANGE_BLOCKS blocks is cut by ranges of order_key, so that no task holds a whole shard.
 
 Sources are a dimension that its user weighs one by one; their totals, one row for each source, are planned on the
 driver. Everything that grows with the documents stays in Spark: a source's stream is cut by hash into BUCKETS ranges, so
@@ -26,6 +27,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import textio
 from .permute import div, permuted
@@ -34,6 +36,8 @@ BUCKET_BITS = 10
 #: Words of a block, blocks that a small source has at least, blocks of all sources at most.
 BLOCK_WORDS, LEAST_BLOCKS, MOST_BLOCKS = 256, 512, 10**8
 MAX_EPOCHS = 3
+#: Blocks of a shard that one task lays out, about.
+RANGE_BLOCKS = 1 << 14
 
 
 def word_counts(docs: DataFrame, *, keys: list[str], text: str = "text") -> DataFrame:
@@ -101,7 +105,7 @@ def plan(totals: list[tuple[str | None, int]], n_shards: int, seed: int, weights
 
 
 def mix(docs: DataFrame, *, keys: list[str], source: str = "source", text: str = "text", n_shards: int = 24, seed: int = 0, weights: dict | None = None, order: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(rows, drawn): rows has row_key, keys, source, size, source_size and target of every document; drawn has row_key, epoch, shard, order_key, from_word and n_words of each piece of a drawn block.
+    """(rows, drawn): rows has row_key, keys, source, size, source_size and target of every document; drawn has row_key, epoch, shard, range, order_key, src, at (place in the source's stream), from_word and n_words of each piece of a drawn block.
 
     The stream's order is a hash of the columns in order (keys, if not given) and the text.
     """
@@ -110,6 +114,7 @@ def mix(docs: DataFrame, *, keys: list[str], source: str = "source", text: str =
     rows, _ = textio.save(word_counts(hashed, keys=[*keys, "_source", "_hash"], text="_text").withColumn("row_key", F.monotonically_increasing_id()), "sizes")
     totals = sorted(((r[0], r[1]) for r in rows.groupBy("_source").agg(F.sum("size")).collect()), key=lambda t: (t[0] is None, t[0] or ""))
     planned = [(r.source, *(int(x) for x in (r.src, r.source_size)), float(r.target), *(int(x) for x in (r.block_words, r.n_blocks, r.epochs, r.rest)), [int(x) for x in r.ends]) for r in plan(totals, n_shards, seed, weights).itertuples(index=False)]
+    n_ranges = max(1, -(-sum(r[8][-1] for r in planned) // (n_shards * RANGE_BLOCKS)))
     sources = spark.createDataFrame(planned, "source string, src long, source_size long, target double, block_words long, n_blocks long, epochs long, rest long, ends array<long>")
     rows = rows.join(sources, F.col("_source").eqNullSafe(F.col("source"))).withColumn("_bucket", F.shiftrightunsigned("_hash", 64 - BUCKET_BITS))
     # At most 2 ** BUCKET_BITS rows for each source.
@@ -125,11 +130,15 @@ def mix(docs: DataFrame, *, keys: list[str], source: str = "source", text: str =
     times = blocks.withColumn("_times", F.when((F.col("rest") > 0) & (last < F.col("rest")), F.col("epochs") + 1).otherwise(F.col("epochs"))).where("_times > 0")
     drawn = times.withColumn("epoch", F.explode(F.sequence(lone, F.col("_times") - 1)))
     rank = F.col("epoch") * F.col("n_blocks") + permuted(F.col("block"), F.col("n_blocks"), F.xxhash64("src", "epoch", F.lit(seed)))
+    order_key = F.xxhash64(F.lit(seed), "src", "epoch", "block")
     drawn = drawn.withColumn("rank", rank).select(
         "row_key",
         "epoch",
-        F.size(F.filter("ends", lambda e: e <= F.col("rank"))).alias("shard"),
-        F.xxhash64(F.lit(seed), "src", "epoch", "block").alias("order_key"),
+        F.get(F.transform(F.array("rank"), lambda r: F.size(F.filter("ends", lambda e: e <= r))), F.lit(0)).alias("shard"),  # the rank is computed once, not for each end
+        F.shiftright((F.shiftright(order_key, 40) + (1 << 23)) * F.lit(n_ranges), 24).cast("int").alias("range"),
+        order_key.alias("order_key"),
+        "src",
+        F.greatest("_start", F.col("block") * size).alias("at"),
         (F.greatest("_start", F.col("block") * size) - F.col("_start")).alias("from_word"),
         (F.least("_end", (F.col("block") + 1) * size) - F.greatest("_start", F.col("block") * size)).alias("n_words"),
     )
@@ -139,41 +148,61 @@ def mix(docs: DataFrame, *, keys: list[str], source: str = "source", text: str =
 _WORD = re.compile("[^\x20\x09-\x0d]+")
 
 
-def _cut(text: str, size: int, runs: list[dict]) -> str:
-    """A text reduced to its drawn runs of words; a whole text stays as it is."""
-    merged: list[list[int]] = []
-    for r in runs:
-        if merged and r["from_word"] == merged[-1][1]:
-            merged[-1][1] += r["n_words"]
-        else:
-            merged.append([r["from_word"], r["from_word"] + r["n_words"]])
-    if merged == [[0, size]]:
-        return text
-    spans = [m.span() for m in _WORD.finditer(text)]
-    return "\n".join(text[spans[a][0] : spans[b - 1][1]] for a, b in merged)
+def _cut(text: str, size: int, runs: list[dict]) -> list[str]:
+    """The words of each drawn run; a whole text stays as it is."""
+    if any((r["from_word"], r["n_words"]) != (0, size) for r in runs):
+        spans = [m.span() for m in _WORD.finditer(text)]
+    return [text if r["n_words"] == size else text[spans[r["from_word"]][0] : spans[r["from_word"] + r["n_words"] - 1][1]] for r in runs]
+
+
+def laid_out(drawn: DataFrame) -> DataFrame:
+    """The shards, written in their shuffled order: drawn's pieces with place (0, 1, ... in the shard)."""
+    order = Window.partitionBy("shard", "range").orderBy("order_key", "src", "at")
+    pieces, _ = textio.save(drawn.withColumn("_place", F.row_number().over(order).cast("long") - 1), "shards")
+    sizes = pieces.groupBy("shard", "range").agg(F.count(F.lit(1)).alias("_n"))  # a row for each range
+    before = sizes.select("shard", "range", (F.sum("_n").over(Window.partitionBy("shard").orderBy("range")) - F.col("_n")).alias("_before"))
+    return pieces.join(before, ["shard", "range"]).withColumn("place", F.col("_before") + F.col("_place")).drop("_before", "_place")
 
 
 def mixed_documents(docs: DataFrame, *, key: str = "doc_id", source: str = "source", text: str = "text", **how) -> DataFrame:
-    """The mix as documents with the columns of docs: a row for each pass that draws words of a document, with those words."""
+    """The mix as shards of documents with the columns of docs: a row for each piece of a drawn block, with its words.
+
+    Partitions are shards in order (a large shard is several, by ranges of order_key), rows stand in the shard's shuffled order.
+    """
     columns = docs.columns
     kept, _ = textio.save(docs.withColumn("_row", F.monotonically_increasing_id()), "documents")
     rows, drawn = mix(kept, keys=["_row"], order=[key], source=source, text=text, **how)
-    runs = drawn.join(rows.select("row_key", "_row", F.col("size").alias("_size")), "row_key").groupBy("_row", "epoch", "_size").agg(F.array_sort(F.collect_list(F.struct("from_word", "n_words"))).alias("_runs"))
+    drawn, _ = textio.save(drawn, "drawn")
+    last = drawn.agg(F.max("shard"), F.max("range")).first()
+    n_shards, n_ranges = (0 if x is None else x + 1 for x in last)
+    place = ["shard", "range", "order_key", "src", "at"]
+    runs = drawn.join(rows.select("row_key", "_row", F.col("size").alias("_size")), "row_key").groupBy("_row", "epoch", "_size").agg(F.collect_list(F.struct("from_word", "n_words", *place)).alias("_runs"))
     joined = kept.join(runs.drop("epoch"), "_row").select(*columns, "_size", "_runs")
     at = columns.index(text)
+    named = [f"_{c}" for c in place]
+    schema = T.StructType([*docs.schema, *(T.StructField(n, drawn.schema[c].dataType) for n, c in zip(named, place, strict=True))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j in textio.pieces(textio.utf8(batch.column(at))[1]):
                 held = [c.slice(i, j - i) for c in batch.columns]
-                held[at] = pa.array([_cut(*x) for x in zip(held[at].to_pylist(), held[-2].to_pylist(), held[-1].to_pylist(), strict=True)], held[at].type)
-                yield pa.RecordBatch.from_arrays(held[:-2], names=columns)
+                runs = held[-1].to_pylist()
+                cut = [_cut(*x) for x in zip(held[at].to_pylist(), held[-2].to_pylist(), runs, strict=True)]
+                row = pa.array(np.repeat(np.arange(j - i), [len(r) for r in runs]))
+                out = [pa.array([t for c in cut for t in c], held[at].type) if k == at else c.take(row) for k, c in enumerate(held[:-2])]
+                out += [pa.array([r[c] for rs in runs for r in rs], pa.int32() if c in ("shard", "range") else pa.int64()) for c in place]
+                yield pa.RecordBatch.from_arrays(out, names=schema.names)
 
-    out = joined.mapInArrow(run, docs.schema)
-    return out.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType)) if "n_chars" in columns else out
+    out = joined.mapInArrow(run, schema)
+    if "n_chars" in columns:
+        out = out.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))
+    dealt = out.repartitionById(max(1, n_shards * n_ranges), F.col("_shard") * n_ranges + F.col("_range"))
+    return dealt.sortWithinPartitions("_order_key", "_src", "_at").select(*columns)
 
 
 def op3_splitting_tree(spark, sf_dir: str) -> DataFrame:
+    """size, source_size, target and taken words of every document, the number of shards that hold some of them, and the shard and place there of the first."""
     rows, drawn = mix(spark.read.parquet(f"{sf_dir}/documents.parquet"), keys=["doc_id"])
-    taken = drawn.groupBy("row_key").agg(F.sum("n_words").alias("taken"))
-    return rows.join(taken, "row_key", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))
+    taken = laid_out(drawn).groupBy("row_key").agg(F.sum("n_words").alias("taken"), F.size(F.collect_set("shard")).alias("n_shards"), F.min(F.struct("shard", "place")).alias("first"))
+    out = rows.join(taken, "row_key", "left")
+    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"), F.coalesce("n_shards", F.lit(0)).alias("n_shards"), F.col("first.shard").alias("first_shard"), F.col("first.place").alias("first_place"))
