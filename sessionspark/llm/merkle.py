@@ -5,7 +5,8 @@ manifest) splits a file whose ids hold more than FILE_RECORDS records by a hash
 whose offsets fall in the same RANGE_BYTES of a file make a range node, ranges a file node, and FAN file nodes a node of
 the next level, up to one root. A node's digest is that of its children's positions and digests in order, so trees of
 replicas are built apart and compared from the root; only children of nodes that differ are read. Records of differing
-ranges are then matched by id, url and place among equals.
+ranges are then matched by id, url and digest, what is left over by id, url and place among equals; the primary's range and
+offset tell which record it is.
 
 Defined cases: a null url or html is empty in its record; null ids have a file of their own; equal records are counted
 apart; two empty replicas have equal roots; an empty replica lacks all records.
@@ -92,7 +93,7 @@ def _differing(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:
 
 
 def audit(primary: Tree, replica: Tree) -> DataFrame:
-    """file, part, id, url, place, digest, other_digest and status (corrupt, missing, extra) of the records that differ."""
+    """file, part, id, url, place, range and offset (the primary's; null, if extra), digest, other_digest and status (corrupt, missing, extra) of the records that differ."""
     if primary.height != replica.height:
         raise ValueError("the trees have other heights")
     bad = _differing(primary.levels[-1], replica.levels[-1], ["node"])
@@ -104,13 +105,18 @@ def audit(primary: Tree, replica: Tree) -> DataFrame:
         bad = _differing(a, b, ["node"])
     over = bad.withColumnRenamed("node", "file")
     bad = _differing(*(t.ranges.join(over, "file", "left_semi") for t in (primary, replica)), ["file", "part", "range"])
-    place = Window.partitionBy("file", "part", "id", "url").orderBy("digest")
-    a, b = (t.records.join(bad, ["file", "part", "range"], "left_semi").withColumn("place", F.row_number().over(place)) for t in (primary, replica))
-    b = b.select(*(F.col(c).alias(f"_{c}") for c in ("file", "part", "id", "url", "place", "digest")))
-    on = (F.col("file") == F.col("_file")) & (F.col("part") == F.col("_part")) & F.col("id").eqNullSafe(F.col("_id")) & (F.col("url") == F.col("_url")) & (F.col("place") == F.col("_place"))
-    pairs = a.join(b, on, "full").where(~F.col("digest").eqNullSafe(F.col("_digest")))
-    status = F.when(F.col("_digest").isNull(), "missing").when(F.col("digest").isNull(), "extra").otherwise("corrupt")
-    return pairs.select(*(F.coalesce(c, f"_{c}").alias(c) for c in ("file", "part", "id", "url", "place")), "digest", F.col("_digest").alias("other_digest"), status.alias("status"))
+    record = ["file", "part", "id", "url"]
+    a, b = (t.records.join(bad, ["file", "part", "range"], "left_semi").select(*record, "range", "offset", "digest", F.lit(side).alias("side")) for side, t in enumerate((primary, replica)))
+    both = a.unionByName(b).repartition(*record)
+    equal = Window.partitionBy(*record, "digest")
+    copy = F.row_number().over(Window.partitionBy(*record, "digest", "side").orderBy("offset"))
+    there = F.when(F.col("side") == 0, F.sum("side").over(equal)).otherwise(F.sum(1 - F.col("side")).over(equal))
+    left = both.withColumn("copy", copy).withColumn("there", there).where("copy > there")
+    left = left.withColumn("place", F.row_number().over(Window.partitionBy(*record, "side").orderBy("digest", "offset")))
+    mine = {c: F.max(F.when(F.col("side") == 0, F.col(c))).alias(c) for c in ("range", "offset", "digest")}
+    pairs = left.groupBy(*record, "place").agg(*mine.values(), F.max(F.when(F.col("side") == 1, F.col("digest"))).alias("other_digest"))
+    status = F.when(F.col("other_digest").isNull(), "missing").when(F.col("digest").isNull(), "extra").otherwise("corrupt")
+    return pairs.withColumn("status", status)
 
 
 def fixity_report(primary: DataFrame, replica: DataFrame, *, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -121,12 +127,9 @@ def fixity_report(primary: DataFrame, replica: DataFrame, *, key: str = "page_id
     if a.root() == b.root():
         found = a.records.withColumn("status", F.lit("intact"))
         return found.select(F.col("id").alias(key), "file", "offset", "n_bytes", F.col("digest").alias("record_sha256"), "status")
-    place = Window.partitionBy("file", "part", "id", "url").orderBy("digest")
     bad, _ = textio.save(audit(a, b), "differing")
-    numbered = a.records.withColumn("place", F.row_number().over(place))
-    marks = bad.where("status <> 'extra'").select(*(F.col(c).alias(f"_{c}") for c in ("file", "part", "id", "url", "place")), "status")
-    on = (F.col("file") == F.col("_file")) & (F.col("part") == F.col("_part")) & F.col("id").eqNullSafe(F.col("_id")) & (F.col("url") == F.col("_url")) & (F.col("place") == F.col("_place"))
-    found = numbered.join(marks, on, "left")
+    marks = bad.where("status <> 'extra'").select("file", "part", "offset", "status")
+    found = a.records.join(marks, ["file", "part", "offset"], "left")
     rows = found.select(F.col("id").alias(key), "file", "offset", "n_bytes", F.col("digest").alias("record_sha256"), F.coalesce("status", F.lit("intact")).alias("status"))
     extra = bad.where("status = 'extra'").select(F.col("id").alias(key), "file", F.lit(None).cast("long").alias("offset"), F.lit(None).cast("long").alias("n_bytes"), F.col("other_digest").alias("record_sha256"), "status")
     return rows.unionByName(extra)
