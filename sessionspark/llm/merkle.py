@@ -1,28 +1,38 @@
 """Merkle fixity audit of WARC replicas.
 
-Records are laid out in files of FILE_IDS consecutive ids, ordered by id, url and digest; the primary's layout (its
-manifest) splits a file whose ids hold more than FILE_RECORDS records by a hash of the url. A leaf is the SHA-256 of a record. Leaves
-whose offsets fall in the same RANGE_BYTES of a file make a range node, ranges a file node, and FAN file nodes a node of
-the next level, up to one root. A node's digest is that of its children's positions and digests in order, so trees of
-replicas are built apart and compared from the root; only children of nodes that differ are read. Records of differing
-ranges are then matched by id, url and digest, what is left over by id, url and place among equals; the primary's range and
-offset tell which record it is.
-
-Defined cases: a null url or html is empty in its record; null ids have a file of their own; equal records are counted
-apart; two empty replicas have equal roots; an empty replica lacks all records.
+Records are laid out in files of 2 ** FILE_BITS consecutive ids, ordered by id, url and digest; equal records are one row
+with a count of copies. The primary's layout (its manifest) splits a file whose ids hold more than FILE_RECORDS rows into
+parts by a hash of id, url and digest. A leaf is the SHA-256 of a record. Records whose offsets begin in the same
+RANGE_BYTES of a part make a range node, ranges a part's node; FAN parts of a file and then FAN files make a node of the
+next level, up to a level of at most FAN nodes under the root. So every node has few children whatever ids there are. A
+node's digest is that of its children's positions and digests in order, so trees of replicas are built apart and compared
+from the root; each level's differing nodes are written before the next level is read, and only children of nodes that
+differ are compared. Records of differing ranges are then matched by id, url and digest, what is left over by id, url and
+place among the left-over copies; the primary's range and offset tell which record it is.
+
+Defined cases: a null url or html is empty in its record; null ids have a file of their own, after all others; of equal
+records the last copies are the ones that a fault marks; very long records are leaves as any other; two empty replicas
+have equal roots; an empty replica lacks all records; further columns are not read.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+import hashlib
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textio
+from .running import each_copy
 
-FILE_IDS, FILE_RECORDS, RANGE_BYTES, FAN = 1024, 4096, 1 << 18, 16
-NO_ID = -(1 << 40)
+FILE_BITS, FILE_RECORDS, RANGE_BYTES, FAN_BITS = 10, 4096, 1 << 18, 4
+FAN = 1 << FAN_BITS
+#: The file of null ids: no 64-bit id has so large a file number.
+NO_ID = 1 << 60
+#: Copies of the manifest, so that the records of one split file are joined in several tasks.
+SALTS = 16
+
+RECORD, NODE = ["file", "id", "url", "digest"], ["file", "part"]
 
 
 def warc_record(key: str, url: str, html: str | Column) -> Column:
@@ -41,98 +51,129 @@ def warc_record(key: str, url: str, html: str | Column) -> Column:
 
 
 def _file(key: str) -> Column:
-    return F.coalesce(F.floor(F.col(key) / FILE_IDS).cast("long"), F.lit(NO_ID))
+    return F.coalesce(F.shiftright(F.col(key).cast("long"), FILE_BITS), F.lit(NO_ID))
 
 
 def manifest(pages: DataFrame, key: str = "page_id") -> DataFrame:
-    """Files that are split, and into how many parts."""
-    return pages.groupBy(_file(key).alias("file")).agg(F.ceil(F.count(F.lit(1)) / FILE_RECORDS).cast("int").alias("parts")).where("parts > 1")
+    """Files that are split, and into how many parts: at most a row for FILE_RECORDS rows of pages."""
+    counts = pages.groupBy(_file(key).alias("file")).agg(F.ceil(F.count(F.lit(1)) / FILE_RECORDS).cast("long").alias("parts"))
+    return textio.save(counts.where("parts > 1"), "manifest")[0]
 
 
 class Tree:
-    """A replica's levels: records, ranges, files and the nodes above, written to the shared folder."""
-
-    def __init__(self, pages: DataFrame, layout: DataFrame, *, key: str = "page_id", url: str = "url", html: str = "html", height: int | None = None) -> None:
-        record = warc_record(key, url, html)
-        rows = pages.select(F.col(key).alias("id"), F.coalesce(url, F.lit("")).alias("url"), record.alias("record"), _file(key).alias("file"))
-        rows = rows.select("id", "url", "file", F.octet_length("record").cast("long").alias("n_bytes"), F.sha2(F.col("record").cast("binary"), 256).alias("digest"))
-        rows = rows.join(layout, "file", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("url"), F.col("parts")).cast("int"), F.lit(0))).drop("parts")
-        order = Window.partitionBy("file", "part").orderBy("id", "url", "digest").rowsBetween(Window.unboundedPreceding, -1)
-        rows = rows.withColumn("offset", F.coalesce(F.sum("n_bytes").over(order), F.lit(0).cast("long")))
-        self.records, _ = textio.save(rows.withColumn("range", F.floor(F.col("offset") / RANGE_BYTES).cast("long")), "records")
-        self.ranges, _ = textio.save(self._above(self.records, ["file", "part", "range"], ["offset"]), "ranges")
-        files = self._above(self.ranges, ["file"], ["part", "range"]).withColumnRenamed("file", "node")
-        if height is None:
-            most = self.records.agg(F.max(F.abs("file"))).first()[0] or 0
-            height = 0
-            while FAN**height <= most:
-                height += 1
-        self.levels = [textio.save(files, "nodes")[0]]
-        for _ in range(height):
-            below = self.levels[-1].withColumn("up", F.floor(F.col("node") / FAN).cast("long"))
-            self.levels.append(self._above(below, ["up"], ["node"]).withColumnRenamed("up", "node"))
-        self.levels.append(self._above(self.levels[-1].withColumn("top", F.lit(0)), ["top"], ["node"]).select(F.col("top").cast("long").alias("node"), "digest"))
-        self.height = height
-
-    @staticmethod
-    def _above(children: DataFrame, by: list[str], place: list[str]) -> DataFrame:
-        """Nodes over children: the digest of their places and digests in order. A node has a bounded number of children."""
-        listed = F.array_sort(F.collect_list(F.struct(*place, "digest")))
-        text = F.array_join(F.transform(listed, lambda c: F.concat_ws(":", *(c[p].cast("string") for p in place), c["digest"])), "\n")
-        return children.groupBy(*by).agg(F.sha2(text.cast("binary"), 256).alias("digest"))
-
-    def root(self) -> str | None:
-        row = self.levels[-1].select("digest").first()
-        return row and row.digest
+    """A replica's records, ranges and levels of nodes (file, part, digest), written to the shared folder."""
+
+    def __init__(self, pages: DataFrame, layout: DataFrame, *, key: str = "page_id", url: str = "url", html: str = "html") -> None:
+        self.spark, self.paths = pages.sparkSession, []
+        rows = pages.select(F.col(key).cast("long").alias("id"), F.coalesce(url, F.lit("")).alias("url"), warc_record(key, url, html).alias("record"), _file(key).alias("file"))
+        rows = rows.select("file", "id", "url", F.octet_length("record").cast("long").alias("n_bytes"), F.sha2(F.col("record").cast("binary"), 256).alias("digest"))
+        rows = rows.groupBy(*RECORD).agg(F.first("n_bytes").alias("n_bytes"), F.count(F.lit(1)).alias("copies"))
+        rows = rows.withColumn("_hash", F.xxhash64("id", "url", "digest")).withColumn("_salt", F.pmod(F.shiftright("_hash", 32), F.lit(SALTS)))
+        salted = layout.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+        rows = rows.join(salted, ["file", "_salt"], "left").withColumn("part", F.coalesce(F.pmod("_hash", "parts"), F.lit(0).cast("long"))).drop("parts", "_salt", "_hash")
+        order = Window.partitionBy(*NODE).orderBy("id", "url", "digest").rowsBetween(Window.unboundedPreceding, -1)
+        rows = rows.withColumn("offset", F.coalesce(F.sum(F.col("n_bytes") * F.col("copies")).over(order), F.lit(0).cast("long")))
+        self.records, self.records_path = textio.save(rows.withColumn("range", F.floor(F.col("offset") / RANGE_BYTES).cast("long")), "records")
+        self.ranges = self._save(_above(self.records, [*NODE, "range"], ["offset", "copies"]))
+        self.levels = [self._save(_above(self.ranges, NODE, ["range"]))]
+
+    def _save(self, nodes: DataFrame) -> DataFrame:
+        out, path = textio.save(nodes, "nodes")
+        self.paths.append(path)
+        return out
+
+    def raise_level(self, step: str) -> None:
+        """Add a level above the last one, with nodes of FAN neighbouring parts or files (step)."""
+        below = self.levels[-1].withColumn("_place", F.col(step)).withColumn(step, F.shiftright(step, FAN_BITS))
+        self.levels.append(self._save(_above(below, NODE, ["_place"])))
+
+    def root(self) -> str:
+        """The digest of the top level, which has at most FAN nodes."""
+        top = sorted(self.levels[-1].select(*NODE, "digest").collect())
+        return hashlib.sha256("\n".join(f"{r.file}:{r.part}:{r.digest}" for r in top).encode()).hexdigest()
+
+    def drop_nodes(self) -> None:
+        textio.drop(self.spark, *self.paths)
+
+
+def _above(children: DataFrame, by: list[str], place: list[str]) -> DataFrame:
+    """Nodes over children: the digest of their places and digests in order."""
+    listed = F.array_sort(F.collect_list(F.struct(*place, "digest")))
+    text = F.array_join(F.transform(listed, lambda c: F.concat_ws(":", *(c[p].cast("string") for p in place), c["digest"])), "\n")
+    return children.groupBy(*by).agg(F.sha2(text.cast("binary"), 256).alias("digest"))
+
+
+def build(pages: list[DataFrame], layout: DataFrame, **columns) -> tuple[list[Tree], list[str]]:
+    """Trees of replicas (the primary first) of equal height, and the steps of their levels."""
+    trees = [Tree(p, layout, **columns) for p in pages]
+    most = layout.agg(F.max("parts")).first()[0] or 1
+    steps = ["part"] * (-(-(most - 1).bit_length() // FAN_BITS))
+    for step in steps:
+        for t in trees:
+            t.raise_level(step)
+    while any(t.levels[-1].count() > FAN for t in trees):
+        steps.append("file")
+        for t in trees:
+            t.raise_level("file")
+    return trees, steps
 
 
 def _differing(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:
-    other = b.select(*(F.col(c).alias(f"_{c}") for c in by), F.col("digest").alias("_digest"))
-    on = reduce(lambda x, y: x & y, (F.col(c) == F.col(f"_{c}") for c in by))
-    return a.join(other, on, "full").where(~F.col("digest").eqNullSafe(F.col("_digest"))).select(*(F.coalesce(c, f"_{c}").alias(c) for c in by))
-
-
-def audit(primary: Tree, replica: Tree) -> DataFrame:
-    """file, part, id, url, place, range and offset (the primary's; null, if extra), digest, other_digest and status (corrupt, missing, extra) of the records that differ."""
-    if primary.height != replica.height:
-        raise ValueError("the trees have other heights")
-    bad = _differing(primary.levels[-1], replica.levels[-1], ["node"])
-    for k in range(len(primary.levels) - 2, -1, -1):
-        top = k == len(primary.levels) - 2
-        up = F.lit(0).cast("long") if top else F.floor(F.col("node") / FAN).cast("long")
-        over = bad.withColumnRenamed("node", "up")
-        a, b = (t.levels[k].withColumn("up", up).join(over, "up", "left_semi") for t in (primary, replica))
-        bad = _differing(a, b, ["node"])
-    over = bad.withColumnRenamed("node", "file")
-    bad = _differing(*(t.ranges.join(over, "file", "left_semi") for t in (primary, replica)), ["file", "part", "range"])
-    record = ["file", "part", "id", "url"]
-    a, b = (t.records.join(bad, ["file", "part", "range"], "left_semi").select(*record, "range", "offset", "digest", F.lit(side).alias("side")) for side, t in enumerate((primary, replica)))
-    both = a.unionByName(b).repartition(*record)
-    equal = Window.partitionBy(*record, "digest")
-    copy = F.row_number().over(Window.partitionBy(*record, "digest", "side").orderBy("offset"))
-    there = F.when(F.col("side") == 0, F.sum("side").over(equal)).otherwise(F.sum(1 - F.col("side")).over(equal))
-    left = both.withColumn("copy", copy).withColumn("there", there).where("copy > there")
-    left = left.withColumn("place", F.row_number().over(Window.partitionBy(*record, "side").orderBy("digest", "offset")))
-    mine = {c: F.max(F.when(F.col("side") == 0, F.col(c))).alias(c) for c in ("range", "offset", "digest")}
-    pairs = left.groupBy(*record, "place").agg(*mine.values(), F.max(F.when(F.col("side") == 1, F.col("digest"))).alias("other_digest"))
+    both = a.select(*by, "digest").join(b.select(*by, F.col("digest").alias("_digest")), by, "full")
+    return both.where(~F.col("digest").eqNullSafe(F.col("_digest"))).select(*by)
+
+
+def audit(primary: Tree, replica: Tree, steps: list[str]) -> DataFrame:
+    """file, part, id, url, place, range and offset (the primary's; null, if extra), n_bytes, digest, other_digest and status (corrupt, missing, extra) of each copy of a record that differs."""
+    trees, written = (primary, replica), []
+
+    def kept(df: DataFrame) -> DataFrame:
+        out, path = textio.save(df, "differing")
+        written.append(path)
+        return out
+
+    bad = kept(_differing(*(t.levels[-1] for t in trees), NODE))
+    for k in range(len(steps) - 1, -1, -1):
+        other = "file" if steps[k] == "part" else "part"
+        over = bad.select(F.col(steps[k]).alias("_up"), other)
+        bad = kept(_differing(*(t.levels[k].withColumn("_up", F.shiftright(steps[k], FAN_BITS)).join(over, ["_up", other], "left_semi") for t in trees), NODE))
+    bad = kept(_differing(*(t.ranges.join(bad, NODE, "left_semi") for t in trees), [*NODE, "range"]))
+    zero = F.lit(0).cast("long")
+    a, b = (t.records.join(bad, [*NODE, "range"], "left_semi") for t in trees)
+    both = a.select(*RECORD, "part", "offset", "n_bytes", F.col("copies").alias("mine"), zero.alias("other")).unionByName(b.select(*RECORD, F.lit(None).cast("long").alias("part"), F.lit(None).cast("long").alias("offset"), "n_bytes", zero.alias("mine"), F.col("copies").alias("other")))
+    both = both.groupBy(*RECORD).agg(F.max("part").alias("part"), F.max("offset").alias("offset"), F.max("n_bytes").alias("n_bytes"), F.sum("mine").alias("mine"), F.sum("other").alias("other"))
+    key = ["file", "id", "url"]
+    left = both.where("mine <> other").withColumn("side", (F.col("mine") < F.col("other")).cast("int")).withColumn("n", F.abs(F.col("mine") - F.col("other")))
+    left = kept(left.withColumn("start", F.sum("n").over(Window.partitionBy(*key, "side").orderBy("digest")) - F.col("n")))
+    each = each_copy(left, "n", ["id", "url", "digest"]).withColumn("place", F.col("start") + F.col("copy"))
+    each = each.withColumn("offset", F.col("offset") + (F.col("mine") - F.col("n") + F.col("copy")) * F.col("n_bytes"))  # the last copies
+    own = {c: F.max(F.when(F.col("side") == 0, F.col(c))).alias(c) for c in ("part", "offset", "n_bytes", "digest")}
+    pairs = each.groupBy(*key, "place").agg(*own.values(), F.max(F.when(F.col("side") == 1, F.col("digest"))).alias("other_digest"))
     status = F.when(F.col("other_digest").isNull(), "missing").when(F.col("digest").isNull(), "extra").otherwise("corrupt")
-    return pairs.withColumn("status", status)
+    out, _ = textio.save(pairs.withColumn("range", F.floor(F.col("offset") / RANGE_BYTES).cast("long")).withColumn("status", status), "faults")
+    textio.drop(primary.spark, *written)
+    return out
 
 
 def fixity_report(primary: DataFrame, replica: DataFrame, *, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """Every record of the primary with file, offset, n_bytes, record_sha256 and status, and the replica's extra ones."""
-    layout = manifest(primary, key)
-    a = Tree(primary, layout, key=key, url=url, html=html)
-    b = Tree(replica, layout, key=key, url=url, html=html, height=a.height)
-    if a.root() == b.root():
-        found = a.records.withColumn("status", F.lit("intact"))
-        return found.select(F.col("id").alias(key), "file", "offset", "n_bytes", F.col("digest").alias("record_sha256"), "status")
-    bad, _ = textio.save(audit(a, b), "differing")
-    marks = bad.where("status <> 'extra'").select("file", "part", "offset", "status")
-    found = a.records.join(marks, ["file", "part", "offset"], "left")
-    rows = found.select(F.col("id").alias(key), "file", "offset", "n_bytes", F.col("digest").alias("record_sha256"), F.coalesce("status", F.lit("intact")).alias("status"))
-    extra = bad.where("status = 'extra'").select(F.col("id").alias(key), "file", F.lit(None).cast("long").alias("offset"), F.lit(None).cast("long").alias("n_bytes"), F.col("other_digest").alias("record_sha256"), "status")
-    return rows.unionByName(extra)
+    """Every record of the primary with file, offset (in its part of the file), n_bytes, record_sha256 and status, and the replica's extra ones."""
+    (a, b), steps = build([primary, replica], manifest(primary, key), key=key, url=url, html=html)
+    same = a.root() == b.root()
+    bad = None if same else audit(a, b, steps)
+    for t in (a, b):
+        t.drop_nodes()
+    textio.drop(a.spark, b.records_path)
+    copies = each_copy(a.records, "copies", ["id", "url", "digest"]).withColumn("offset", F.col("offset") + F.col("copy") * F.col("n_bytes"))
+    if same:
+        found = copies.withColumn("status", F.lit("intact"))
+    else:
+        marks = bad.where("status <> 'extra'").select(*NODE, "offset", "status")
+        found = copies.join(marks, [*NODE, "offset"], "left").withColumn("status", F.coalesce("status", F.lit("intact")))
+    found = found.select(F.col("id").alias(key), "file", "offset", "n_bytes", F.col("digest").alias("record_sha256"), "status")
+    if same:
+        return found
+    none = F.lit(None).cast("long")
+    return found.unionByName(bad.where("status = 'extra'").select(F.col("id").alias(key), "file", none.alias("offset"), none.alias("n_bytes"), F.col("other_digest").alias("record_sha256"), "status"))
 
 
 def damaged(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:

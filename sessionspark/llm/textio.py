@@ -6,13 +6,15 @@ temporary arrays of a task stay small whatever the batch holds; one row is never
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 PIECE_BYTES = 1 << 20
 
@@ -30,10 +32,16 @@ NON_SPACE_BYTES = np.ones(256, bool)
 NON_SPACE_BYTES[[32, 9, 10, 11, 12, 13]] = False
 
 
+#: Tables that save() wrote and drop() hasn't deleted.
+_written: set[str] = set()
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share; a temporary one only where that is unset."""
+    """The folder in spark.checkpoint.dir, which driver and executors share. Where it is unset, a local session gets a temporary one; a cluster must name its own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="llm-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
@@ -44,13 +52,32 @@ def save(df: DataFrame, name: str = "table") -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.add(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
-def drop(spark: SparkSession, path: str) -> None:
-    """Delete a table that save() wrote, on whatever file system it is."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+def drop(spark: SparkSession, *paths: str) -> None:
+    """Delete tables that save() wrote, on whatever file system they are."""
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        _written.discard(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all tables that this session's operators still hold. Results that read them must have been written before."""
+    drop(spark, *list(_written))
+
+
+def quoted(column: str) -> str:
+    """A column's name in a form that dots, spaces and backticks in it don't change."""
+    return "`" + column.replace("`", "``") + "`"
+
+
+def carried(df: DataFrame, *columns: str) -> list[Column]:
+    """All columns of df as one struct _doc, and the given ones as _c0, _c1, ...: names that operators add can't clash with df's."""
+    doc = F.struct(*(F.col(quoted(c)) for c in df.columns)).alias("_doc")
+    return [doc, *(F.col(quoted(c)).alias(f"_c{k}") for k, c in enumerate(columns))]
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

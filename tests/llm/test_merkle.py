@@ -1,37 +1,114 @@
-"""Faults in one of several equal records."""
+"""The fixity audit against a plain comparison of records: faults among copies, null and huge ids, split files, high trees."""
 
 import hashlib
+import time
+from collections import Counter
 
-from sessionspark.llm import merkle
+import pytest
 
+from sessionspark.llm import merkle, textio
 
-def _pages(spark, htmls):
-    return spark.createDataFrame([(1, "u", h) for h in htmls], "page_id long, url string, html string")
+SCHEMA = "page_id long, url string, html string, file long, part long, digest string"  # the last three clash with the operator's own
 
 
-def _digest(html):
-    head = f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:1>\r\nWARC-Target-URI: u\r\nContent-Type: text/html\r\nContent-Length: {len(html)}\r\n\r\n"
-    return hashlib.sha256(f"{head}{html}\r\n\r\n".encode()).hexdigest()
+def _pages(spark, rows):
+    return spark.createDataFrame([(*r, 7, 8, "x") for r in rows], SCHEMA)
 
 
-def test_fault_in_one_of_copies_over_two_ranges_is_reported_in_its_range(spark):
+def _record(page_id, url, html):
+    body = (html or "").encode()
+    head = f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>\r\nWARC-Target-URI: {url or ''}\r\nContent-Type: text/html\r\nContent-Length: {len(body)}\r\n\r\n"
+    return head.encode() + body + b"\r\n\r\n"
+
+
+def _digest(*row):
+    return hashlib.sha256(_record(*row)).hexdigest()
+
+
+def _expected(primary, replica):
+    """(page_id, digest, status) of every row of the report: equal digests first, then what is left by place."""
+    out, keys = [], {(i, u or "") for i, u, _ in [*primary, *replica]}
+    for key in keys:
+        a, b = (Counter(_digest(i, u, h) for i, u, h in rows if (i, u or "") == key) for rows in (primary, replica))
+        out += [(key[0], d, "intact") for d in (a & b).elements()]
+        mine, other = sorted((a - b).elements()), sorted((b - a).elements())
+        out += [(key[0], d, "corrupt" if k < len(other) else "missing") for k, d in enumerate(mine)]
+        out += [(key[0], d, "extra") for d in other[len(mine) :]]
+    return sorted(out, key=repr)
+
+
+def _report(spark, primary, replica):
+    rows = merkle.fixity_report(_pages(spark, primary), _pages(spark, replica)).collect()
+    assert sorted(((r.page_id, r.record_sha256, r.status) for r in rows), key=repr) == _expected(primary, replica)
+    return rows
+
+
+BASE = [(k, f"u{k % 5}", f"text {k}") for k in range(40)] + [(k, "far", f"<p>{k}") for k in ((1 << 53) + 5, (1 << 62) + 1, -9, -(1 << 61))] + [(None, "none", "a"), (None, "none", "b"), (None, None, None), (3, "u3", "text 3"), (8, "long", "x" * 300_000)]
+
+
+def test_null_and_huge_ids_in_a_damaged_replica(spark):
+    began = time.time()
+    spoilt = [(i, u, "#" + h if h and k % 3 == 0 else h) for k, (i, u, h) in enumerate(BASE) if k % 7 != 2] + [(None, "new", "n"), ((1 << 60) - 1, "new", "n")]
+    rows = _report(spark, BASE, spoilt)
+    assert {r.status for r in rows} == {"intact", "corrupt", "missing", "extra"}
+    assert time.time() - began < 120
+
+
+@pytest.mark.parametrize(("primary", "replica"), [(BASE, BASE), (BASE, []), ([], BASE), ([], []), (BASE[:1], [(BASE[0][0], BASE[0][1], None)])])
+def test_whole_and_empty_replicas(spark, primary, replica):
+    _report(spark, primary, replica)
+
+
+def test_nodes_have_few_children_and_the_descent_reads_them(spark, monkeypatch):
+    """Files are split, levels of parts and of files stand above each other, and no node has more children than it may."""
+    monkeypatch.setattr(merkle, "FILE_RECORDS", 4)
+    monkeypatch.setattr(merkle, "FILE_BITS", 1)
+    monkeypatch.setattr(merkle, "RANGE_BYTES", 400)
+    monkeypatch.setattr(merkle, "FAN_BITS", 1)
+    monkeypatch.setattr(merkle, "FAN", 2)
+    rows = [(None if k % 3 == 0 else k * 1000, f"u{k}", "z" * (k % 90)) for k in range(120)] + [(5, "same", f"v{k}") for k in range(60)]
+    layout = merkle.manifest(_pages(spark, rows))
+    (a,), steps = merkle.build([_pages(spark, rows)], layout)
+    assert steps.count("part") >= 3 and steps.count("file") >= 3 and a.levels[-1].count() <= 2
+    assert a.ranges.groupBy("file", "part").count().agg({"count": "max"}).first()[0] <= 16
+    for below, step in zip(a.levels, steps, strict=False):
+        up = below.selectExpr(*(f"shiftright({c}, {int(c == step)}) as {c}" for c in ("file", "part")))
+        assert up.groupBy("file", "part").count().agg({"count": "max"}).first()[0] <= 2
+    spoilt = [(i, u, "?" if k in (9, 50, 130) else h) for k, (i, u, h) in enumerate(rows) if k not in (12, 140)]
+    bad = [r for r in _report(spark, rows, spoilt) if r.status != "intact"]
+    assert sorted(r.status for r in bad) == ["corrupt"] * 3 + ["missing"] * 2
+
+
+def test_the_plan_does_not_grow_with_the_tree(spark):
+    def lines(rows):
+        df = merkle.fixity_report(_pages(spark, rows), _pages(spark, [(i, u, h + "#") for i, u, h in rows]))
+        text = df._jdf.queryExecution().toString()
+        assert "NestedLoop" not in text and "Cartesian" not in text
+        return text.count("\n")
+
+    assert lines([(k << 52, "u", "a") for k in range(60)]) <= 1.2 * lines([(1, "u", "a")])
+
+
+def test_a_repeated_record_is_one_row_and_its_last_copies_are_marked(spark, monkeypatch):
+    monkeypatch.setattr("sessionspark.llm.running.CHUNK", 30)
     good = "x" * 2000
-    spoilt = next(h for k in range(100) if _digest(h := f"{k:03d}" + "x" * 1997) > _digest(good))
-    report = merkle.fixity_report(_pages(spark, [good] * 200), _pages(spark, [good] * 199 + [spoilt])).collect()
-    bad = [r for r in report if r.status != "intact"]
-    assert len(report) == 200 and [r.status for r in bad] == ["corrupt"]
-    assert bad[0].offset // merkle.RANGE_BYTES == 1 and bad[0].offset == max(r.offset for r in report)
-    assert bad[0].record_sha256 == _digest(good)
+    rows = _report(spark, [(1, "u", good)] * 200, [(1, "u", good)] * 199 + [(1, "u", "spoilt")])
+    bad = [r for r in rows if r.status != "intact"]
+    assert len(bad) == 1 and bad[0].offset // merkle.RANGE_BYTES == 1 and bad[0].offset == max(r.offset for r in rows)
+    assert len({r.offset for r in rows}) == 200
+    (tree,), _ = merkle.build([_pages(spark, [(1, "u", good)] * 200)], merkle.manifest(_pages(spark, [(1, "u", good)])))
+    assert tree.records.count() == 1
 
 
-def test_fault_in_one_of_differing_copies_names_its_digest(spark):
-    """Other copies keep their digests, wherever the spoilt one's new digest sorts; a lost copy is missing, a new one extra."""
+def test_a_fault_in_one_of_differing_copies_names_its_digest(spark):
     htmls = [f"{k:02d}" + "y" * 3000 for k in range(150)]
+    rows = [(1, "u", h) for h in htmls]
     for k in (0, 149):
-        report = merkle.fixity_report(_pages(spark, htmls), _pages(spark, [*htmls[:k], "spoilt" + htmls[k], *htmls[k + 1 :]])).collect()
-        assert [(r.record_sha256, r.status) for r in report if r.status != "intact"] == [(_digest(htmls[k]), "corrupt")]
-        assert len(report) == 150
-    report = merkle.fixity_report(_pages(spark, htmls), _pages(spark, htmls[1:])).collect()
-    assert [(r.record_sha256, r.status) for r in report if r.status != "intact"] == [(_digest(htmls[0]), "missing")]
-    report = merkle.fixity_report(_pages(spark, htmls[1:]), _pages(spark, htmls)).collect()
-    assert [(r.record_sha256, r.status, r.offset) for r in report if r.status != "intact"] == [(_digest(htmls[0]), "extra", None)]
+        bad = [r for r in _report(spark, rows, [*rows[:k], (1, "u", "spoilt"), *rows[k + 1 :]]) if r.status != "intact"]
+        assert [(r.record_sha256, r.status) for r in bad] == [(_digest(*rows[k]), "corrupt")]
+
+
+def test_nodes_are_deleted_after_the_audit(spark):
+    before = set(textio._written)
+    merkle.fixity_report(_pages(spark, BASE), _pages(spark, BASE[1:]))
+    assert len(set(textio._written) - before) <= 3  # the manifest, the primary's records and the faults
