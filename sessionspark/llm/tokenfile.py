@@ -1,21 +1,27 @@
 """Token-id files with a shared zstandard dictionary.
 
-A dictionary is trained on a bounded sample: the first SAMPLE_CHARS characters of about SAMPLE_DOCS texts that a hash of
-the id picks (8 times as many at most, where ids repeat), serialized as ids. Documents are sorted by id over range partitions; each task encodes its documents, compresses
+A dictionary is trained on a bounded sample: SAMPLE_CHARS characters, at a hashed place, of about SAMPLE_DOCS different
+texts that a hash of id and text picks from all, serialized as ids. Documents are sorted by id over range partitions; each task encodes its documents, compresses
 the little-endian 32-bit ids of each document on its own, and writes blocks of about BLOCK_BYTES. A block is a row of a
-Parquet table: the frames one after the other, their offsets, document ids and token counts, the ids written before it in
-its partition, and the dictionary's SHA-256. A reader finds a document by its block's id range and slices its frame.
+Parquet table: the frames one after the other, their offsets, document ids and token counts, the least and greatest id, the
+ids written before it in its partition, and the dictionary's SHA-256. A reader finds a document by its block's id range (which
+Parquet's statistics hold too) and slices its frame.
 
 Texts are cut before each space that a non-space follows: byte-level BPE never joins tokens across such a cut, so the
-tokenizers library encodes each distinct piece of text once per cache, and a document's ids are gathered from there.
+tokenizers library encodes each distinct piece of text once per cache, and a document's ids are gathered from there. The
+strings of added tokens (as an end mark) part a text as the library parts it and have their own ids. A piece is looked up
+by a 64-bit hash and its bytes are compared; one that shares its hash with other bytes is encoded alone.
 
 Defined cases: a null text is empty and has the end id only; null ids come first; rows with equal ids are ordered by a
-hash of the text; an empty table gives an empty file; further columns are not stored.
+hash of the text; an empty table gives an empty file; a very long text is one frame, encoded piece by piece; further
+columns, whatever their names, are not stored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -32,8 +38,10 @@ from . import textio
 SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 1024, 4096, 1 << 16
 BLOCK_BYTES, BLOCK_DOCS = 1 << 20, 4096
 LEVEL = 3
+#: Row groups are small, so that a reader of few documents passes over most of a file by the statistics of first_id and last_id.
+ROW_GROUP_BYTES = 8 << 20
 
-BLOCKS = "part int, block int, doc_ids array<bigint>, n_tokens array<bigint>, offsets array<bigint>, start_in_part long, n_ids long, payload binary, dictionary string"
+BLOCKS = "part int, block int, first_id long, last_id long, doc_ids array<bigint>, n_tokens array<bigint>, offsets array<bigint>, start_in_part long, n_ids long, payload binary, dictionary string"
 
 
 #: Bytes after a space before which a text is cut: ASCII but for white space, and all that cannot begin white space.
@@ -43,62 +51,72 @@ _AS_IS = np.arange(256, dtype=np.uint8)
 
 
 class Encoder:
-    """Ids of texts by the tokenizers library, with a bounded cache of pieces, kept by 64-bit hashes.
+    """Ids of texts by the tokenizers library (added tokens parsed, none added), with a bounded cache of pieces.
 
-    Only pieces of at most LONGEST bytes are kept: below a kilobyte the hash has no structural collisions.
+    Only pieces of at most LONGEST bytes are kept: below a kilobyte the hash has no structural collisions, and others are found by their bytes.
     """
 
-    CACHE, LONGEST, JOINED, FRESH = 1_500_000, 64, 512, 1 << 18
+    CACHE, LONGEST, JOINED, FRESH = 1_000_000, 64, 512, 1 << 18
 
     def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel ones
         from tokenizers import Tokenizer
 
-        self.plain, self.parted = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        self.plain.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.mark = next(t.content for t in self.parted.get_added_tokens_decoder().values() if t.special)
-        self.mark_id = self.parted.token_to_id(self.mark)
+        self.library = Tokenizer.from_file(path)
+        added = self.library.get_added_tokens_decoder()
+        if any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in added.values()) or not added:
+            raise ValueError("added tokens must match their bare strings")
+        self.marks = {t.content: i for i, t in added.items()}
+        self.mark = max(self.marks)
+        self._mark_bytes = re.compile(b"|".join(re.escape(m.encode()) for m in sorted(self.marks, key=len, reverse=True)))
         self._clear()
 
     def _clear(self) -> None:
         # Hashes and numbers of the pieces kept, sorted by hash: a large table, and a small one of those added of late.
-        self.known = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))] * 2
+        self.known = [(np.zeros(0, np.uint64), np.zeros(0, np.int32))] * 2
         self.ids, self.used = np.zeros(1 << 20, np.uint32), 0
-        self.first, self.length, self.n = np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int64), 0
-
-    def _encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of pieces, one after the other, and their counts: many at a time, parted by a special token that none holds."""
-        joined = [i for i, p in enumerate(pieces) if self.mark not in p]
-        alone = [i for i, p in enumerate(pieces) if self.mark in p]
-        ids, counts = [], []
-        groups = [joined[i : i + self.JOINED] for i in range(0, len(joined), self.JOINED)]
-        for group, e in zip(groups, self.parted.encode_batch_fast([self.mark.join([*(pieces[i] for i in g), ""]) for g in groups], add_special_tokens=False), strict=True):
+        self.bytes, self.used_bytes = np.zeros(1 << 20, np.uint8), 0
+        self.first, self.length, self.at, self.size = (np.zeros(1 << 18, np.int32) for _ in range(4))
+        self.n = 0
+
+    def _encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of pieces, one after the other, their begins and counts: many at a time, parted by an added token that none holds."""
+        groups = [pieces[i : i + self.JOINED] for i in range(0, len(pieces), self.JOINED)]
+        ids, counts = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        mark_id = self.marks[self.mark]
+        for group, e in zip(groups, self.library.encode_batch_fast([self.mark.join([*g, ""]) for g in groups], add_special_tokens=False), strict=True):
             x = np.array(e.ids, np.uint32)
-            ends = np.flatnonzero(x == self.mark_id)
+            ends = np.flatnonzero(x == mark_id)
+            if len(ends) != len(group):
+                raise ValueError("the added token doesn't part the pieces")
             ids.append(np.delete(x, ends))
             counts.append(np.diff(ends, prepend=-1) - 1)
-            if len(ends) != len(group):
-                raise ValueError("the special token doesn't part the pieces")
-        for i in alone:
-            ids.append(np.array(self.plain.encode(pieces[i], add_special_tokens=False).ids, np.uint32))
-            counts.append(np.array([len(ids[-1])]))
-        order = np.array(joined + alone, np.int64)
-        n, flat = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (counts, ids))
-        first = np.zeros(len(pieces), np.int64)
-        first[order], count = np.cumsum(n) - n, np.zeros(len(pieces), np.int64)
-        count[order] = n
-        return flat, np.stack([first, count])
-
-    def _add(self, pieces: list[str]) -> int:
-        """Store the ids of pieces; returns the first one's number."""
-        flat, (first, count) = self._encode(pieces)
-        while self.used + len(flat) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while self.n + len(pieces) > len(self.first):
-            self.first, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.length))
+        count = np.concatenate(counts)
+        return np.concatenate(ids), np.cumsum(count) - count, count
+
+    def _add(self, text: bytes, starts: np.ndarray, ends: np.ndarray, keep: bool) -> np.ndarray:
+        """Store the ids (and, to keep them, the bytes) of pieces; returns their numbers."""
+        raw = [text[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+        flat, first, count = self._encode([r.decode() for r in raw])
+        n = len(raw)
+        self.ids = _room(self.ids, self.used + len(flat))
+        self.first, self.length, self.at, self.size = (_room(x, self.n + n) for x in (self.first, self.length, self.at, self.size))
+        here = slice(self.n, self.n + n)
         self.ids[self.used : self.used + len(flat)] = flat
-        self.first[self.n : self.n + len(pieces)], self.length[self.n : self.n + len(pieces)] = first + self.used, count
-        self.used, self.n = self.used + len(flat), self.n + len(pieces)
-        return self.n - len(pieces)
+        self.first[here], self.length[here] = first + self.used, count
+        self.used += len(flat)
+        if keep:
+            size = ends - starts
+            total = int(size.sum())
+            self.bytes = _room(self.bytes, self.used_bytes + total)
+            self.bytes[self.used_bytes : self.used_bytes + total] = np.frombuffer(b"".join(raw), np.uint8)
+            self.at[here], self.size[here] = np.cumsum(size) - size + self.used_bytes, size
+            self.used_bytes += total
+        self.n += n
+        return np.arange(self.n - n, self.n)
+
+    def _hash(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return textio.span_hashes(data, starts, ends, _AS_IS)
 
     def _find(self, h: np.ndarray) -> np.ndarray:
         """Numbers of the pieces with these hashes, -1 where there is none."""
@@ -123,34 +141,62 @@ class Encoder:
             large, small = merged(large, small), (small[0][:0], small[1][:0])
         self.known = [large, small]
 
+    def _others(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, number: np.ndarray) -> np.ndarray:
+        """Which pieces have other bytes than those kept under their numbers."""
+        size = ends - starts
+        wrong = size != self.size[number]
+        same = np.flatnonzero(~wrong)
+        n = size[same]
+        last = np.cumsum(n)
+        step = np.arange(int(last[-1]) if len(last) else 0)
+        unequal = data[np.repeat(starts[same] - (last - n), n) + step] != self.bytes[np.repeat(self.at[number[same]] - (last - n), n) + step]
+        wrong[same[np.searchsorted(last, np.flatnonzero(unequal), "right")]] = True
+        return np.flatnonzero(wrong)
+
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows of a piece of a text column, and where each row's begin and end."""
         if self.n > self.CACHE:
             self._clear()
+        text = data.tobytes()
         cut = np.zeros(len(data) + 1, bool)
         cut[:-2] = (data[:-1] == 32) & _AFTER_CUT[data[1:]] if len(data) else False
+        marked = [m.span() for m in self._mark_bytes.finditer(text)]
+        if marked:  # not across rows
+            row = np.searchsorted(offsets, [a for a, _ in marked], "right") - 1
+            marked = [m for m, r in zip(marked, row.tolist(), strict=True) if m[1] <= offsets[r + 1]]
         full = np.flatnonzero(np.diff(offsets))
+        ends = np.concatenate((offsets[full + 1], np.array([a for a, _ in marked], np.int64)))
+        cut[np.maximum(ends - 1, 0)] = False  # white space at an end isn't parted from what stands before it
         cut[offsets[full]] = True
+        for a, b in marked:
+            cut[a:b] = False
+            cut[a] = cut[b] = True
         cut[-1] = True
         at = np.flatnonzero(cut)
         starts, ends = at[:-1], at[1:]
-        number = np.empty(len(starts), np.int64)
-        text = data.tobytes()
-        long = np.flatnonzero(ends - starts > self.LONGEST)
-        short = np.flatnonzero(ends - starts <= self.LONGEST)
-        h, one, same = np.unique(textio.span_hashes(data, starts[short], ends[short], _AS_IS), return_index=True, return_inverse=True)
+        number = np.zeros(len(starts), np.int64)
+        special = np.searchsorted(starts, np.array([a for a, _ in marked], np.int64))
+        usual = np.ones(len(starts), bool)
+        usual[special] = False
+        size = ends - starts
+        short, long = np.flatnonzero(usual & (size <= self.LONGEST)), np.flatnonzero(usual & (size > self.LONGEST))
+        h, one, same = np.unique(self._hash(data, starts[short], ends[short]), return_index=True, return_inverse=True)
         found = self._find(h)
         new = np.flatnonzero(found < 0)
-        a, b = starts[short[one[new]]].tolist(), ends[short[one[new]]].tolist()
-        begin = self._add([text[x:y].decode() for x, y in zip(a, b, strict=True)])
-        found[new] = np.arange(begin, self.n)
+        found[new] = self._add(text, starts[short[one[new]]], ends[short[one[new]]], True)
         self._keep(h[new], found[new])
         number[short] = found[same]
-        begin = self._add([text[x:y].decode() for x, y in zip(starts[long].tolist(), ends[long].tolist(), strict=True)])
-        number[long] = np.arange(begin, self.n)
-        n = self.length[number]
+        other = short[self._others(data, starts[short], ends[short], number[short])]
+        alone = np.concatenate((long, other))
+        number[alone] = self._add(text, starts[alone], ends[alone], False)
+        n, first = self.length[number].astype(np.int64), self.first[number].astype(np.int64)
+        if marked:
+            own = {i: k for k, i in enumerate(sorted(set(self.marks.values())))}
+            self.ids = _room(self.ids, self.used + len(own))
+            self.ids[self.used : self.used + len(own)] = list(own)
+            n[special], first[special] = 1, [self.used + own[self.marks[text[a:b].decode()]] for a, b in marked]
         last = np.cumsum(n)
-        ids = self.ids[np.repeat(self.first[number] - (last - n), n) + np.arange(int(last[-1]) if len(last) else 0)]
+        ids = self.ids[np.repeat(first - (last - n), n) + np.arange(int(last[-1]) if len(last) else 0)]
         return ids, np.concatenate(([0], last))[np.searchsorted(starts, offsets)]
 
     def encode_texts(self, texts: list[str]) -> list[np.ndarray]:
@@ -159,6 +205,15 @@ class Encoder:
         return [ids[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
 
 
+def _room(x: np.ndarray, n: int) -> np.ndarray:
+    """x, or a longer copy that has n places."""
+    if n <= len(x):
+        return x
+    out = np.zeros(max(n, 2 * len(x)), x.dtype)
+    out[: len(x)] = x
+    return out
+
+
 _encoders: dict[str, Encoder] = {}
 
 
@@ -178,11 +233,13 @@ def train_dictionary(samples: list[bytes]) -> bytes:
 
 
 def _sample_dictionary(docs: DataFrame, key: str, text: str, tokenizer: str, end_id: int) -> bytes:
-    """A dictionary of about SAMPLE_DOCS documents, each taken where a hash of its id is under the share that gives so many."""
-    rows = docs.where(F.col(text).isNotNull())
+    """A dictionary of about SAMPLE_DOCS documents, each taken where a hash of its id and text is under the share that gives so many; equal ones count once."""
+    rows = docs.select(F.col(textio.quoted(key)).alias("k"), F.col(textio.quoted(text)).alias("t")).where("t is not null")
     share = min(1.0, SAMPLE_DOCS / max(1, rows.count()))
-    h = F.shiftrightunsigned(F.xxhash64(key, F.lit(9)), 11).cast("double") / float(1 << 53)
-    picked = rows.where(h < share).select(F.substring(text, 1, SAMPLE_CHARS).alias("t")).limit(8 * SAMPLE_DOCS)
+    rows = rows.withColumn("h", F.xxhash64("k", "t", F.lit(9)))
+    begin = F.pmod("h", F.greatest(F.length("t") - SAMPLE_CHARS, F.lit(0)) + 1) + 1
+    taken = F.shiftrightunsigned("h", 11).cast("double") / float(1 << 53) < share
+    picked = rows.where(taken).select("h", F.substring("t", begin.cast("int"), F.lit(SAMPLE_CHARS)).alias("t")).dropDuplicates(["h"]).select("t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -198,6 +255,7 @@ def write_tokens(docs: DataFrame, path: str, *, tokenizer: str, key: str = "doc_
     dictionary = _sample_dictionary(docs, key, text, tokenizer, end_id)
     digest = hashlib.sha256(dictionary).hexdigest()
     spark.createDataFrame([(digest, bytearray(dictionary))], "sha256 string, dictionary binary").coalesce(1).write.parquet(f"{path}/dictionary")
+    key, text = textio.quoted(key), textio.quoted(text)
     rows = docs.select(F.col(key).cast("long").alias("k"), F.xxhash64(text).alias("h"), F.monotonically_increasing_id().alias("m"), F.col(text).alias("t"))
     rows = rows.repartitionByRange("k", "h", "m").sortWithinPartitions("k", "h", "m").select("k", "t")
     names = [x.split()[0] for x in BLOCKS.split(", ")]
@@ -211,8 +269,9 @@ def write_tokens(docs: DataFrame, path: str, *, tokenizer: str, key: str = "doc_
         def full() -> pa.RecordBatch:
             offsets = np.concatenate(([0], np.cumsum([len(f) for f in frames]))).tolist()
             n = sum(counts)
-            row = [part, block, keys, counts, offsets, before - n, n, b"".join(frames), digest]
-            types = [pa.int32(), pa.int32(), *[pa.list_(pa.int64())] * 3, pa.int64(), pa.int64(), pa.binary(), pa.string()]
+            held = [k for k in keys if k is not None]
+            row = [part, block, min(held, default=None), max(held, default=None), keys, counts, offsets, before - n, n, b"".join(frames), digest]
+            types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), *[pa.list_(pa.int64())] * 3, pa.int64(), pa.int64(), pa.binary(), pa.string()]
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types, strict=True)], names=names)
 
         for batch in batches:
@@ -232,7 +291,7 @@ def write_tokens(docs: DataFrame, path: str, *, tokenizer: str, key: str = "doc_
         if keys:
             yield full()
 
-    rows.mapInArrow(run, BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
+    rows.mapInArrow(run, BLOCKS).write.option("compression", "none").option("parquet.block.size", ROW_GROUP_BYTES).parquet(f"{path}/blocks")
     return dictionary
 
 
@@ -257,10 +316,11 @@ def _unpack(batches: Iterator[pa.RecordBatch], digest: str, dictionary: bytes, w
 
 
 def read_tokens(spark, path: str, keys: list[int]) -> DataFrame:
-    """(doc_id, ids) of some documents: only blocks whose id range holds one are opened, and of them only those frames."""
+    """(doc_id, ids) of some documents: blocks whose id range holds none are passed over, and only the documents' frames are opened."""
     digest, dictionary = read_dictionary(spark, path)
-    blocks = spark.read.schema(BLOCKS).parquet(f"{path}/blocks").where(F.arrays_overlap("doc_ids", F.array(*(F.lit(k).cast("long") for k in keys))))
     wanted = frozenset(keys)
+    near = F.exists(F.array(*(F.lit(k).cast("long") for k in sorted(wanted))), lambda k: k.between(F.col("first_id"), F.col("last_id")))
+    blocks = spark.read.schema(BLOCKS).parquet(f"{path}/blocks").where((F.col("last_id") >= min(wanted)) & (F.col("first_id") <= max(wanted)) & near)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, docs in _unpack(batches, digest, dictionary, wanted):
@@ -286,7 +346,8 @@ def read_index(spark, path: str, key: str = "doc_id") -> DataFrame:
             crcs = [zlib.crc32(ids.tobytes()) for _, _, ids in docs]
             yield pa.RecordBatch.from_arrays([pa.array([d[1] for d in docs], pa.int64()), pa.array(starts), pa.array(counts), pa.array(crcs, pa.int64())], names=[key, "start", "n_tokens", "ids_crc32"])
 
-    return blocks.join(F.broadcast(bases), "part").mapInArrow(run, f"{key} long, start long, n_tokens long, ids_crc32 long")
+    schema = f"{textio.quoted(key)} long, start long, n_tokens long, ids_crc32 long"
+    return blocks.join(F.broadcast(bases), "part").mapInArrow(run, schema)
 
 
 def encode_to_file(docs: DataFrame, *, tokenizer: str | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
