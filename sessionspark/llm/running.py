@@ -31,10 +31,15 @@ def before_buckets(rows: DataFrame, by: list[str], bucket: str, value: str) -> D
     return per.withColumn("_within", within).join(high, [*by, "_high"]).select(*by, bucket, (F.col("_base") + F.col("_within")).alias("before"))
 
 
-def each_copy(rows: DataFrame, n: str, spread: list[str]) -> DataFrame:
-    """A row for each of a row's n copies (0 gives none), with copy 0 .. n - 1. Rows with many copies are dealt out by spread, so that no task writes them all."""
+def each_copy(rows: DataFrame, n: str, spread: list[str], most: int | None = None) -> DataFrame:
+    """A row for each of a row's n copies (0 gives none), with copy 0 .. n - 1.
+
+    Rows with more than CHUNK copies are dealt out by spread, so that no task writes them all; where most, the greatest n, is known to be no more, there are none.
+    """
     zero = F.lit(0).cast("long")
     few = rows.where(F.col(n).between(1, CHUNK)).withColumn("copy", F.explode(F.sequence(zero, F.col(n) - 1)))
+    if most is not None and most <= CHUNK:
+        return few
     many = rows.where(F.col(n) > CHUNK).withColumn("_chunk", F.explode(F.sequence(zero, F.call_function("div", F.col(n) - 1, F.lit(CHUNK).cast("long"))))).repartition(*spread, "_chunk")
     many = many.withColumn("copy", F.explode(F.sequence(F.col("_chunk") * CHUNK, F.least((F.col("_chunk") + 1) * CHUNK, F.col(n)) - 1))).drop("_chunk")
     return few.unionByName(many)

@@ -64,6 +64,11 @@ def drop(spark: SparkSession, *paths: str) -> None:
         _written.discard(path)
 
 
+def written() -> set[str]:
+    """The tables that save() wrote and that are still there."""
+    return set(_written)
+
+
 def release(spark: SparkSession) -> None:
     """Delete all tables that this session's operators still hold. Results that read them must have been written before."""
     drop(spark, *list(_written))
@@ -80,6 +85,15 @@ def carried(df: DataFrame, *columns: str) -> list[Column]:
     return [doc, *(F.col(quoted(c)).alias(f"_c{k}") for k, c in enumerate(columns))]
 
 
+def apart(df: DataFrame, text: str) -> list[Column]:
+    """The columns of df as a struct _rest and the text as _text; whole() puts them together again."""
+    return [F.struct(*(F.col(quoted(c)) for c in df.columns if c != text)).alias("_rest"), F.col(quoted(text)).alias("_text")]
+
+
+def whole(columns: list[str], text: str) -> list[Column]:
+    return [(F.col("_text") if c == text else F.col(f"_rest.{quoted(c)}")).alias(c) for c in columns]
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and row offsets of a string column; null rows are empty."""
     if not pa.types.is_large_string(column.type):

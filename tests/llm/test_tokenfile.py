@@ -1,6 +1,7 @@
 """The token-id file against the tokenizers library: marks in texts, pieces that share a hash, lookup by id ranges."""
 
 import random
+import uuid
 import zlib
 
 import numpy as np
@@ -57,7 +58,7 @@ def test_file_holds_the_library_ids_and_is_read_by_ranges(spark, library, monkey
         ids = np.array([*library(t), 2], "<u4")
         assert (got[k].start, got[k].n_tokens, got[k].ids_crc32) == (start, len(ids), zlib.crc32(ids.tobytes()))
         start += len(ids)
-    path = f"{textio.shared_folder(spark)}/ranges"
+    path = f"{textio.shared_folder(spark)}/ranges-{uuid.uuid4().hex}"
     tokenfile.write_tokens(docs, path, tokenizer=PATH, key="my id")
     found = tokenfile.read_tokens(spark, path, [3, 202, 999])
     assert {r.doc_id: r.ids for r in found.collect()} == {k: [*library(texts[k]), 2] for k in (3, 202)}
