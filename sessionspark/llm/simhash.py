@@ -2,7 +2,7 @@
 
 Equal fingerprints are first merged, so a group of copies is one value. The distinct fingerprints are dealt by
 population count into packed tiles of about TILE values. Two fingerprints within the radius have population counts that
-differ by the radius at most, so only such tiles are paired; inside a pair of tiles, values are sorted by the counts of
+differ by the radius at most, so only such tiles are paired, on a grid that sends a tile's bytes once to each run of tiles that it meets (tiles.py); inside a pair of tiles, values are sorted by the counts of
 their four 16-bit blocks, and runs of SUB values are skipped when the bounding boxes of these counts are further apart
 than the radius. The rest is numpy exclusive-or and bit counts over every pair of values. A pair of tiles gives back a
 spanning star of each group it finds, not the group's pairs; the stars' components over all tiles are the groups.
@@ -10,7 +10,9 @@ spanning star of each group it finds, not the group's pairs; the stars' componen
 Comparing all values takes time that grows with the square of the distinct fingerprints; the skips lessen the factor.
 
 Defined cases: a null or wordless text has fingerprint zero and links as any other; fewer words than a shingle are one
-shingle; a null id is passed over for the group's least id (null, if all are); repeated rows stay rows.
+shingle; a null id is passed over for the group's least id (null, if all are); repeated rows stay rows; a very long text is
+hashed whole, about a million shingles at a time; an empty table gives an empty result; other columns, whatever their names,
+are not read.
 """
 
 from __future__ import annotations
@@ -23,9 +25,11 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import textio
 from .components import connected_components
+from .tiles import over_pairs
 
 SHINGLE, RADIUS = 4, 4
 TILE, SUB = 1 << 14, 512
@@ -71,7 +75,8 @@ def fingerprints_of(data: np.ndarray, offsets: np.ndarray, shingle: int = SHINGL
 
 def fingerprint(docs: DataFrame, *, keys: list[str], text: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """keys and fp (64 bits as a long) of every row."""
-    schema = docs.select(*keys).schema.add("fp", "long")
+    docs = docs.select(*(F.col(textio.quoted(k)) for k in keys), F.col(textio.quoted(text)).alias("_text"))
+    schema = T.StructType([*docs.schema.fields[:-1], T.StructField("fp", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -80,7 +85,7 @@ def fingerprint(docs: DataFrame, *, keys: list[str], text: str = "text", shingle
             fp = np.concatenate(found) if found else np.zeros(0, np.uint64)
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(keys))), pa.array(fp.view(np.int64))], names=schema.names)
 
-    return docs.select(*keys, text).mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)
 
 
 def _blocks(fp: np.ndarray) -> np.ndarray:
@@ -90,7 +95,7 @@ def _blocks(fp: np.ndarray) -> np.ndarray:
 
 def _pack(group: pd.DataFrame) -> pd.DataFrame:
     fp = group["fp"].to_numpy(np.int64).view(np.uint64)
-    return pd.DataFrame({"pop": group["pop"].iloc[:1], "part": group["part"].iloc[:1], "fps": [fp[np.lexsort(_blocks(fp).T)].tobytes()]})
+    return pd.DataFrame({"class": group["class"].iloc[:1], "part": group["part"].iloc[:1], "payload": [fp[np.lexsort(_blocks(fp).T)].tobytes()]})
 
 
 def _boxes(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -139,37 +144,35 @@ def stars(a: np.ndarray, b: np.ndarray, same: bool, radius: int) -> tuple[np.nda
 def near_links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Links (u, v) that span the groups of distinct fingerprints (column fp) within the radius of each other."""
     spark = distinct.sparkSession
-    counted = distinct.select("fp", F.bit_count("fp").cast("int").alias("pop"))
-    sizes = dict(counted.groupBy("pop").count().collect())  # at most 65 rows
+    counted = distinct.select("fp", F.bit_count("fp").cast("int").alias("class"))
+    sizes = dict(counted.groupBy("class").count().collect())  # at most 65 rows
     parts = {p: -(-n // TILE) for p, n in sizes.items()}
     if not parts:
         return spark.createDataFrame([], "u long, v long")
     n_parts = F.create_map(*(F.lit(x) for kv in parts.items() for x in kv))
-    tiles = counted.withColumn("part", F.pmod(F.xxhash64("fp"), n_parts[F.col("pop")]).cast("int"))
-    tiles, _ = textio.save(tiles.groupBy("pop", "part").applyInPandas(_pack, "pop int, part int, fps binary"), "tiles")
-    other = tiles.select(F.col("pop").alias("pop2"), F.col("part").alias("part2"), F.col("fps").alias("fps2"))
-    pairs = tiles.withColumn("pop2", F.explode(F.sequence(F.col("pop"), F.col("pop") + radius))).join(other, "pop2").where("pop2 > pop or part2 >= part")
-    n = min(sum(parts[p] * sum(parts.get(p + d, 0) for d in range(radius + 1)) for p in parts), 8 * spark.sparkContext.defaultParallelism + sum(parts.values()))
+    tiles = counted.withColumn("part", F.pmod(F.xxhash64("fp"), n_parts[F.col("class")]).cast("int"))
+    tiles, _ = textio.save(tiles.groupBy("class", "part").applyInPandas(_pack, "class int, part int, payload binary"), "tiles")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for row in f.itertuples(index=False):
-                same = (row.pop, row.part) == (row.pop2, row.part2)
-                u, v = stars(np.frombuffer(row.fps, np.uint64), np.frombuffer(row.fps2, np.uint64), same, radius)
-                yield pd.DataFrame({"u": u.view(np.int64), "v": v.view(np.int64)})
+    def compare(a: bytes, b: bytes, same: bool) -> Iterator[pd.DataFrame]:
+        u, v = stars(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), same, radius)
+        yield pd.DataFrame({"u": u.view(np.int64), "v": v.view(np.int64)})
 
-    return pairs.repartition(max(1, n), "pop", "part", "pop2", "part2").select("pop", "part", "fps", "pop2", "part2", "fps2").mapInPandas(run, "u long, v long")
+    return over_pairs(tiles, parts, radius, compare, "u long, v long")
 
 
 def group_near_duplicates(docs: DataFrame, *, keys: list[str], key: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
     """keys, fp, label (of the group) and component_id (the group's least key) of every row."""
-    rows, _ = textio.save(fingerprint(docs, keys=keys, text=text), "fingerprints")
-    distinct, _ = textio.save(rows.groupBy("fp").agg(F.min(key).alias("least")), "distinct")
+    spark = docs.sparkSession
+    carried = docs.select(F.struct(*(F.col(textio.quoted(k)).alias(f"k{i}") for i, k in enumerate(keys))).alias("keys"), F.col(textio.quoted(key)).alias("key"), F.col(textio.quoted(text)).alias("text"))
+    rows, _ = textio.save(fingerprint(carried, keys=["keys", "key"]), "fingerprints")
+    distinct, distinct_path = textio.save(rows.groupBy("fp").agg(F.min("key").alias("least")), "distinct")
     labels = connected_components(near_links(distinct, radius))
     labelled = distinct.join(labels, distinct.fp == labels.node, "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
-    labelled, _ = textio.save(labelled, "labelled")
+    labelled, labelled_path = textio.save(labelled, "labelled")
     groups = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
-    return rows.join(labelled.select("fp", "label").join(groups, "label"), "fp", "left").select(*keys, "fp", "label", "component_id")
+    groups, _ = textio.save(labelled.select("fp", "label").join(groups, "label"), "groups")
+    textio.drop(spark, distinct_path, labelled_path)
+    return rows.join(groups, "fp", "left").select(*(F.col(f"keys.k{i}").alias(k) for i, k in enumerate(keys)), "fp", "label", "component_id")
 
 
 def op7_simhash_tiles(spark, sf_dir: str) -> DataFrame:
