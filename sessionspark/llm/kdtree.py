@@ -1,11 +1,11 @@
 """Exact top-k inner products by KD-trees of shards.
 
 Vectors are dealt by hash into shards of about SHARD rows; a task builds each shard's tree: median splits on the widest
-axis down to leaves of LEAF rows, every node with the tight bounding box of its rows. Queries are packed into blocks. A
-task walks the trees of its group of shards for a block of queries one after the other: boxes bound the inner product
-(the box corner that suits the query best), subtrees that no query can gain from are left out, and each query visits its
-leaves best bound first until the bound falls below its kth score. The kth scores pass from tree to tree. The groups'
-best are ranked at the end, at most k rows a group for each query.
+axis down to leaves of LEAF rows, every node with the tight bounding box of its rows. Queries are packed into blocks. Tasks
+form a grid of groups of trees by groups of blocks; a task holds its trees and streams its blocks, and for each block walks
+the trees one after the other: boxes bound the inner product (the box corner that suits the query best), subtrees that no
+query can gain from are left out, and each query visits its leaves best bound first until the bound falls below its kth
+score. The kth scores pass from tree to tree. The groups' best are ranked at the end, at most k rows a group for each query.
 
 Defined cases: vectors that are null or hold a null or non-finite component, and rows without an id, take no part; only
 vectors of equal length meet; equal ids are rows of their own; ties go to the smaller id, then the earlier row; fewer
@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from . import textio
 
 SHARD, LEAF, QUERIES = 8192, 256, 512
+#: Trees that a task holds and blocks of queries that it streams, at most.
+TREES, BLOCKS = 16, 256
 _NONE, _LAST = -(1 << 62), np.iinfo(np.int64).max
 
 
@@ -62,8 +64,8 @@ def _shard(group: pd.DataFrame) -> pd.DataFrame:
 
 
 def _block(group: pd.DataFrame) -> pd.DataFrame:
-    vectors = np.array(group["v"].tolist(), np.int64).reshape(len(group), -1)
-    return pd.DataFrame([[*group[["dim", "block"]].iloc[0], group["vec_id"].to_numpy(np.int64).tobytes(), group["row"].to_numpy(np.int64).tobytes(), vectors.tobytes()]], columns=["dim", "block", "q_ids", "q_rows", "q_vectors"])
+    vectors = _narrow(np.array(group["v"].tolist(), np.int64).reshape(len(group), -1))
+    return pd.DataFrame([[*group[["dim", "block"]].iloc[0], vectors.dtype.str, group["vec_id"].to_numpy(np.int64).tobytes(), group["row"].to_numpy(np.int64).tobytes(), vectors.tobytes()]], columns=["dim", "block", "kind", "ids", "rows", "vectors"])
 
 
 def _magnitude(x: np.ndarray) -> int:
@@ -74,7 +76,7 @@ class Best:
     """The k best candidates so far of each query of a block."""
 
     def __init__(self, rows: np.ndarray, vectors: np.ndarray, k: int) -> None:
-        self.q_rows, self.q, self.k = rows, vectors, k
+        self.q_rows, self.q, self.k = rows, vectors.astype(np.int64), k
         self.score = np.full((len(rows), k), _NONE, np.int64)
         self.ids, self.rows = np.full((len(rows), k), _LAST, np.int64), np.full((len(rows), k), -1, np.int64)
 
@@ -130,41 +132,51 @@ class Best:
                 self.visit(at, (q[at] @ x[a:b].T).astype(np.int64), ids[a:b], rows[a:b])
 
 
-def top_inner_products(queries: DataFrame, candidates: DataFrame, k: int, *, groups: int | None = None) -> DataFrame:
-    """query_id, rank, vec_id and score of each query's k best candidates. Both tables: row, vec_id, dim, v (array<long>)."""
+def grid(n_shards: int, n_blocks: int, tasks: int) -> tuple[int, int]:
+    """Rows and columns of the grid of tasks: a row's task holds at most TREES trees (about 1 MB each), a column's streams at most BLOCKS blocks; at least `tasks` tasks, if there are so many pairs."""
+    n_rows = min(n_shards, max(-(-n_shards // TREES), -(-tasks // n_blocks)))
+    return n_rows, min(n_blocks, max(-(-n_blocks // BLOCKS), -(-tasks // n_rows)))
+
+
+def top_inner_products(queries: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
+    """query_id, rank, vec_id and score of each query's k best candidates. Both tables: row, vec_id, dim, v (array<long>).
+
+    A tree goes once to each column of the grid and a block once to each row: no join, and no payload for each pair.
+    """
     spark = candidates.sparkSession
-    n = candidates.count()
-    n_shards = max(1, -(-n // SHARD))
-    n_blocks = max(1, -(-queries.count() // QUERIES))
-    n_groups = groups or max(1, min(n_shards, -(-4 * spark.sparkContext.defaultParallelism // n_blocks)))
+    n_shards, n_blocks = max(1, -(-candidates.count() // SHARD)), max(1, -(-queries.count() // QUERIES))
+    n_rows, n_columns = grid(n_shards, n_blocks, 4 * spark.sparkContext.defaultParallelism)
     trees = candidates.withColumn("shard", F.pmod(F.xxhash64("vec_id", "row"), F.lit(n_shards)).cast("int")).groupBy("dim", "shard")
     trees, _ = textio.save(trees.applyInPandas(_shard, "dim int, shard int, kind string, ids binary, rows binary, vectors binary, nodes binary, lower binary, upper binary"), "trees")
-    blocks = queries.withColumn("block", F.pmod(F.xxhash64("vec_id", "row"), F.lit(n_blocks)).cast("int")).groupBy("dim", "block").applyInPandas(_block, "dim int, block int, q_ids binary, q_rows binary, q_vectors binary")
-    work = trees.join(blocks, "dim").withColumn("part", F.col("shard") % n_groups)
-    work = work.repartition(n_groups * n_blocks, "dim", "block", "part").sortWithinPartitions("dim", "block", "part", "shard")
+    blocks = queries.withColumn("block", F.pmod(F.xxhash64("vec_id", "row"), F.lit(n_blocks)).cast("int")).groupBy("dim", "block")
+    blocks, _ = textio.save(blocks.applyInPandas(_block, "dim int, block int, kind string, ids binary, rows binary, vectors binary"), "blocks")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, best, q_ids = None, None, None
+    def all_of(n: int):
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
 
-        def found() -> pd.DataFrame:
-            q, c = np.nonzero(best.rows >= 0)
-            return pd.DataFrame({"query_row": best.q_rows[q], "query_id": q_ids[q], "row": best.rows[q, c], "vec_id": best.ids[q, c], "score": best.score[q, c]})
+    cells = trees.select("dim", (F.col("shard") % n_rows).alias("at"), all_of(n_columns).alias("over"), F.lit(0).alias("side"), F.col("shard").alias("number"), "kind", "ids", "rows", "vectors", "nodes", "lower", "upper")
+    cells = cells.unionByName(blocks.select("dim", all_of(n_rows).alias("at"), (F.col("block") % n_columns).alias("over"), F.lit(1).alias("side"), F.col("block").alias("number"), "kind", "ids", "rows", "vectors"), allowMissingColumns=True)
+    cells = cells.repartition(n_rows * n_columns, "dim", "at", "over").sortWithinPartitions("dim", "at", "over", "side", "number")
 
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, held = None, []
         for f in frames:
             for r in f.itertuples(index=False):
-                if (r.dim, r.block, r.part) != now:
-                    if best is not None:
-                        yield found()
-                    q_ids = np.frombuffer(r.q_ids, np.int64)
-                    now, best = (r.dim, r.block, r.part), Best(np.frombuffer(r.q_rows, np.int64), np.frombuffer(r.q_vectors, np.int64).reshape(len(q_ids), -1), k)
+                if (r.dim, r.at, r.over) != now:
+                    now, held = (r.dim, r.at, r.over), []
                 ids, rows = np.frombuffer(r.ids, np.int64), np.frombuffer(r.rows, np.int64)
-                nodes = np.frombuffer(r.nodes, np.int64).reshape(-1, 4)
-                vectors, lower, upper = (np.frombuffer(x, r.kind).reshape(m, -1) for x, m in ((r.vectors, len(ids)), (r.lower, len(nodes)), (r.upper, len(nodes))))
-                best.search(ids, rows, vectors, nodes, lower, upper)
-        if best is not None:
-            yield found()
-
-    each = work.mapInPandas(run, "query_row long, query_id long, row long, vec_id long, score long")
+                vectors = np.frombuffer(r.vectors, r.kind).reshape(len(ids), -1)
+                if not r.side:
+                    nodes = np.frombuffer(r.nodes, np.int64).reshape(-1, 4)
+                    held.append((ids, rows, vectors, nodes, *(np.frombuffer(x, r.kind).reshape(len(nodes), -1) for x in (r.lower, r.upper))))
+                    continue
+                best = Best(rows, vectors, k)
+                for tree in held:
+                    best.search(*tree)
+                q, c = np.nonzero(best.rows >= 0)
+                yield pd.DataFrame({"query_row": best.q_rows[q], "query_id": ids[q], "row": best.rows[q, c], "vec_id": best.ids[q, c], "score": best.score[q, c]})
+
+    each = cells.mapInPandas(run, "query_row long, query_id long, row long, vec_id long, score long")
     order = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "row")
     return each.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
