@@ -5,13 +5,15 @@ represented by the fingerprints that winnowing keeps: the least K-gram hash (the
 W consecutive K-grams, where K + W - 1 = WINDOW, so that every shared span of WINDOW words shares a kept
 fingerprint. A shorter item is one window, and its fingerprint the hash of all its words.
 
-Documents are fingerprinted in one pass over their Arrow buffers. Fingerprints that no item has are dropped there by
-a bit set of bounded size (where the benchmark is too large for it, none are dropped); the others carry the words
-around them. They are joined to the items' fingerprints by hash, a join of any size, and each pair is extended over
-the words of both sides, which also removes hash collisions.
+Documents are fingerprinted in one pass over their Arrow buffers. Most fingerprints that no item has are dropped there by
+a bit set of bounded size, which Spark builds from the items' fingerprints; the others carry the words around them. They
+are joined to the items' fingerprints by hash, a join of any size, and each pair is extended over the words of both sides,
+which also removes hash collisions.
 
 Defined cases: a null or wordless text has no words and no hits; a null benchmark text has no windows; a null item id
-is left out; equal documents and repeated ids are reported row by row; an empty benchmark leaves all clean.
+is left out; equal documents and repeated ids are reported row by row; an empty benchmark leaves all clean, no documents
+give no rows; a very long text is scanned whole, and only words around shared fingerprints are kept of it; where several
+items hold a window, all are counted; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -29,8 +31,10 @@ from . import textio
 
 WINDOW, K = 10, 5
 W = WINDOW - K + 1
-#: Bits of the largest bit set that is sent to the executors (16 MB).
-MAX_BITS = 1 << 27
+#: Bits of the set that is sent to the executors: so many for each fingerprint, and at most MAX_BITS (16 MB). A larger benchmark fills the set more, so that it drops less; results don't depend on it.
+PRINT_BITS, MAX_BITS = 64, 1 << 27
+#: Copies of the items' fingerprints, so that documents which share one fingerprint are joined in several tasks.
+SALTS = 8
 
 _CAND = pa.struct([("h", pa.int64()), ("pos", pa.int64()), ("before", pa.int32()), ("kind", pa.int32()), ("words", pa.string())])
 _CAND_TYPE = T.ArrayType(T.StructType([T.StructField("h", T.LongType()), T.StructField("pos", T.LongType()), T.StructField("before", T.IntegerType()), T.StructField("kind", T.IntegerType()), T.StructField("words", T.StringType())]))
@@ -139,29 +143,36 @@ def _extend(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["row_key", "lo", "hi", "item"]).astype({"row_key": "int64", "lo": "int64", "hi": "int64", "item": "str"})
 
 
+def bit_set(prints: DataFrame) -> np.ndarray:
+    """Bytes of the set of the first bits of the fingerprints (column h); the driver gets its 32,768-bit pieces, MAX_BITS in all at most."""
+    size = min(MAX_BITS, 1 << max(16, (PRINT_BITS * prints.count()).bit_length()))
+    slot = F.shiftrightunsigned("h", 64 - (size.bit_length() - 1)) + 1
+    held = np.zeros(size // 8, np.uint8)
+    pieces = prints.select(F.bitmap_bucket_number(slot).alias("b"), F.bitmap_bit_position(slot).alias("p")).groupBy("b").agg(F.bitmap_construct_agg("p").alias("m"))
+    for b, m in pieces.collect():
+        piece = np.frombuffer(m, np.uint8)
+        held[(b - 1) * len(piece) : b * len(piece)] = piece
+    return held
+
+
 def find_overlaps(docs: DataFrame, benchmark: DataFrame, *, keys: list[str], text: str = "text", item_id: str = "item_id", item_text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(rows, hits): rows has row_key, keys and n_words of every document; hits has row_key, lo, hi (words) and item of each shared run."""
+    """(rows, hits): rows has row_key, keys (a struct k0, k1, ...) and n_words of every document; hits has row_key, lo, hi (words) and item of each shared run."""
     spark = docs.sparkSession
-    items = benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).alias("item_text")).where("item is not null")
+    items = benchmark.select(F.col(textio.quoted(item_id)).cast("string").alias("item"), F.col(textio.quoted(item_text)).alias("item_text")).where("item is not null")
     lengths = _scan(items, "item_text", ["item"], [], None, True).where(f"n_words between 1 and {WINDOW - 1}").select("n_words").distinct()
     short = sorted(r[0] for r in lengths.collect())  # at most WINDOW - 1 values
     prints = _scan(items, "item_text", ["item"], short, None, True).select("item", F.explode("cands").alias("c"))
     prints = prints.select("item", F.col("c.h").alias("h"), F.col("c.before").alias("item_before"), F.col("c.kind").alias("kind"), F.col("c.words").alias("item_words"))
     prints, _ = textio.save(prints.distinct(), "prints")
-    n = prints.count()
-    bits = None
-    if 64 * n <= MAX_BITS:
-        size = 1 << max(16, (64 * n).bit_length())
-        held = np.zeros(size // 8, np.uint8)
-        slots = np.array([r[0] for r in prints.select("h").collect()], np.int64).view(np.uint64) >> np.uint64(64 - (size.bit_length() - 1))
-        np.bitwise_or.at(held, (slots >> np.uint64(3)).astype(np.int64), (1 << (slots & np.uint64(7))).astype(np.uint8))
-        bits = spark.sparkContext.broadcast(held)
-    rows, _ = textio.save(_scan(docs, text, keys, short, bits, False).withColumn("row_key", F.monotonically_increasing_id()), "rows")
+    bits = spark.sparkContext.broadcast(bit_set(prints))
+    kept = docs.select(F.struct(*(F.col(textio.quoted(k)).alias(f"k{i}") for i, k in enumerate(keys))).alias("keys"), F.col(textio.quoted(text)).alias("text"))
+    rows, _ = textio.save(_scan(kept, "text", ["keys"], short, bits, False).withColumn("row_key", F.monotonically_increasing_id()), "rows")
     near = rows.where(F.size("cands") > 0).select("row_key", F.explode("cands").alias("c"))
-    near = near.select("row_key", F.col("c.h").alias("h"), F.col("c.kind").alias("kind"), F.col("c.pos").alias("pos"), F.col("c.before").alias("before"), F.col("c.words").alias("words"))
-    pairs = near.join(prints, ["h", "kind"]).select("row_key", "pos", "before", "words", "kind", "item", "item_before", "item_words")
+    near = near.select("row_key", F.col("c.h").alias("h"), F.col("c.kind").alias("kind"), F.col("c.pos").alias("pos"), F.col("c.before").alias("before"), F.col("c.words").alias("words"), F.pmod("row_key", F.lit(SALTS)).alias("salt"))
+    salted = prints.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    pairs = near.join(salted, ["h", "kind", "salt"]).select("row_key", "pos", "before", "words", "kind", "item", "item_before", "item_words")
     hits = pairs.mapInPandas(_extend, "row_key long, lo long, hi long, item string").distinct()
-    return rows.select("row_key", *keys, "n_words"), hits
+    return rows.select("row_key", "keys", "n_words"), hits
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, keys: list[str], text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -177,7 +188,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, keys: list[str], tex
     grouped = grouped.select("row_key", covered.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.array_join("items", ",").alias("listed"))
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     return rows.join(grouped, "row_key", "left").select(
-        *keys, "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"), F.sha2(F.coalesce("listed", F.lit("")).cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated")
+        *(F.col(f"keys.k{i}").alias(k) for i, k in enumerate(keys)), "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"), F.sha2(F.coalesce("listed", F.lit("")).cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated")
     )
 
 
