@@ -3,25 +3,34 @@
 An Aho-Corasick automaton over the vocabulary's UTF-8 bytes enumerates the pieces that end at each byte, longest first.
 Dynamic programming keeps, at each byte, the best score and the number of pieces that gives it. Many words advance in
 lockstep, one byte of each at a time, as numpy arrays. Ties go as in the tokenizers library's Unigram model: a later
-candidate must be strictly better, so the longest piece wins; a character without a piece of its own is unknown, scores
-10 below the least piece and is written as its bytes.
+candidate must be strictly better, so the longest piece wins; a character without a piece of its own is unknown and scores
+10 below the least piece. With byte fallback it counts as its bytes, else unknown characters that touch are one token.
 
-The vocabulary is the public SentencePiece file's pieces and scores, used as a unigram model (no public unigram file is at
-hand, and tokenizers are not trained here). Its scores are whole numbers, so sums are exact and texts can be cut into
-words: spaces become U+2581 with one before the text, and no piece holds that sign after another character.
+A vocabulary is a SentencePiece file's pieces and scores, or a tokenizers file (.json) of a Unigram model, with any scores.
+Spaces become U+2581 with one before the text. Texts are cut into words where that can't change a count: before each
+U+2581 if the file's Metaspace pre-tokenizer cuts there itself, or between words if all scores are whole numbers (their
+sums are exact) and no piece holds U+2581 after another character. Other texts run whole, so that sums of fractions are
+added up in the library's order.
+
+No public unigram file is at hand and tokenizers are not trained here: the query takes the SentencePiece file's pieces and
+scores as its vocabulary.
 
 Defined cases: a null or empty text has 0 tokens and score 0; repeated rows and null ids stay rows; a text that holds
-U+2581 itself isn't cut; words of more than LONG bytes run alone.
+U+2581 itself isn't cut into words, and is by a pre-tokenizer; a very long text is counted whole, words of more than LONG
+bytes alone; an empty table gives an empty result; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
+import json
 from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import textio
 
@@ -33,7 +42,8 @@ LONG = 2048
 class Automaton:
     """Aho-Corasick over bytes: next state, and for each state the longest piece that ends there and the next shorter one's state."""
 
-    def __init__(self, pieces: list[tuple[str, float]]) -> None:
+    def __init__(self, pieces: list[tuple[str, float]], byte_fallback: bool = True) -> None:
+        self.byte_fallback = byte_fallback
         children: list[dict[int, int]] = [{}]
         depth, score, ends = [0], [0.0], [False]
         for piece, value in pieces:
@@ -77,6 +87,7 @@ class Automaton:
         sizes = sizes[order]
         cells = np.cumsum(sizes + 1) - (sizes + 1)  # a word's cell for the bytes before its first
         best, pieces = np.zeros(int((sizes + 1).sum())), np.zeros(int((sizes + 1).sum()), np.int64)
+        lost = np.zeros(len(best), bool)  # the best way's last piece is an unknown character
         state, begin = np.zeros(len(words), np.int32), np.zeros(len(words), np.int64)
         for t in range(int(sizes[0]) if len(sizes) else 0):
             live = int(np.searchsorted(-sizes, -t, "left"))  # words of more than t bytes
@@ -110,7 +121,8 @@ class Automaton:
                 value = best[source] + self.unknown
                 better = value > top[u]
                 top[u[better]] = value[better]
-                many[u[better]] = (pieces[source] + lone[u])[better]
+                many[u[better]] = (pieces[source] + (lone[u] if self.byte_fallback else ~lost[source]))[better]
+                lost[cell[u[better]]] = True
             best[cell], pieces[cell] = top, many
         score, n = np.zeros(len(words)), np.zeros(len(words), np.int64)
         score[order], n[order] = best[cells + sizes], pieces[cells + sizes]
@@ -120,6 +132,7 @@ class Automaton:
         """The same for one long word, without arrays."""
         step, longest, shorter, depth, score = (memoryview(np.ascontiguousarray(x)) for x in (self.next.reshape(-1), self.longest, self.shorter, self.depth, self.score))
         best, pieces = [0.0] * (len(word) + 1), [0] * (len(word) + 1)
+        lost = bytearray(len(word) + 1)
         state = begin = 0
         for t, byte in enumerate(word, 1):
             state = step[state * 256 + byte]
@@ -136,26 +149,39 @@ class Automaton:
                 single = single or source == begin
                 out = shorter[out]
             if not single and (value := best[begin] + self.unknown) > top:
-                top, many = value, pieces[begin] + t - begin
+                top, many = value, pieces[begin] + (t - begin if self.byte_fallback else not lost[begin])
+                lost[t] = 1
             best[t], pieces[t] = top, many
         return best[-1], pieces[-1]
 
 
+def read_vocabulary(model: str) -> tuple[bool, list[tuple[str, float]], bool]:
+    """Whether words are cut before each U+2581, the pieces with their scores, and whether unknown characters become bytes."""
+    if not model.endswith(".json"):
+        import sentencepiece
+
+        sp = sentencepiece.SentencePieceProcessor(model_file=model)
+        pieces = [(sp.id_to_piece(i), float(sp.get_score(i))) for i in range(sp.get_piece_size())]
+        return False, pieces, {f"<0x{b:02X}>" for b in range(256)} <= {p for p, _ in pieces}
+    with open(model, encoding="utf-8") as f:
+        held = json.load(f)
+    cut = held.get("pre_tokenizer")
+    if held["model"]["type"] != "Unigram" or cut and not (cut["type"] == "Metaspace" and cut.get("split", True) and cut.get("prepend_scheme") == "always"):
+        raise ValueError("the file must have a Unigram model and a Metaspace pre-tokenizer or none")
+    pieces = [(p, float(v)) for p, v in held["model"]["vocab"]]
+    return cut is not None, pieces, bool(held["model"].get("byte_fallback")) and {f"<0x{b:02X}>" for b in range(256)} <= {p for p, _ in pieces}
+
+
 class Counter:
     """Counts texts, with a bounded cache of words."""
 
     CACHE = 400_000
 
     def __init__(self, model: str) -> None:
-        import sentencepiece
-
-        sp = sentencepiece.SentencePieceProcessor(model_file=model)
-        self.pieces = [(sp.id_to_piece(i), float(sp.get_score(i))) for i in range(sp.get_piece_size())]
-        known = {p for p, _ in self.pieces}
-        if not all(f"<0x{b:02X}>" in known for b in range(256)) or any(v != int(v) for _, v in self.pieces):
-            raise ValueError("the vocabulary must have whole scores and all byte pieces")
-        self.automaton = Automaton(self.pieces)
-        self.cuts = not any(SPACE in p.lstrip(SPACE) for p in known)
+        self.split, self.pieces, byte_fallback = read_vocabulary(model)
+        self.automaton = Automaton(self.pieces, byte_fallback)
+        whole = all(v == int(v) for _, v in self.pieces)
+        self.cuts = whole and byte_fallback and not any(SPACE in p.lstrip(SPACE) for p, _ in self.pieces)
         self._clear()
 
     def _clear(self) -> None:
@@ -166,6 +192,9 @@ class Counter:
         """The words whose best pieces together are the text's."""
         if not text:
             return []
+        if self.split:
+            marked = text.replace(" ", SPACE)
+            return [SPACE + w for w in (marked[1:] if marked[0] == SPACE else marked).split(SPACE)]
         if not self.cuts or SPACE in text:
             return [SPACE + text.replace(" ", SPACE)]
         if "  " not in text and text[0] != " " and text[-1] != " ":
@@ -222,7 +251,8 @@ def count_tokens(docs: DataFrame, *, keys: list[str], text: str = "text", model:
         import public_tokenizers
 
         model = public_tokenizers.path("piece_bpe_32k.model")
-    schema = docs.select(*keys).schema.add("n_tokens", "long").add("score", "double")
+    docs = docs.select(*(F.col(textio.quoted(k)) for k in keys), F.col(textio.quoted(text)).alias("_text"))
+    schema = T.StructType([*docs.schema.fields[:-1], T.StructField("n_tokens", T.LongType()), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = counter(model)
@@ -233,7 +263,7 @@ def count_tokens(docs: DataFrame, *, keys: list[str], text: str = "text", model:
                 n, score = own.count([t or "" for t in column.slice(i, j - i).to_pylist()])
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(i, j - i) for k in range(len(keys))), pa.array(n), pa.array(score)], names=schema.names)
 
-    return docs.select(*keys, text).mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)
 
 
 def op10_unigram_viterbi(spark, sf_dir: str) -> DataFrame:
