@@ -6,12 +6,15 @@ are tied by learned transition weights. Forward-backward gives each word's label
 that together cover the whole text. A text's language is the label with the highest mean probability over its words,
 its score that mean; runs of equal word labels mark the switches inside a text.
 
-Training fits all weights on a bounded sample: of each label about PER_LABEL documents, picked by a hash of their ids
-from all documents that may be learned from, with SAMPLE_CHARS characters of each, and of these MIXED parts in ten with the
-second half taken from another document, so that switches are seen. Everything else reads all rows and whole texts.
+Training fits all weights on a bounded sample: of each label about PER_LABEL different documents, picked by a hash of their
+ids and texts from all documents that may be learned from, with SAMPLE_CHARS characters of each, and of these MIXED parts in ten
+with the second half taken from another document, so that switches are seen. Everything else reads all rows and whole texts.
 
 Defined cases: a null text and one without letters are `und` with score 0; with no labelled row all are; null labels and
-null ids aren't learned from; a null id is not held out; repeated rows get equal answers.
+null ids aren't learned from; a null id is not held out; repeated rows get equal answers, and count once in the sample; of
+labels with equal means the first by name wins; a very long text is labelled whole, CUT bytes at a time; an empty table gives an
+empty result; key columns may have any names, other columns are not read; more than MOST_LABELS labels raise an error, as
+the model is sent to all executors.
 """
 
 from __future__ import annotations
@@ -24,11 +27,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import textio
 
 CHAIN, TABLE = 64, 1 << 18
-PER_LABEL, SAMPLE_CHARS, MIXED, EPOCHS, BATCH, RATE, DECAY = 200, 2048, 3, 4, 64, 0.2, 1e-4
+PER_LABEL, SAMPLE_CHARS, MIXED, EPOCHS, BATCH, RATE, DECAY = 400, 2048, 3, 4, 64, 0.2, 1e-4
+#: Labels of a model at most (a label takes 1 MB), and bytes of a long text that are labelled at once.
+MOST_LABELS, CUT = 128, 1 << 19
 
 ASCII_LETTERS = np.zeros(256, bool)
 ASCII_LETTERS[65:91] = ASCII_LETTERS[97:123] = True
@@ -186,50 +192,75 @@ def train(samples: list[tuple[str, str]], seed: int = 0) -> Model:
 
 def sample(docs: DataFrame, *, key: str, text: str, label: str, per_label: int = PER_LABEL) -> DataFrame:
     """About per_label (text, label) rows of each label, with a bounded part of each text."""
-    rows = docs.where(F.col(label).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull())
-    n = rows.groupBy(label).count().withColumn("_share", F.lit(per_label) / F.col("count"))
-    h = F.shiftrightunsigned(F.xxhash64(key, F.lit(7)), 11).cast("double") / float(1 << 53)
-    begin = F.pmod(F.xxhash64(key), F.greatest(F.length(text) - SAMPLE_CHARS, F.lit(0)) + 1) + 1
-    # A row for each label: a model holds TABLE weights for each, so a table that couldn't be broadcast has no model.
-    shares = F.broadcast(n.select(F.col(label).alias("_label"), "_share"))
-    picked = rows.join(shares, F.col(label) == F.col("_label")).where(h < F.col("_share"))
-    return picked.select(F.substring(F.col(text), begin.cast("int"), F.lit(SAMPLE_CHARS)).alias("text"), F.col(label).alias("label"))
+    rows = docs.select(*(F.col(textio.quoted(c)).alias(n) for c, n in ((key, "key"), (text, "text"), (label, "label")))).where("key is not null and text is not null and label is not null")
+    counts = rows.groupBy("label").count().limit(MOST_LABELS + 1).collect()
+    if len(counts) > MOST_LABELS:
+        raise ValueError(f"more than {MOST_LABELS} labels")
+    shares = docs.sparkSession.createDataFrame([(r["label"], per_label / r["count"]) for r in counts], T.StructType([rows.schema["label"], T.StructField("share", T.DoubleType())]))
+    rows = rows.withColumn("h", F.xxhash64("key", "text", F.lit(7)))
+    place = F.pmod(F.xxhash64("h"), F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0)) + 1) + 1
+    taken = F.shiftrightunsigned("h", 11).cast("double") / float(1 << 53) < F.col("share")
+    picked = rows.join(F.broadcast(shares), "label").where(taken)
+    return picked.select(F.substring("text", place.cast("int"), F.lit(SAMPLE_CHARS)).alias("text"), "label", "h").dropDuplicates(["h"]).select("text", "label")
+
+
+def slices(starts: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of the words of a piece: all, or of a single long row so many whole chains as CUT bytes hold."""
+    at, total = 0, len(starts)
+    while at < total:
+        to = total if len(first) > 2 else int(np.searchsorted(starts, starts[at] + CUT))
+        if to < total:
+            to = at + max(1, (to - at) // CHAIN) * CHAIN
+        yield at, min(to, total)
+        at = to
+
+
+def row_means(model: Model, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray, each: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Mean label probabilities of each row and, if each, the label of every word."""
+    n = np.diff(first)
+    total, words = np.zeros((len(n), len(model.labels))), np.zeros(len(starts) if each else 0, np.int32)
+    for a, b in slices(starts, first):
+        p = model.word_probabilities(data[starts[a] : ends[b - 1]], starts[a:b] - starts[a], ends[a:b] - starts[a], np.clip(first, a, b) - a)
+        if each:
+            words[a:b] = p.argmax(axis=1)
+        begin = np.clip(first[:-1], a, b) - a
+        some = np.flatnonzero(np.clip(first[1:], a, b) - a > begin)
+        total[some] += np.add.reduceat(p, begin[some], axis=0, dtype=np.float64)
+    return total / np.maximum(n, 1)[:, None], words
 
 
 def identify(docs: DataFrame, model: Model, *, keys: list[str], text: str = "text", runs: bool = False) -> DataFrame:
     """keys, lang_pred and score of every row; with runs also an array of (first_word, end_word, lang)."""
-    schema = docs.select(*keys).schema.add("lang_pred", "string").add("score", "double")
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema) + (", runs array<struct<first_word:bigint,end_word:bigint,lang:string>>" if runs else "")
-    held = docs.sparkSession.sparkContext.broadcast(model)  # TABLE weights for each label
-    names = [*keys, "lang_pred", "score", *(["runs"] if runs else [])]
+    at = keys.index(text) if text in keys else len(keys)
+    docs = docs.select(*(F.col(textio.quoted(k)) for k in keys), *([F.col(textio.quoted(text)).alias("_text")] if at == len(keys) else []))
+    mark = pa.struct([("first_word", pa.int64()), ("end_word", pa.int64()), ("lang", pa.string())])
+    added = "lang_pred string, score double" + (", runs array<struct<first_word:bigint,end_word:bigint,lang:string>>" if runs else "")
+    schema = T.StructType([*docs.schema.fields[: len(keys)], *T._parse_datatype_string(added).fields])
+    held = docs.sparkSession.sparkContext.broadcast(model)  # TABLE weights for each of MOST_LABELS labels at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
-        labels = np.array(m.labels, object)
+        labels = np.array([*m.labels, "und"], object)
         for batch in batches:
-            data, offsets = textio.utf8(pc.utf8_lower(batch.column(len(keys))))
-            for i, j in textio.pieces(offsets, 1 << 19):
+            data, offsets = textio.utf8(pc.utf8_lower(batch.column(at)))
+            for i, j in textio.pieces(offsets, CUT):
                 d, o = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
                 starts, ends, first = textio.word_spans(d, o, LETTER_BYTES)
-                ascii_at = np.searchsorted(np.flatnonzero(ASCII_LETTERS[d]), o)
-                known = np.diff(ascii_at) > 0
+                known = np.diff(np.searchsorted(np.flatnonzero(ASCII_LETTERS[d]), o)) > 0
                 for r in np.flatnonzero(~known & (np.diff(first) > 0)).tolist():
                     known[r] = any(c.isalpha() for c in d[o[r] : o[r + 1]].tobytes().decode())
-                p = m.word_probabilities(d, starts, ends, first) if len(labels) else np.zeros((len(starts), 1), np.float32)
-                total = np.concatenate((np.zeros((1, p.shape[1])), np.cumsum(p, axis=0, dtype=np.float64)))
-                mean = np.diff(total[first], axis=0) / np.maximum(np.diff(first), 1)[:, None]
-                best = mean.argmax(axis=1)
-                known &= len(labels) > 0
-                lang = np.where(known, labels[best] if len(labels) else "und", "und")
-                score = np.where(known, np.clip(mean[np.arange(len(best)), best], 0, 1), 0.0)
+                known &= len(m.labels) > 0
+                mean, word = row_means(m, d, starts, ends, first, runs)
+                best = mean.argmax(axis=1) if len(m.labels) else np.zeros(j - i, np.int64)
+                lang = np.where(known, labels[best], "und")
+                score = np.where(known, np.clip(mean.max(axis=1, initial=0), 0, 1), 0.0)
                 columns = [*(batch.column(k).slice(i, j - i) for k in range(len(keys))), pa.array(lang, pa.string()), pa.array(score)]
                 if runs:
-                    word = p.argmax(axis=1)
                     marks = [[{"first_word": a, "end_word": b, "lang": str(labels[word[first[r] + a]])} for a, b in _runs(word[first[r] : first[r + 1]])] if known[r] else [] for r in range(j - i)]
-                    columns.append(pa.array(marks, pa.list_(pa.struct([("first_word", pa.int64()), ("end_word", pa.int64()), ("lang", pa.string())]))))
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+                    columns.append(pa.array(marks, pa.list_(mark)))
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return docs.select(*keys, text).mapInArrow(run, ddl)
+    return docs.mapInArrow(run, schema)
 
 
 def _runs(x: np.ndarray) -> list[tuple[int, int]]:
@@ -238,7 +269,7 @@ def _runs(x: np.ndarray) -> list[tuple[int, int]]:
 
 
 def held_out(key: str = "doc_id") -> Column:
-    return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 3 == 1, F.lit(False))
+    return F.coalesce(F.crc32(F.col(textio.quoted(key)).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
 def fit(docs: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "lang") -> Model:
