@@ -47,15 +47,42 @@ def from_pcm16(x: Column) -> Column:
     return F.transform(x, lambda v: v / 32768.0)
 
 
+def pcm16_limited(x: Column) -> Column:
+    """pcm16 of samples that are first divided by their peak, if it is over 1."""
+    p = peak(x)
+    return pcm16(F.transform(x, lambda v: F.when(p > 1, v / p).otherwise(v)))
+
+
+def _by_length(frames: pd.Series, rule) -> list:
+    """rule(2-d array) of the frames of each length at once; None for null frames."""
+    out, where = [None] * len(frames), {}
+    for k, x in enumerate(frames):
+        if x is not None:
+            where.setdefault(len(x), []).append(k)
+    for at in where.values():
+        for k, value in zip(at, rule(np.array([frames.iloc[k] for k in at], float)), strict=True):
+            out[k] = value
+    return out
+
+
+def centroids(frames: np.ndarray) -> np.ndarray:
+    """Mean bin of the magnitudes over the number of bins, for frames of one length; 0 of empty ones."""
+    if not frames.shape[1]:
+        return np.zeros(len(frames))
+    m = np.abs(np.fft.rfft(frames, axis=1))
+    return (m * np.arange(m.shape[1])).sum(axis=1) / (m.sum(axis=1) + 1e-8) / m.shape[1]
+
+
 @F.pandas_udf(T.DoubleType())
 def spectral_centroid(frames: pd.Series) -> pd.Series:
-    """Mean bin of the magnitudes over the number of bins."""
+    return pd.Series(_by_length(frames, centroids), dtype=object)
 
-    def one(x) -> float:
-        m = np.abs(np.fft.rfft(np.asarray(x, float)))
-        return float((np.arange(len(m)) * m).sum() / (m.sum() + 1e-8) / len(m))
 
-    return frames.map(one, na_action="ignore")
+def suppressed(frames: np.ndarray, noise: np.ndarray) -> np.ndarray:
+    """Frames of one length less 1.5 times their noise spectra, with a tenth of their magnitudes at least. Odd lengths come back one sample short."""
+    f = np.fft.rfft(frames, axis=1)
+    m = np.abs(f)
+    return np.fft.irfft(np.maximum(m - 1.5 * noise, 0.1 * m) * np.exp(1j * np.angle(f)), axis=1)[:, : frames.shape[1]]
 
 
 def noise_spectra(frames: pd.DataFrame) -> pd.DataFrame:
@@ -71,27 +98,34 @@ def noise_spectra(frames: pd.DataFrame) -> pd.DataFrame:
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def subtracted(frames: pd.Series, noise: pd.Series) -> pd.Series:
-    """Each frame less 1.5 times its noise spectrum, with a tenth of its magnitudes at least."""
-
-    def one(x, n) -> list[float]:
-        x = np.asarray(x, float)
-        f = np.fft.rfft(x)
-        m = np.abs(f)
-        y = np.fft.irfft(np.maximum(m - 1.5 * np.asarray(n, float), 0.1 * m) * np.exp(1j * np.angle(f)))
-        return y[: len(x)].tolist()
-
-    return pd.Series([one(x, n) for x, n in zip(frames, noise, strict=True)], dtype=object)
+    """Each frame less its noise; without a noise spectrum as it is."""
+    out, where = list(frames), {}
+    for k, n in enumerate(noise):
+        if n is not None:
+            where.setdefault(len(frames.iloc[k]), []).append(k)
+    for at in where.values():
+        found = suppressed(np.array([frames.iloc[k] for k in at], float), np.array([noise.iloc[k] for k in at], float))
+        for k, x in zip(at, found, strict=True):
+            out[k] = x
+    return pd.Series(out, dtype=object)
 
 
 def denoise(frames: DataFrame) -> DataFrame:
     """session, frame_no and x of every frame, its noise subtracted; the noise spectrum is learned from a session's first 50.
 
-    Only those 50 are gathered; each frame is then joined to the spectrum of its place, or to the last one.
+    Only those 50 are gathered; each frame is then joined to the spectrum of its place, or to the last one. Frames whose
+    number of bins isn't that of the session's first, and frames of one sample, stay as they are and teach nothing; so do
+    empty ones.
     """
-    place = F.row_number().over(Window.partitionBy("session").orderBy(F.asc_nulls_last("frame_no"), "x")) - 1
-    numbered = frames.select("session", "frame_no", "x", place.alias("k"))
+    order = Window.partitionBy("session").orderBy(F.asc_nulls_last("frame_no"), "x")
+    bins = F.floor(F.size("x") / 2).cast("int")
+    usable = frames.where(F.size("x") > 1).select("session", "frame_no", "x", bins.alias("bins"))
+    usable = usable.withColumn("fits", F.col("bins") == F.first("bins").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    numbered = usable.withColumn("k", F.count_if("fits").over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("int") - 1)
     kinds = frames.schema
-    learned = numbered.where(F.col("k") < NOISE_FRAMES).select("session", "k", "x").groupBy("session").applyInPandas(noise_spectra, T.StructType([kinds["session"], T.StructField("k", T.IntegerType()), T.StructField("noise", T.ArrayType(T.DoubleType()))]))
+    first = numbered.where(F.col("fits") & (F.col("k") < NOISE_FRAMES)).select("session", "k", "x")
+    learned = first.groupBy("session").applyInPandas(noise_spectra, T.StructType([kinds["session"], T.StructField("k", T.IntegerType()), T.StructField("noise", T.ArrayType(T.DoubleType()))]))
     learned = learned.select(F.col("session").alias("_session"), F.col("k").alias("_k"), "noise")
     on = F.col("session").eqNullSafe(F.col("_session")) & (F.least("k", F.lit(NOISE_FRAMES - 1)) == F.col("_k"))
-    return numbered.join(learned, on).select("session", "frame_no", subtracted("x", "noise").alias("x"))
+    joined = numbered.join(learned, on, "left").select("session", "frame_no", subtracted("x", F.when(F.col("fits"), F.col("noise"))).alias("x"))
+    return joined.unionByName(frames.where(~F.coalesce(F.size("x") > 1, F.lit(False))).select("session", "frame_no", "x"))

@@ -35,7 +35,7 @@ def strip(text: Column) -> Column:
 
 
 def email(text: Column) -> Column:
-    return F.left(F.regexp_extract(text, EMAIL, 0), F.lit(254))
+    return F.when(~text.contains("@"), "").otherwise(F.left(F.regexp_extract(text, EMAIL, 0), F.lit(254)))
 
 
 def phone(text: Column) -> Column:
@@ -43,9 +43,13 @@ def phone(text: Column) -> Column:
     return F.left(F.regexp_extract(text, PHONE, 0), F.lit(50))
 
 
+#: White space in the sense of (?U)\\s.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def name(text: Column) -> Column:
-    """The first of the first five lines with at most four words, no digit and no heading word; else empty."""
-    lines = F.transform(F.slice(F.split(strip(text), "\n"), 1, 5), strip)
+    """The first of the first five lines with at most four words, no digit and no heading word; else empty. White space before the first line doesn't count; only the text's begin is cut into lines."""
+    lines = F.transform(F.slice(F.split(F.ltrim(text, F.lit(WHITE)), "\n", 6), 1, 5), lambda line: F.trim(line, F.lit(WHITE)))
 
     def fits(line: Column) -> Column:
         words = F.size(F.split(line, r"(?U)\s+"))
@@ -64,12 +68,12 @@ def display(skill: str) -> str:
 def skills(text: Column) -> Column:
     """Sorted display names of the keywords that the text contains, with no word boundary.
 
-    The table stands in the names' order, so that no row is sorted; the lower-cased text is bound once, as a lambda's variable.
+    The tests stand in the names' order, so that no row is sorted, as plain conditions that code generation takes with the text lower-cased once.
     """
+    low = F.lower(text)
     known = sorted((display(s), s) for s in {*TECH_SKILLS, *SOFT_SKILLS})
-    table = F.array(*(F.struct(F.lit(s).alias("key"), F.lit(n).alias("name")) for n, s in known))
-    found = F.transform(F.array(F.lower(text)), lambda low: F.transform(F.filter(table, lambda s: low.contains(s["key"])), lambda s: s["name"]))
-    return F.array_distinct(found[0])
+    found = F.array_compact(F.array(*(F.when(low.contains(s), n) for n, s in known)))
+    return F.when(text.isNotNull(), F.array_distinct(found))
 
 
 def education(text: Column) -> Column:

@@ -17,10 +17,10 @@ def eye_aspect(points: Column, eye: list[int]) -> Column:
     return F.coalesce(F.try_divide(distance(p[1], p[5]) + distance(p[2], p[4]), 2.0 * width), F.lit(0.0))
 
 
-def gaze(points: Column, left: list[int], right: list[int], irises: tuple[int, int]) -> tuple[Column, Column, Column]:
+def gaze(points: Column, left: list[int], right: list[int], irises: tuple[int, int], faces: Column | None = None) -> tuple[Column, Column, Column]:
     """Mean iris ratio, direction and confidence; eyes are their outer and inner corner first and fourth.
 
-    Without iris points the direction is center (0.6), with an eye of no width too (0.5); a missing coordinate gives away (0.5).
+    No face gives away (0.9, ratio 0). Without iris points the direction is center (0.6), with an eye of no width too (0.5); a missing coordinate gives away (0.5).
     """
     corner = [F.get(points, F.lit(i)) for i in (left[0], left[3], right[0], right[3])]
     iris = [F.get(points, F.lit(i)) for i in irises]
@@ -29,7 +29,15 @@ def gaze(points: Column, left: list[int], right: list[int], irises: tuple[int, i
     few, flat = F.size(points) <= max(irises), (widths[0] == 0) | (widths[1] == 0)
     direction = F.when(few | flat, "center").when(ratio.isNull(), "away").when(ratio < 0.35, "right").when(ratio > 0.65, "left").otherwise("center")
     confidence = F.when(few, 0.6).when(flat | ratio.isNull(), 0.5).when((ratio < 0.35) | (ratio > 0.65), 0.8).otherwise(0.9)
-    return ratio, direction, confidence
+    if faces is None:
+        return ratio, direction, confidence
+    none = faces == 0
+    return F.when(none, 0.0).otherwise(ratio), F.when(none, "away").otherwise(direction), F.when(none, 0.9).otherwise(confidence)
+
+
+def unreadable() -> tuple[Column, Column, Column]:
+    """Direction, confidence and looking_away of an image that can't be decoded."""
+    return F.lit("away"), F.lit(0.0), F.lit(True)
 
 
 def looking_away(direction: Column, confidence: Column, faces: Column) -> Column:

@@ -94,6 +94,10 @@ def error_class(name: Column) -> Column:
     return out.otherwise(F.struct(F.lit(500).alias("status"), F.lit("internal_error").alias("code")))
 
 
+# The text of a refused command.
+REFUSED = "Cannot {} interview with status: "
+
+
 def commands(log: DataFrame) -> DataFrame:
     """status and refused of each command (interview_id, ts, event_id, command: start, end, terminate), all interviews pending at first.
 
@@ -107,8 +111,8 @@ def commands(log: DataFrame) -> DataFrame:
     out = out.withColumn("_was", F.coalesce(F.first("_finish", ignorenulls=True).over(before), F.when(F.col("_started"), "in_progress").otherwise("pending")))
     out = out.withColumn("status", F.coalesce(F.first("_finish", ignorenulls=True).over(upto), F.when(F.col("_started") | starts, "in_progress").otherwise("pending")))
     taken = F.when(starts, F.col("_was") == "pending").otherwise(F.col("_was") == "in_progress")
-    verb = F.when(starts, "start").otherwise("end")
-    return out.withColumn("refused", F.when(~taken, F.concat(F.lit("Cannot "), verb, F.lit(" interview with status: "), F.col("_was")))).drop("_started", "_finish", "_was")
+    refusal = F.when(starts, REFUSED.format("start")).otherwise(REFUSED.format("end"))
+    return out.withColumn("refused", F.when(~taken, F.concat(refusal, F.col("_was")))).drop("_started", "_finish", "_was")
 
 
 def children(parents: DataFrame, rows: DataFrame, key: str, order: list[str], columns: list[str], name: str) -> DataFrame:
@@ -121,3 +125,37 @@ def children(parents: DataFrame, rows: DataFrame, key: str, order: list[str], co
 def upsert(table: DataFrame, changes: DataFrame, key: str) -> DataFrame:
     """table with changed rows replaced by those of changes and new ones added; each key is in changes once, and columns agree."""
     return table.join(changes.select(key), key, "left_anti").unionByName(changes.select(*table.columns))
+
+
+def get(rows: DataFrame, key: str, value) -> DataFrame:
+    """The row of a key, or none; the filter reaches the scan."""
+    return rows.where(F.col(key) == value)
+
+
+def listing(rows: DataFrame, *, filters: dict | None = None, columns: list[str] = (), text: str = "", order: list[Column] = (), page: int | None = None) -> DataFrame:
+    """A list view: equality filters, a search text in any of the columns, an order, and the first page of it."""
+    out = rows
+    for column, value in (filters or {}).items():
+        out = out.where(F.col(column) == value)
+    if text:
+        out = search(out, list(columns), text)
+    if order:
+        out = out.orderBy(*order)
+    return out if page is None else out.limit(page)
+
+
+def append(table: DataFrame, rows: DataFrame) -> DataFrame:
+    """table with new rows; columns that they lack are null."""
+    return table.unionByName(rows, allowMissingColumns=True)
+
+
+def update_fields(table: DataFrame, changes: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """table with the named fields of the changed rows replaced, by nulls too; all other columns stay, unknown keys add nothing."""
+    new = changes.select(F.col(key).alias("_key"), F.struct(*fields).alias("_new"))
+    out = table.join(new, F.col(key) == F.col("_key"), "left")
+    return out.select(*(F.when(F.col("_key").isNotNull(), F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c) if c in fields else F.col(c) for c in table.columns))
+
+
+def iso(ts: Column) -> Column:
+    """A time as ISO text: fractions of six digits where there are any."""
+    return F.concat(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"), F.when(F.date_format(ts, "SSSSSS") == "000000", "").otherwise(F.date_format(ts, ".SSSSSS")))

@@ -7,18 +7,20 @@ from pyspark.sql import functions as F
 
 
 def gaze_patterns(samples: DataFrame) -> DataFrame:
-    """frequency, interval mean and deviation, half rates and pattern_type after each sample (session, ts, event_id, away)."""
+    """frequency, interval mean and deviation, half rates and pattern_type after each sample (session, ts, event_id, away).
+
+    All windows are of one partitioning. The last 19 look-aways are a range of their running count, so no join brings them to the samples between.
+    """
     base = Window.partitionBy("session").orderBy("ts", "event_id")
-    looks = samples.where("away = 1")
-    gap = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6 - F.unix_micros(F.lag("ts").over(base).cast("timestamp")) / 1e6
-    looks = looks.withColumn("gap", F.when(gap > 0, gap))
-    last = base.rowsBetween(-18, 0)
-    looks = looks.select("session", "event_id", F.count(F.lit(1)).over(base.rowsBetween(Window.unboundedPreceding, 0)).alias("n_away"), F.count("gap").over(last).alias("n_gaps"), F.avg("gap").over(last).alias("gap_mean"), F.stddev_pop("gap").over(last).alias("gap_dev"))
-    rows = samples.join(looks, ["session", "event_id"], "left")
-    held = F.collect_list("away").over(base.rowsBetween(-99, 0))
-    rows = rows.withColumn("held", held).withColumn("frequency", F.avg("away").over(base.rowsBetween(-29, 0)))
-    for c in ("n_away", "n_gaps", "gap_mean", "gap_dev"):
-        rows = rows.withColumn(c, F.last(c, ignorenulls=True).over(base.rowsBetween(Window.unboundedPreceding, 0)))
+    upto = base.rowsBetween(Window.unboundedPreceding, 0)
+    at = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+    rows = samples.withColumn("_at", at).withColumn("_n", F.sum("away").over(upto))
+    gap = F.col("_at") - F.last(F.when(F.col("away") == 1, F.col("_at")), ignorenulls=True).over(base.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("_gap", F.when((F.col("away") == 1) & (gap > 0), gap))
+    rows = rows.withColumn("held", F.collect_list("away").over(base.rowsBetween(-99, 0))).withColumn("frequency", F.avg("away").over(base.rowsBetween(-29, 0)))
+    last = Window.partitionBy("session").orderBy("_n").rangeBetween(-18, 0)
+    seen = F.col("_n") > 0
+    rows = rows.withColumn("n_away", F.when(seen, F.col("_n"))).withColumn("n_gaps", F.when(seen, F.count("_gap").over(last))).withColumn("gap_mean", F.avg("_gap").over(last)).withColumn("gap_dev", F.stddev_pop("_gap").over(last))
     n = F.size("held")
     half = F.floor(n / 2).cast("int")
 

@@ -15,6 +15,9 @@ MANAGER_WARNINGS = {
     3: "🚫 Interview terminated due to suspected cheating. This session has been flagged for review.",
 }
 TERMINATED = "Interview terminated due to suspected cheating. This session has been flagged for review."
+REASON_HEAD = "Interview terminated after {0} strikes (maximum: {0}).\n\nViolations detected:\n"
+REASON_FOOT = "\nThis session has been flagged for manual review. All detected violations were above the {:.0%} confidence threshold."
+LAST_WARNING, ANY_WARNING, STRIKE_ISSUED, SOCKET_TERMINATED = "STRIKE {}/{}: One more violation will terminate your interview.", "STRIKE {}/{}: Suspicious activity detected.", "Strike {} issued.", "Interview terminated due to suspected cheating."
 SOCKET_WARNINGS = {1: "STRIKE 1/2: Suspicious activity detected. One more violation will terminate your interview.", 2: "FINAL STRIKE: Interview will be terminated immediately on next violation."}
 
 
@@ -47,7 +50,7 @@ def percent(x: Column) -> Column:
 def termination_reasons(reports: DataFrame, max_strikes: int) -> DataFrame:
     lines = F.array_sort(F.collect_list(F.struct("strike_number", "event_type", "confidence")))
     text = F.transform(lines, lambda e: F.concat(e["strike_number"].cast("string"), F.lit(". "), title(e["event_type"]), F.lit(" (Confidence: "), percent(e["confidence"]), F.lit(")\n")))
-    head, foot = f"Interview terminated after {max_strikes} strikes (maximum: {max_strikes}).\n\nViolations detected:\n", f"\nThis session has been flagged for manual review. All detected violations were above the {THRESHOLD:.0%} confidence threshold."
+    head, foot = REASON_HEAD.format(max_strikes), REASON_FOOT.format(THRESHOLD)
     out = timeline(reports, max_strikes).groupBy("interview_id").agg(F.count(F.lit(1)).alias("strikes"), text.alias("lines")).where(F.col("strikes") == max_strikes)
     return out.select("interview_id", "strikes", F.concat(F.lit(head), F.array_join("lines", ""), F.lit(foot)).alias("reason"))
 
@@ -60,13 +63,15 @@ def manager_replay(reports: DataFrame, max_strikes: int) -> DataFrame:
     warning = F.when(~ok, "")
     for k, text in MANAGER_WARNINGS.items():
         warning = warning.when(n == k, text)
-    warning = warning.otherwise(F.concat(F.lit("Strike "), n.cast("string"), F.lit(" issued.")))
+    warning = warning.otherwise(F.replace(F.lit(STRIKE_ISSUED), F.lit("{}"), n.cast("string")))
     return reports.select("event_id", "interview_id", ok.alias("strike_added"), n.alias("current_strikes"), (ok & (n >= max_strikes)).alias("should_terminate"), warning.alias("warning"))
 
 
 def report_warning(strike: Column, max_strikes: int) -> Column:
-    s = strike.cast("string")
-    return F.when(strike >= max_strikes, TERMINATED).when(strike == max_strikes - 1, F.concat(F.lit("STRIKE "), s, F.lit(f"/{max_strikes}: One more violation will terminate your interview."))).otherwise(F.concat(F.lit("STRIKE "), s, F.lit(f"/{max_strikes}: Suspicious activity detected.")))
+    def numbered(text: str) -> Column:
+        return F.replace(F.lit(text.format("#", max_strikes)), F.lit("#"), strike.cast("string"))
+
+    return F.when(strike >= max_strikes, TERMINATED).when(strike == max_strikes - 1, numbered(LAST_WARNING)).otherwise(numbered(ANY_WARNING))
 
 
 def socket_warning(strike: Column) -> Column:

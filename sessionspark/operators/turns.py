@@ -46,10 +46,17 @@ def latch(frames: DataFrame, on: int = 5, off: int = 12) -> DataFrame:
 
 
 def voice_activity(frames: DataFrame) -> DataFrame:
-    """Features, floor, vote and latch of every frame (gain first, as energy is measured after it)."""
-    x = frames.withColumn("x", audio.gained(F.col("x")))
+    """Features, floor, vote and latch of every frame (gain first, as energy is measured after it).
+
+    An empty or null frame is no speech, has no features, and leaves the others' floor and latch alone. A session is one
+    ordered partition: give long recordings session keys of their own.
+    """
+    some = F.coalesce(F.size("x") > 0, F.lit(False))
+    x = frames.where(some).withColumn("x", audio.gained(F.col("x")))
     x = x.select("session", "frame_no", audio.energy(F.col("x")).alias("energy"), audio.zero_crossings(F.col("x")).alias("zcr"), audio.spectral_centroid("x").alias("centroid"))
-    return latch(speech_votes(noise_floor(x)))
+    out = latch(speech_votes(noise_floor(x)))
+    empty = frames.where(~some).select("session", "frame_no", F.lit(0).alias("speech"), F.lit(False).alias("speaking"))
+    return out.unionByName(empty, allowMissingColumns=True)
 
 
 def turns(speech: DataFrame, gap: int = 30) -> DataFrame:

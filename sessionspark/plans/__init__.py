@@ -1,0 +1 @@
+from . import queries, records  # noqa: F401  records adds to the queries of queries

@@ -231,7 +231,8 @@ def questions_per_interview(spark, d):
 @query(f"with {_I} select interview_id, c_name as candidate_name, status from i join customer on resume_id = c_custkey where contains(lower(c_name), '00077') or contains(lower(status), 'pend')")
 def admin_search(spark, d):
     rows = tables.interviews(spark, d).join(tables.candidates(spark, d), "resume_id")
-    return lifecycle.search(rows, ["candidate_name", "status"], "PEND").select("interview_id", "candidate_name", "status").unionByName(lifecycle.search(rows, ["candidate_name"], "00077").select("interview_id", "candidate_name", "status")).distinct()
+    hit = F.contains(F.lower("candidate_name"), F.lit("00077")) | F.contains(F.lower("status"), F.lit("pend"))
+    return rows.where(hit).select("interview_id", "candidate_name", "status")
 
 
 @query("select event_id, (props->>'$.k')::bigint as k, coalesce(props->>'$.message', '') as message from events")
@@ -302,10 +303,31 @@ def audio_stats(spark, d):
     return turns.voice_activity(tables.frames(spark, d)).groupBy("session").agg(n.alias("frames"), s.alias("speech_frames"), F.round((n - s) * 100.0 / F.greatest(n, F.lit(1)), 6).alias("filter_rate"))
 
 
-@query()
+_COS = "cos(2 * pi() * k * i / n)"
+_SIN = "sin(2 * pi() * k * i / n)"
+_DENOISED = f"""{_F}, nu as (select session, frame_no, row_number() over (partition by session order by frame_no) - 1 as j, len(x0) as n, x0 from f),
+ sm as (select session, frame_no, j, n, unnest(x0) as v, generate_subscripts(x0, 1) - 1 as i from nu),
+ sx as (select session, frame_no, j, n, k, sum(v * {_COS}) as re, -sum(v * {_SIN}) as im from sm, range(0, 33) t(k) group by all),
+ mg as (select *, sqrt(re * re + im * im) as m from sx),
+ no as (select session, k, j, power(0.95, j) * (first_value(m) over w + 0.05 * (sum(m / power(0.95, j)) over w - first_value(m) over w)) as noise from mg where j < 50 window w as (partition by session, k order by j rows unbounded preceding)),
+ de as (select mg.session, mg.frame_no, n, mg.k, greatest(m - 1.5 * noise, 0.1 * m) * (case when m > 0 then re / m else 1.0 end) as re, greatest(m - 1.5 * noise, 0.1 * m) * (case when m > 0 then im / m else 0.0 end) as im from mg join no on no.session = mg.session and no.k = mg.k and no.j = least(mg.j, 49)),
+ ba as (select session, frame_no, i, sum((case when k = 0 or 2 * k = n then 1 else 2 end) * (re * {_COS} - im * {_SIN})) / any_value(n) as v from de, range(0, 64) t(i) group by session, frame_no, i),
+ f1 as (select session, frame_no, list(v order by i) as x0 from ba group by 1, 2)"""
+_AFTER = _VAD[_VAD.index(", p as") :].replace("from f)", "from f1)", 1)
+
+
+@query(f"with {_DENOISED}{_AFTER} select session, frame_no, round(energy, 6) as energy, round(zcr, 6) as zcr, round(centroid, 6) as centroid, round(floor, 6) as floor, speech, speaking from la")
 def audio_pipeline(spark, d):
     """Denoise, gain, vote and latch; the noise estimate is a recurrence over a session's first frames."""
-    return turns.voice_activity(audio.denoise(tables.frames(spark, d)))
+    found = turns.voice_activity(audio.denoise(tables.frames(spark, d)))
+    return found.select("session", "frame_no", *(F.round(c, 6).alias(c) for c in ("energy", "zcr", "centroid", "floor")), "speech", "speaking")
+
+
+@query(f"with {_DENOISED}{_AFTER} select session, frame_no, round(energy, 6) as energy, round(zcr, 6) as zcr, round(centroid, 6) as centroid, round(floor, 6) as floor, speech, speaking from la")
+def audio_stateful(spark, d):
+    """audio_pipeline as a keyed rule that a stream runs frame by frame."""
+    found = state.run_batch(tables.frames(spark, d), "session", state.voice_step(), state.VOICE, ("frame_no",))
+    return found.select("session", "frame_no", *(F.round(c, 6).alias(c) for c in ("energy", "zcr", "centroid", "floor")), "speech", "speaking")
 
 
 _E = "e as (select user_id as session, event_id, event_type, value >= 150 as speech, row_number() over (partition by user_id order by ts, event_id) as frame_no from events)"
@@ -323,6 +345,12 @@ def speech_turns(spark, d):
     return turns.turn_spans(_event_frames(spark, d).where("speech"))
 
 
+@query(f"with {_T} select session, frame_no, turn::bigint as turn, gap is null or gap > 30 as starts from tu")
+def turns_stream(spark, d):
+    """Turns as a keyed rule that a stream runs frame by frame."""
+    return state.run_batch(_event_frames(spark, d), "session", state.turn_step(), state.TURNS, ("frame_no",))
+
+
 @query(f"""with {_E}, st as (select *, coalesce(last_value(case event_type when 'view' then true when 'purchase' then false end ignore nulls) over (partition by session order by frame_no rows between unbounded preceding and 1 preceding), false) as speaking from e),
  sp as (select *, frame_no - lag(frame_no) over (partition by session order by frame_no) as gap from st where speech) select session, frame_no, speaking as barge_in from sp where gap is null or gap > 30""")
 def barge_in(spark, d):
@@ -354,13 +382,16 @@ def _dist(a: int, b: int) -> str:
 _RATIO = f"(({_dist(12, 0)}) / ({_dist(0, 3)}) + ({_dist(13, 6)}) / ({_dist(6, 9)})) / 2"
 
 
-@query(f"""with s as (select vec_id, embedding as e from embeddings), r as (select vec_id, (({_dist(1, 5)}) + ({_dist(2, 4)})) / (2 * ({_dist(0, 3)})) as ear, {_RATIO} as ratio from s)
- select vec_id, round(ear, 6) as ear, round(ratio, 6) as ratio, case when ratio < 0.35 then 'right' when ratio > 0.65 then 'left' else 'center' end as direction, case when ratio < 0.35 or ratio > 0.65 then 0.8 else 0.9 end::double as confidence, false as looking_away from r""")
+@query(f"""with s as (select vec_id, embedding as e, case vec_id % 11 when 0 then 0 when 1 then 2 else 1 end as faces from embeddings), r as (select vec_id, faces, (({_dist(1, 5)}) + ({_dist(2, 4)})) / (2 * ({_dist(0, 3)})) as ear, {_RATIO} as ratio from s)
+ select vec_id, faces, round(case when faces = 0 then 0.0 else ear end, 6)::double as ear, round(case when faces = 0 then 0.0 else ratio end, 6)::double as ratio, case when faces = 0 then 'away' when ratio < 0.35 then 'right' when ratio > 0.65 then 'left' else 'center' end as direction,
+ case when faces = 0 then 0.9 when ratio < 0.35 or ratio > 0.65 then 0.8 else 0.9 end::double as confidence, faces <> 1 as looking_away from r""")
 def gaze_direction(spark, d):
     points = F.transform(F.sequence(F.lit(0), (F.size("embedding") / 2 - 1).cast("int")), lambda i: F.struct(F.get("embedding", i * 2).cast("double").alias("x"), F.get("embedding", i * 2 + 1).cast("double").alias("y")))
-    rows = tables.table(spark, d, "embeddings").select("vec_id", points.alias("p"))
-    ratio, direction, confidence = geometry.gaze(F.col("p"), _LEFT, _RIGHT, _IRIS)
-    return rows.select("vec_id", F.round(geometry.eye_aspect(F.col("p"), _LEFT), 6).alias("ear"), F.round(ratio, 6).alias("ratio"), direction.alias("direction"), confidence.cast("double").alias("confidence"), geometry.looking_away(direction, confidence, F.lit(1)).alias("looking_away"))
+    faces = F.when(F.col("vec_id") % 11 == 0, 0).when(F.col("vec_id") % 11 == 1, 2).otherwise(1)
+    rows = tables.table(spark, d, "embeddings").select("vec_id", points.alias("p"), faces.alias("faces"))
+    ratio, direction, confidence = geometry.gaze(F.col("p"), _LEFT, _RIGHT, _IRIS, F.col("faces"))
+    ear = F.when(F.col("faces") == 0, 0.0).otherwise(geometry.eye_aspect(F.col("p"), _LEFT))
+    return rows.select("vec_id", "faces", F.round(ear, 6).alias("ear"), F.round(ratio, 6).alias("ratio"), direction.alias("direction"), confidence.cast("double").alias("confidence"), geometry.looking_away(direction, confidence, F.col("faces")).alias("looking_away"))
 
 
 @query("select n, category, quota::bigint as quota from (values " + ", ".join(f"({n}, '{c}', floor({n} * {s}) + case when '{c}' = 'project' and floor({n} * {s}) = 0 then 1 else 0 end)" for n in (5, 7, 10, 15, 25) for c, s in questions.SHARES.items()) + ") t(n, category, quota)")
@@ -368,29 +399,52 @@ def question_quota(spark, d):
     return questions.quota_table(spark, [5, 7, 10, 15, 25])
 
 
-@query()
+def _hashed(salt: int) -> str:
+    return f"(('0x' || left(md5('42:' || doc_id || ':' || category || ':' || number || ':{salt}'), 8))::bigint / 4294967296.0::double)"
+
+
+_LEVELS = " ".join(f"when {k} then {_q(level)}" for k, level in enumerate(questions.WEIGHTS))
+_TEMPLATES = ", ".join(f"({_q(c)}, {_q(d)}, {k}, {len(texts)}, {_q(t)})" for c, by in questions.TEMPLATES.items() for d, texts in by.items() for k, t in enumerate(texts))
+_SLOTS = ", ".join(f"({_q(c)}, {k})" for c, m in questions.quotas(10).items() for k in range(m))
+
+
+@query(f"""with r as (select doc_id, case doc_id % 5 {_LEVELS} end as level, {_SKILLS} as s from documents), slots(category, number) as (values {_SLOTS}), t(category, difficulty, k, n, text) as (values {_TEMPLATES}),
+ w(level, easy, medium) as (values {", ".join(f"({_q(k)}, {v[0]!r}::double, {v[0] + v[1]!r}::double)" for k, v in questions.WEIGHTS.items())}),
+ d as (select doc_id, category, number, s, case when {_hashed(1)} < easy then 'easy' when {_hashed(1)} < medium then 'medium' else 'hard' end as difficulty, {_hashed(2)} as u, {_hashed(3)} as v, {_hashed(4)} as place from r cross join slots join w using (level)),
+ c as (select d.*, t.text, case when contains(t.text, '{{skill}}') and len(s) > 0 then s[floor(v * len(s))::int + 1] else '' end as skill_tag from d join t on t.category = d.category and t.difficulty = d.difficulty and t.k = floor(d.u * t.n)::int)
+ select doc_id, (row_number() over (partition by doc_id order by place, category, number) - 1)::int as position, category, difficulty, case when skill_tag = '' then text else replace(text, '{{skill}}', skill_tag) end as text, skill_tag from c""")
 def question_plan(spark, d):
-    """Ten questions for each resume; the draws are hashes that SQL elsewhere doesn't have."""
+    """Ten questions for each resume."""
     docs = tables.table(spark, d, "documents")
     level = F.element_at(F.array(*(F.lit(x) for x in questions.WEIGHTS)), (F.col("doc_id") % 5 + 1).cast("int"))
     rows = docs.select("doc_id", level.alias("level"), extraction.skills(F.col("text")).alias("skills"))
-    return questions.plan(rows, 10, key="doc_id", level="level", skills="skills", templates={"technical": 11, "behavioral": 10, "situational": 8, "project": 8})
+    return questions.plan(rows, 10, key="doc_id", level="level", skills="skills")
 
 
 @query("""with recursive s as (select event_id, user_id as session, epoch_us(ts) // 1000 as now, case event_type when 'error' then 0 when 'view' then 1 else 2 end as faces, row_number() over (partition by user_id order by ts, event_id) as k from events),
- r as (select event_id, session, k, now as last, false as emitted from s where k = 1 union all select s.event_id, s.session, s.k, case when s.faces = 1 or (s.faces = 0 and s.now - r.last > 3600000) then s.now else r.last end, s.faces = 0 and s.now - r.last > 3600000 from r join s on s.session = r.session and s.k = r.k + 1)
- select event_id, session from r where emitted""")
+ r as (select event_id, session, k, now as last, case when faces = 2 then 'multiple_faces' end as kind from s where k = 1 union all select s.event_id, s.session, s.k, case when s.faces = 1 or (s.faces = 0 and s.now - r.last > 3600000) then s.now else r.last end,
+  case when s.faces = 2 then 'multiple_faces' when s.faces = 0 and s.now - r.last > 3600000 then 'no_face' end from r join s on s.session = r.session and s.k = r.k + 1)
+ select event_id, session, kind as event_type from r where kind is not null""")
 def no_face_debounce(spark, d):
     faces = F.when(F.col("event_type") == "error", 0).when(F.col("event_type") == "view", 1).otherwise(2)
     rows = tables.table(spark, d, "events").select("event_id", F.col("user_id").alias("session"), "ts", faces.alias("faces"))
     return state.run_batch(rows, "session", state.debounce_step(3_600_000), state.EMITTED)
 
 
-@query()
+# Requests that each kind of endpoint allows.
+RATE_LIMITS = {"upload": 10, "interview": 20, "cheating": 50}
+
+
+@query("""with recursive s as (select event_id, user_id as client, epoch_us(ts) // 1000 as now, case event_type when 'view' then 10 when 'click' then 20 else 50 end as most, row_number() over (partition by user_id order by ts, event_id) as k from events),
+ r as (select event_id, client, k, [now] as held, true as allowed from s where k = 1
+  union all select s.event_id, s.client, s.k, case when len(list_filter(r.held, lambda t: t > s.now - 1728000000)) < s.most then list_append(list_filter(r.held, lambda t: t > s.now - 1728000000), s.now) else list_filter(r.held, lambda t: t > s.now - 1728000000) end,
+   len(list_filter(r.held, lambda t: t > s.now - 1728000000)) < s.most from r join s on s.client = r.client and s.k = r.k + 1)
+ select event_id, client, allowed from r""")
 def rate_limit(spark, d):
-    """Two requests a day for each client, of which only allowed ones count."""
-    rows = tables.table(spark, d, "events").select("event_id", F.col("user_id").alias("client"), "ts")
-    return state.run_batch(rows, "client", state.rate_step(2, 86_400_000), state.ALLOWED)
+    """The three kinds of requests share a client's history; the hour is scaled to twenty days, as the events are that far apart."""
+    kind = F.when(F.col("event_type") == "view", "upload").when(F.col("event_type") == "click", "interview").otherwise("cheating")
+    rows = tables.table(spark, d, "events").select("event_id", F.col("user_id").alias("client"), "ts", kind.alias("kind"))
+    return state.run_batch(rows, "client", state.rate_step(RATE_LIMITS, 1_728_000_000), state.ALLOWED)
 
 
 @query("select event_id, user_id as client, count(*) over (partition by user_id order by ts range between interval 1 day preceding and current row) as attempts from events")
@@ -470,12 +524,12 @@ def interview_durations(spark, d):
     return _timed(spark, d).select("interview_id", F.round(seconds, 3).alias("seconds"), F.round(lifecycle.open_duration_seconds(a, b, F.lit("2024-01-01")), 3).alias("open_seconds"), lifecycle.shown_minutes(seconds).alias("minutes"))
 
 
-@query(f"""with {_SPAN}, n as (select count(*) as n from t), e as (select count(*) as n, count(*) filter (not (value / 100 between 0 and 1)) as r, count(*) filter (event_type not in ('view', 'click', 'error')) as k from events)
- select 'end_after_start' as rule, n as checked, (select count(*) from t where b < a) as broken from n union all select 'confidence_range', n, r from e union all select 'event_kind', n, k from e""")
+@query(f"""with {_SPAN}, n as (select count(*) as n from t), e as (select count(*) as n, count(*) filter (not (value / 100 between 0 and 1)) as r, count(*) filter (event_type not in ('view', 'click', 'error')) as k, count(*) filter (value >= 60 and event_id % 5 = 0) as u, count(*) filter (event_id % 4 = 3 or event_id * 2000 > 10485760) as f from events)
+ select 'end_after_start' as rule, n as checked, (select count(*) from t where b < a) as broken from n union all select 'confidence_range', n, r from e union all select 'event_kind', n, k from e union all select 'strike_numbered', n, u from e union all select 'upload', n, f from e""")
 def data_quality(spark, d):
     e = tables.table(spark, d, "events")
     spans = quality.broken(_timed(spark, d), {"end_after_start": quality.ordered(F.col("a"), F.col("b"))})
-    return spans.unionByName(quality.broken(e, {"confidence_range": quality.within(F.col("value") / 100, 0, 1), "event_kind": quality.one_of(F.col("event_type"), ["view", "click", "error"])}))
+    return spans.unionByName(quality.broken(e, {"confidence_range": quality.within(F.col("value") / 100, 0, 1), "event_kind": quality.one_of(F.col("event_type"), ["view", "click", "error"]), "strike_numbered": quality.numbered(F.col("value") >= 60, F.when(F.col("event_id") % 5 != 0, F.lit(1))), "upload": quality.upload(F.concat(F.lit("cv."), F.element_at(F.array(F.lit("pdf"), F.lit("DOCX"), F.lit("txt"), F.lit("exe")), (F.col("event_id") % 4 + 1).cast("int"))), F.col("event_id") * 2000)}))
 
 
 _NAMED = "case event_type when 'error' then 'DatabaseError' when 'view' then 'ValidationError' when 'signup' then 'OperationalError' when 'click' then 'KeyError' else 'Exception' end"

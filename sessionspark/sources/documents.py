@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MAX_BYTES = 10 * 1024 * 1024
-_PARAGRAPH = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+# Fixed value: the name space of docx texts.
+WORD = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
 
 
 @F.pandas_udf(T.StringType())
@@ -23,22 +24,26 @@ def docx_text(content: pd.Series) -> pd.Series:
     def one(raw: bytes) -> str:
         with zipfile.ZipFile(io.BytesIO(raw)) as z:
             root = ElementTree.fromstring(z.read("word/document.xml"))
-        return "\n".join("".join(t.text or "" for t in p.iter(f"{_PARAGRAPH}t")) for p in root.iter(f"{_PARAGRAPH}p"))
+        return "\n".join("".join(t.text or "" for t in p.iter(f"{{{WORD}}}t")) for p in root.iter(f"{{{WORD}}}p"))
 
     return content.map(one, na_action="ignore")
 
 
+def document_text(suffix: Column, content: Column, pdf_text: Callable[[Column], Column] | None = None) -> Column:
+    """The text of a document's bytes by its suffix (lower case); other suffixes raise an error."""
+    pdf = pdf_text(content) if pdf_text else F.raise_error(F.lit("no pdf reader was given")).cast("string")
+    text = F.when(suffix == "txt", F.decode(content, "UTF-8")).when(suffix == "docx", docx_text(F.when(suffix == "docx", content))).when(suffix == "pdf", pdf)
+    return text.otherwise(F.raise_error(F.concat(F.lit("unsupported file format: "), suffix)).cast("string"))
+
+
 def read_documents(spark: SparkSession, path: str, pdf_text: Callable[[Column], Column] | None = None) -> DataFrame:
     """path, suffix, n_bytes and raw_text of the files under path; other suffixes and files over MAX_BYTES raise an error."""
     files = spark.read.format("binaryFile").load(path)
     suffix = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
-    pdf = pdf_text(F.col("content")) if pdf_text else F.raise_error(F.lit("no pdf reader was given")).cast("string")
-    text = F.when(suffix == "txt", F.decode("content", F.lit("UTF-8"))).when(suffix == "docx", docx_text("content")).when(suffix == "pdf", pdf)
-    text = text.otherwise(F.raise_error(F.concat(F.lit("unsupported file format: "), suffix)).cast("string"))
-    checked = F.when(F.col("length") > MAX_BYTES, F.raise_error(F.lit("file too large")).cast("string")).otherwise(text)
+    checked = F.when(F.col("length") > MAX_BYTES, F.raise_error(F.lit("file too large")).cast("string")).otherwise(document_text(suffix, F.col("content"), pdf_text))
     return files.select("path", suffix.alias("suffix"), F.col("length").alias("n_bytes"), checked.alias("raw_text"))
 
 
 def hrefs(pages: DataFrame, html: str = "html") -> DataFrame:
-    """A row for each link of each page."""
-    return pages.withColumn("href", F.explode(F.regexp_extract_all(html, F.lit(r'href="([^"]*)"'), 1)))
+    """A row for each link of each page; html has one page (the document page of a link, 1)."""
+    return pages.withColumn("page", F.lit(1)).withColumn("href", F.explode(F.regexp_extract_all(html, F.lit(r'href="([^"]*)"'), 1)))

@@ -16,9 +16,8 @@ def test_query_matches_sql(spark, same, name):
     same(spark, plans.QUERIES[name], plans.ORACLES[name])
 
 
-@pytest.mark.parametrize("name", sorted(set(plans.QUERIES) - set(plans.ORACLES)))
-def test_query_without_sql_runs(spark, name):
-    assert plans.QUERIES[name](spark, "/root/testdata/sf0.001").count()
+def test_every_query_has_sql():
+    assert set(plans.QUERIES) == set(plans.ORACLES)
 
 
 def _one(spark, text, rule):
