@@ -12,7 +12,7 @@ A block has BLOCK_WORDS words, fewer in a source of under LEAST_BLOCKS such bloc
 have over MOST_BLOCKS: numpy draws hypergeometric numbers from populations below 10^9. Sources are a dimension that its user
 weighs one by one; their totals, one row for each of MOST_SOURCES sources at most, are planned on the driver. Everything that
 grows with the documents stays in Spark: equal rows are one row with a count of copies, which stand one after the other in the
-stream, and a source's stream is cut by as many bits of the hash as give buckets of about 4,096 rows, so that neither a
+stream, and a source's stream is cut by as many bits of the hash as give buckets of about 1,024 rows, so that neither a
 source with most of the rows nor a row repeated without end is a hot group.
 
 Defined cases: a null text and a wordless one have size 0 and are never drawn; the null source is a source, the last;

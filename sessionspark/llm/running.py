@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rows that a bucket holds, about; buckets whose sums one window takes; copies that one row stands for at first.
-BUCKET_ROWS, LOW_BITS, CHUNK = 4096, 12, 4096
+BUCKET_ROWS, LOW_BITS, CHUNK = 1024, 12, 4096
 
 
 def bucket_bits(n_rows: int) -> int:

@@ -28,11 +28,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textio
-from .components import connected_components
+from .components import connected_components, merge
 from .tiles import over_pairs
 
 SHINGLE, RADIUS = 4, 4
-TILE, SUB = 1 << 14, 512
+TILE, SUB = 1 << 12, 512
 
 
 def fingerprints_of(data: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE) -> np.ndarray:
@@ -104,24 +104,6 @@ def _boxes(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.minimum.reduceat(counts, at), np.maximum.reduceat(counts, at)
 
 
-def _merge(label: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Labels after u and v have been joined."""
-    while True:
-        a, b = label[u], label[v]
-        apart = a != b
-        if not apart.any():
-            return label
-        u, v, a, b = u[apart], v[apart], a[apart], b[apart]
-        parent = np.arange(len(label))
-        np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
-        while True:
-            above = parent[parent]
-            if (above == parent).all():
-                break
-            parent = above
-        label = parent[label]
-
-
 def stars(a: np.ndarray, b: np.ndarray, same: bool, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Links (member, least member) of the groups that two tiles hold together."""
     values = a if same else np.concatenate([a, b])
@@ -136,7 +118,7 @@ def stars(a: np.ndarray, b: np.ndarray, same: bool, radius: int) -> tuple[np.nda
                 continue
             u, v = np.nonzero(np.bitwise_count(x ^ b[None, j * SUB : (j + 1) * SUB]) <= radius)
             if len(u) > (len(x) if same and i == j else 0):
-                label = _merge(label, u + i * SUB, v + j * SUB + shift)
+                label = merge(label, u + i * SUB, v + j * SUB + shift)
     member = np.flatnonzero(label != np.arange(len(label)))
     return values[member], values[label[member]]
 

@@ -8,8 +8,10 @@ from __future__ import annotations
 
 import re
 import tempfile
+import threading
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +36,7 @@ NON_SPACE_BYTES[[32, 9, 10, 11, 12, 13]] = False
 
 #: Tables that save() wrote and drop() hasn't deleted.
 _written: set[str] = set()
+_local = threading.local()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -53,6 +56,8 @@ def save(df: DataFrame, name: str = "table") -> tuple[DataFrame, str]:
     path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.add(path)
+    if (held := getattr(_local, "scope", None)) is not None:
+        held.add(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
@@ -64,9 +69,18 @@ def drop(spark: SparkSession, *paths: str) -> None:
         _written.discard(path)
 
 
-def written() -> set[str]:
-    """The tables that save() wrote and that are still there."""
-    return set(_written)
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[Callable[[str], None]]:
+    """Tables that this thread saves inside are deleted at the end, but for those whose paths the scope's function was called with."""
+    outer, held, kept = getattr(_local, "scope", None), set(), set()
+    _local.scope = held
+    try:
+        yield kept.add
+    finally:
+        _local.scope = outer
+        drop(spark, *(held - kept))
+        if outer is not None:
+            outer.update(held & kept)
 
 
 def release(spark: SparkSession) -> None:

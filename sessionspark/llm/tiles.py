@@ -2,26 +2,28 @@
 
 Tiles have a class (a small number, as a population count) and are compared if their classes are at most `radius` apart.
 They are numbered by class; runs of neighbouring tiles make super-tiles. A task holds the tiles of one super-tile and
-streams those of the other, so a tile's bytes are written once for each super-tile it meets, not for each tile.
+streams those of the other, so a tile's bytes are written once for each super-tile it meets, not for each tile. There are
+about as many super-tiles as give each core several pairs, and more where a task would hold too many tiles.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Super-tiles that the tiles are dealt into at least, and tiles that a task holds at most.
-SUPERS, HELD = 64, 32
+#: Super-tiles at least (if there are so many tiles), and tiles that a task holds at most.
+SUPERS, HELD = 32, 128
 
 
-def grid(parts: dict[int, int], radius: int) -> tuple[list[tuple[int, int]], int, int]:
+def grid(parts: dict[int, int], radius: int, supers: int = SUPERS, held: int = HELD) -> tuple[list[tuple[int, int]], int, int]:
     """Pairs of super-tiles that hold tiles to be compared, tiles of a super-tile, and the number of tiles. parts: tiles of each class."""
     classes = sorted(parts)
     n = sum(parts.values())
-    size = min(HELD, max(1, n // SUPERS))
+    size = min(held, max(1, n // supers))
     spans, begin = [], 0  # of each super-tile, its least and greatest class
     for c in classes:
         for s in range(begin // size, (begin + parts[c] - 1) // size + 1):
@@ -38,13 +40,13 @@ def grid(parts: dict[int, int], radius: int) -> tuple[list[tuple[int, int]], int
     return pairs, size, n
 
 
-def over_pairs(tiles: DataFrame, parts: dict[int, int], radius: int, compare: Callable, schema: str) -> DataFrame:
+def over_pairs(tiles: DataFrame, parts: dict[int, int], radius: int, compare: Callable, schema: str, held: int = HELD) -> DataFrame:
     """The frames (of the schema) that compare(payload, payload, same) gives for all pairs of tiles (class, part, payload) whose classes are at most radius apart.
 
     The driver plans with the numbers of tiles only.
     """
     spark = tiles.sparkSession
-    pairs, size, _ = grid(parts, radius)
+    pairs, size, _ = grid(parts, radius, max(SUPERS, math.isqrt(16 * spark.sparkContext.defaultParallelism)), held)
     begins, n = {}, 0
     for c in sorted(parts):
         begins[c], n = n, n + parts[c]
@@ -61,16 +63,16 @@ def over_pairs(tiles: DataFrame, parts: dict[int, int], radius: int, compare: Ca
     alike = [i == j for i, j in pairs]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, held = None, []
+        now, kept = None, []
         for f in frames:
             for pair, side, kind, _, payload in f.itertuples(index=False, name=None):
                 if pair != now:
-                    now, held = pair, []
-                for other_kind, other in held if side or alike[pair] else []:
+                    now, kept = pair, []
+                for other_kind, other in kept if side or alike[pair] else []:
                     if abs(other_kind - kind) <= radius:
                         yield from compare(other, payload, False)
                 if not side:
-                    held.append((kind, payload))
+                    kept.append((kind, payload))
                     if alike[pair]:
                         yield from compare(payload, payload, True)
 
