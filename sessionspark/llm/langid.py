@@ -193,11 +193,11 @@ def train(samples: list[tuple[str, str]], seed: int = 0) -> Model:
 def sample(docs: DataFrame, *, key: str, text: str, label: str, per_label: int = PER_LABEL) -> DataFrame:
     """About per_label (text, label) rows of each label, with a bounded part of each text."""
     rows = docs.select(*(F.col(textio.quoted(c)).alias(n) for c, n in ((key, "key"), (text, "text"), (label, "label")))).where("key is not null and text is not null and label is not null")
-    counts = rows.groupBy("label").count().limit(MOST_LABELS + 1).collect()
+    rows = rows.withColumn("h", F.xxhash64("key", "text", F.lit(7)))
+    counts = rows.groupBy("label").agg(F.approx_count_distinct("h").alias("n")).limit(MOST_LABELS + 1).collect()
     if len(counts) > MOST_LABELS:
         raise ValueError(f"more than {MOST_LABELS} labels")
-    shares = docs.sparkSession.createDataFrame([(r["label"], per_label / r["count"]) for r in counts], T.StructType([rows.schema["label"], T.StructField("share", T.DoubleType())]))
-    rows = rows.withColumn("h", F.xxhash64("key", "text", F.lit(7)))
+    shares = docs.sparkSession.createDataFrame([(r.label, per_label / r.n) for r in counts], T.StructType([rows.schema["label"], T.StructField("share", T.DoubleType())]))
     place = F.pmod(F.xxhash64("h"), F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0)) + 1) + 1
     taken = F.shiftrightunsigned("h", 11).cast("double") / float(1 << 53) < F.col("share")
     picked = rows.join(F.broadcast(shares), "label").where(taken)
@@ -231,11 +231,12 @@ def row_means(model: Model, data: np.ndarray, starts: np.ndarray, ends: np.ndarr
 
 def identify(docs: DataFrame, model: Model, *, keys: list[str], text: str = "text", runs: bool = False) -> DataFrame:
     """keys, lang_pred and score of every row; with runs also an array of (first_word, end_word, lang)."""
-    at = keys.index(text) if text in keys else len(keys)
-    docs = docs.select(*(F.col(textio.quoted(k)) for k in keys), *([F.col(textio.quoted(text)).alias("_text")] if at == len(keys) else []))
     mark = pa.struct([("first_word", pa.int64()), ("end_word", pa.int64()), ("lang", pa.string())])
     added = "lang_pred string, score double" + (", runs array<struct<first_word:bigint,end_word:bigint,lang:string>>" if runs else "")
-    schema = T.StructType([*docs.schema.fields[: len(keys)], *T._parse_datatype_string(added).fields])
+    named = {k: f"k{i}" for i, k in enumerate(keys) if k != text}
+    docs = docs.select(*([F.struct(*(F.col(textio.quoted(k)).alias(n) for k, n in named.items())).alias("_keys")] if named else []), F.col(textio.quoted(text)).alias("_text"))
+    schema = T.StructType([*docs.schema.fields[: None if text in keys else -1], *T._parse_datatype_string(added).fields])
+    at, given = len(docs.columns) - 1, len(docs.columns) - (text not in keys)
     held = docs.sparkSession.sparkContext.broadcast(model)  # TABLE weights for each of MOST_LABELS labels at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,13 +255,14 @@ def identify(docs: DataFrame, model: Model, *, keys: list[str], text: str = "tex
                 best = mean.argmax(axis=1) if len(m.labels) else np.zeros(j - i, np.int64)
                 lang = np.where(known, labels[best], "und")
                 score = np.where(known, np.clip(mean.max(axis=1, initial=0), 0, 1), 0.0)
-                columns = [*(batch.column(k).slice(i, j - i) for k in range(len(keys))), pa.array(lang, pa.string()), pa.array(score)]
+                columns = [*(batch.column(k).slice(i, j - i) for k in range(given)), pa.array(lang, pa.string()), pa.array(score)]
                 if runs:
                     marks = [[{"first_word": a, "end_word": b, "lang": str(labels[word[first[r] + a]])} for a, b in _runs(word[first[r] : first[r + 1]])] if known[r] else [] for r in range(j - i)]
                     columns.append(pa.array(marks, pa.list_(mark)))
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    found = docs.mapInArrow(run, schema)
+    return found.select(*(F.col("_text" if k == text else f"_keys.{named[k]}").alias(k) for k in keys), *(f.name for f in schema.fields[given:]))
 
 
 def _runs(x: np.ndarray) -> list[tuple[int, int]]:

@@ -235,8 +235,8 @@ def train_dictionary(samples: list[bytes]) -> bytes:
 def _sample_dictionary(docs: DataFrame, key: str, text: str, tokenizer: str, end_id: int) -> bytes:
     """A dictionary of about SAMPLE_DOCS documents, each taken where a hash of its id and text is under the share that gives so many; equal ones count once."""
     rows = docs.select(F.col(textio.quoted(key)).alias("k"), F.col(textio.quoted(text)).alias("t")).where("t is not null")
-    share = min(1.0, SAMPLE_DOCS / max(1, rows.count()))
     rows = rows.withColumn("h", F.xxhash64("k", "t", F.lit(9)))
+    share = SAMPLE_DOCS / max(1, rows.agg(F.approx_count_distinct("h")).first()[0])
     begin = F.pmod("h", F.greatest(F.length("t") - SAMPLE_CHARS, F.lit(0)) + 1) + 1
     taken = F.shiftrightunsigned("h", 11).cast("double") / float(1 << 53) < share
     picked = rows.where(taken).select("h", F.substring("t", begin.cast("int"), F.lit(SAMPLE_CHARS)).alias("t")).dropDuplicates(["h"]).select("t")

@@ -165,9 +165,11 @@ def read_vocabulary(model: str) -> tuple[bool, list[tuple[str, float]], bool]:
         return False, pieces, {f"<0x{b:02X}>" for b in range(256)} <= {p for p, _ in pieces}
     with open(model, encoding="utf-8") as f:
         held = json.load(f)
-    cut = held.get("pre_tokenizer")
-    if held["model"]["type"] != "Unigram" or cut and not (cut["type"] == "Metaspace" and cut.get("split", True) and cut.get("prepend_scheme") == "always"):
-        raise ValueError("the file must have a Unigram model and a Metaspace pre-tokenizer or none")
+    cut, normal = held.get("pre_tokenizer"), held.get("normalizer")
+    spaces = [{"type": "Prepend", "prepend": SPACE}, {"type": "Replace", "pattern": {"String": " "}, "content": SPACE}]
+    marks_words = cut and cut["type"] == "Metaspace" and cut.get("split", True) and cut.get("prepend_scheme") == "always" and not normal
+    if held["model"]["type"] != "Unigram" or not (marks_words or not cut and normal and normal.get("normalizers") == spaces):
+        raise ValueError("the file must have a Unigram model, and write spaces as U+2581 by a splitting Metaspace pre-tokenizer or by Prepend and Replace")
     pieces = [(p, float(v)) for p, v in held["model"]["vocab"]]
     return cut is not None, pieces, bool(held["model"].get("byte_fallback")) and {f"<0x{b:02X}>" for b in range(256)} <= {p for p, _ in pieces}
 
@@ -251,19 +253,19 @@ def count_tokens(docs: DataFrame, *, keys: list[str], text: str = "text", model:
         import public_tokenizers
 
         model = public_tokenizers.path("piece_bpe_32k.model")
-    docs = docs.select(*(F.col(textio.quoted(k)) for k in keys), F.col(textio.quoted(text)).alias("_text"))
-    schema = T.StructType([*docs.schema.fields[:-1], T.StructField("n_tokens", T.LongType()), T.StructField("score", T.DoubleType())])
+    docs = docs.select(F.struct(*(F.col(textio.quoted(k)).alias(f"k{i}") for i, k in enumerate(keys))).alias("_keys"), F.col(textio.quoted(text)).alias("_text"))
+    schema = T.StructType([docs.schema["_keys"], T.StructField("n_tokens", T.LongType()), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = counter(model)
         for batch in batches:
-            column = batch.column(len(keys))
+            column = batch.column(1)
             _, offsets = textio.utf8(column)
             for i, j in textio.pieces(offsets):
                 n, score = own.count([t or "" for t in column.slice(i, j - i).to_pylist()])
-                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(i, j - i) for k in range(len(keys))), pa.array(n), pa.array(score)], names=schema.names)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n), pa.array(score)], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema).select(*(F.col(f"_keys.k{i}").alias(k) for i, k in enumerate(keys)), "n_tokens", "score")
 
 
 def op10_unigram_viterbi(spark, sf_dir: str) -> DataFrame:
