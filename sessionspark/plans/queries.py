@@ -140,14 +140,20 @@ def resume_contacts(spark, d):
 _SKILLS = "list_sort(list_distinct(list_transform(list_filter([" + ", ".join(f"{{'k': {_q(s)}, 'n': {_q(extraction.display(s))}}}" for s in [*extraction.TECH_SKILLS, *extraction.SOFT_SKILLS]) + "], lambda s: contains(lower(text), s.k)), lambda s: s.n)))"
 
 
+def _skilled(spark, d):
+    return extraction.with_skills(tables.table(spark, d, "documents").select("doc_id", "text"), name="s").drop("text")
+
+
 @query(f"select doc_id, array_to_string({_SKILLS}, ',') as skills, len({_SKILLS})::int as n_skills from documents")
 def resume_skills(spark, d):
-    return tables.table(spark, d, "documents").select("doc_id", extraction.skills(F.col("text")).alias("s")).select("doc_id", F.array_join("s", ",").alias("skills"), F.size("s").alias("n_skills"))
+    return _skilled(spark, d).select("doc_id", F.array_join("s", ",").alias("skills"), F.size("s").alias("n_skills"))
 
 
 @query(f"select skill, count(*) as resumes from (select unnest({_SKILLS}) as skill from documents) group by 1")
 def skill_counts(spark, d):
-    return tables.table(spark, d, "documents").select(F.explode(extraction.skills(F.col("text"))).alias("skill")).groupBy("skill").agg(F.count(F.lit(1)).alias("resumes"))
+    # explode_outer: explode would add a filter on the whole match, which is pushed below the lower-casing
+    counts = _skilled(spark, d).select(F.explode_outer("s").alias("skill")).groupBy("skill").agg(F.count(F.lit(1)).alias("resumes"))
+    return counts.where("skill is not null")
 
 
 @query(f"select doc_id, array_to_string(regexp_extract_all(text, {_q(extraction.DEGREE)}, 1)[1:3], '|') as degrees from documents")
@@ -415,9 +421,8 @@ _SLOTS = ", ".join(f"({_q(c)}, {k})" for c, m in questions.quotas(10).items() fo
  select doc_id, (row_number() over (partition by doc_id order by place, category, number) - 1)::int as position, category, difficulty, case when skill_tag = '' then text else replace(text, '{{skill}}', skill_tag) end as text, skill_tag from c""")
 def question_plan(spark, d):
     """Ten questions for each resume."""
-    docs = tables.table(spark, d, "documents")
     level = F.element_at(F.array(*(F.lit(x) for x in questions.WEIGHTS)), (F.col("doc_id") % 5 + 1).cast("int"))
-    rows = docs.select("doc_id", level.alias("level"), extraction.skills(F.col("text")).alias("skills"))
+    rows = _skilled(spark, d).select("doc_id", level.alias("level"), F.col("s").alias("skills"))
     return questions.plan(rows, 10, key="doc_id", level="level", skills="skills")
 
 
@@ -578,7 +583,7 @@ def candidate_upsert(spark, d):
 @query(f"""with s as (select doc_id, {_SKILLS} as s from documents) select doc_id, array_to_string(s[1:15], '|') || case when len(s) > 15 then '|+' || (len(s) - 15) || ' more' else '' end as shown, case when len(s) > 0 then array_to_string(s[1:10], ', ') else 'Not specified' end as prompt,
  case when len(s) > 0 then replace('How do you use {{skill}}?', '{{skill}}', s[1]) else 'How do you use {{skill}}?' end as question from s""")
 def skill_texts(spark, d):
-    s = tables.table(spark, d, "documents").select("doc_id", extraction.skills(F.col("text")).alias("s"))
+    s = _skilled(spark, d)
     return s.select("doc_id", F.array_join(questions.shown_skills(F.col("s")), "|").alias("shown"), questions.prompt_skills(F.col("s")).alias("prompt"), questions.fill(F.lit("How do you use {skill}?"), F.get("s", F.lit(0))).alias("question"))
 
 

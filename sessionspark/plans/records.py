@@ -58,14 +58,14 @@ def interview_update(spark, d):
 def resume_records(spark, d):
     """The columns that a resume's endpoint gives, arrays as texts."""
     t = F.col("text")
-    docs = tables.table(spark, d, "documents")
+    docs = extraction.with_skills(tables.table(spark, d, "documents").select("doc_id", "text"))
     return docs.select(
         F.col("doc_id").alias("id"),
         F.concat(F.lit("resume_"), "doc_id", F.lit(".txt")).alias("original_filename"),
         extraction.email(t).alias("email"),
         extraction.phone(t).alias("phone"),
         extraction.experience_years(t, AS_OF_YEAR).alias("experience_years"),
-        F.array_join(extraction.skills(t), ",").alias("skills"),
+        F.array_join("skills", ",").alias("skills"),
         F.array_join(extraction.education(t), "|").alias("education"),
         F.array_join(extraction.job_spans(t), "|").alias("work_history"),
     )
