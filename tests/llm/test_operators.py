@@ -179,15 +179,6 @@ def test_equal_replicas(spark):
     assert [r.status for r in merkle.fixity_report(pages, pages).collect()] == ["intact"] * 3
 
 
-def test_pipeline_runs_and_keeps_columns(spark):
-    folder = "/root/testdata/sf0.001"
-    docs = spark.read.parquet(f"{folder}/documents.parquet")
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        docs, _ = textio.save(stage(spark, docs, folder), name)
-        assert set(docs.columns) == {"doc_id", "text", "lang", "source", "n_chars"}
-    assert corpus_pipeline.token_ids(spark, docs, folder).count() == docs.count()
-
-
 @pytest.mark.parametrize("n", [0, 1, 1000])
 def test_pipeline_stages_take_edge_rows(spark, docs, n):
     """Nulls, repeated rows, clashing columns, one row and none: every stage keeps the columns, and texts that it keeps are whole."""
