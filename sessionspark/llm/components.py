@@ -55,11 +55,12 @@ def connected_components(links: DataFrame) -> DataFrame:
         if now == mark or not now[0]:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label"))).groupBy("node").agg(F.min("label").alias("label"))
         mark = now
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        pair, back = F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v"))
+        both = edges.mapInPandas(contracted, "u long, v long").select(F.explode(F.array(pair, back)).alias("e")).select("e.u", "e.v")
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v")))
-        new, new_path = save(small.mapInPandas(contracted, "u long, v long").distinct(), "links")
+        new, new_path = save(small.distinct(), "links")
         drop(spark, path)
         edges, path = new, new_path
