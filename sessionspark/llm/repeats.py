@@ -112,9 +112,11 @@ def repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> Data
     kind = rows.schema["_id"].dataType.simpleString()
     grown = rows.mapInArrow(_grown(bits), f"_id {kind}, digest long, at int, h long, check int")
     first = grown.groupBy("h", "check").agg(F.min("_id").alias("first"), F.max("_id").alias("_most")).where("first < _most").drop("_most")
+    # Written, so that the join below may split a window that very many documents hold.
+    first, _ = textio.save(first, "first")
     found = grown.join(first, ["h", "check"]).where("_id > first").select("_id", "digest", "at", "first")
     # A document's windows in order: one repeat goes on while windows are neighbours and have one first document.
-    steps = found.distinct().withColumn("_run", F.col("at") - F.expr("row_number() over (partition by _id, digest, first order by at)"))
+    steps = found.withColumn("_run", F.col("at") - F.expr("dense_rank() over (partition by _id, digest, first order by at)"))
     runs = steps.groupBy("_id", "digest", "first", "_run").agg(F.min("at").alias("lo"), (F.max("at") + WINDOW).alias("hi"))
     return runs.groupBy("_id", "digest").agg(F.array_sort(F.collect_list(F.struct("lo", "hi", "first"))).alias("repeats"))
 
