@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -33,9 +35,13 @@ def gain(x: Column) -> Column:
     return F.when(p > 0.001, F.greatest(F.lit(0.5), F.least(F.lit(3.0), 0.7 / p))).otherwise(F.lit(1.0))
 
 
+def once(value: Column, rule: Callable[[Column], Column]) -> Column:
+    """rule(value) with the value computed once for a row, however often a lambda inside the rule reads it."""
+    return F.get(F.transform(F.array(value), rule), F.lit(0))
+
+
 def gained(x: Column) -> Column:
-    g = gain(x)
-    return F.transform(x, lambda v: F.greatest(F.lit(-1.0), F.least(F.lit(1.0), v * g)))
+    return once(gain(x), lambda g: F.transform(x, lambda v: F.greatest(F.lit(-1.0), F.least(F.lit(1.0), v * g))))
 
 
 def pcm16(x: Column) -> Column:
@@ -49,8 +55,7 @@ def from_pcm16(x: Column) -> Column:
 
 def pcm16_limited(x: Column) -> Column:
     """pcm16 of samples that are first divided by their peak, if it is over 1."""
-    p = peak(x)
-    return pcm16(F.transform(x, lambda v: F.when(p > 1, v / p).otherwise(v)))
+    return pcm16(once(peak(x), lambda p: F.transform(x, lambda v: F.when(p > 1, v / p).otherwise(v))))
 
 
 def _by_length(frames: pd.Series, rule) -> list:
@@ -110,22 +115,47 @@ def subtracted(frames: pd.Series, noise: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=object)
 
 
-def denoise(frames: DataFrame) -> DataFrame:
-    """session, frame_no and x of every frame, its noise subtracted; the noise spectrum is learned from a session's first 50.
+def with_noise(frames: DataFrame) -> DataFrame:
+    """session, frame_no, x and noise of every frame: the spectrum that is taken from it, null where none is.
 
-    Only those 50 are gathered; each frame is then joined to the spectrum of its place, or to the last one. Frames whose
-    number of bins isn't that of the session's first, and frames of one sample, stay as they are and teach nothing; so do
-    empty ones.
+    The spectrum is learned from a session's first frames; only those are gathered, and each frame is then joined to the
+    spectrum of its place, or to the last one. Frames whose number of bins isn't that of the session's first, and frames of one
+    sample, are left as they are and teach nothing; so do empty ones.
     """
-    order = Window.partitionBy("session").orderBy(F.asc_nulls_last("frame_no"), "x")
-    bins = F.floor(F.size("x") / 2).cast("int")
-    usable = frames.where(F.size("x") > 1).select("session", "frame_no", "x", bins.alias("bins"))
-    usable = usable.withColumn("fits", F.col("bins") == F.first("bins").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    numbered = usable.withColumn("k", F.count_if("fits").over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("int") - 1)
+    order = Window.partitionBy("session").orderBy(F.asc_nulls_last("frame_no"), "x").rowsBetween(Window.unboundedPreceding, 0)
+    numbered = frames.select("session", "frame_no", "x", F.when(F.size("x") > 1, F.floor(F.size("x") / 2).cast("int")).alias("bins"))
+    numbered = numbered.withColumn("fits", F.coalesce(F.col("bins") == F.first("bins", ignorenulls=True).over(order), F.lit(False)))
+    numbered = numbered.withColumn("k", F.count_if("fits").over(order).cast("int") - 1)
     kinds = frames.schema
     first = numbered.where(F.col("fits") & (F.col("k") < NOISE_FRAMES)).select("session", "k", "x")
     learned = first.groupBy("session").applyInPandas(noise_spectra, T.StructType([kinds["session"], T.StructField("k", T.IntegerType()), T.StructField("noise", T.ArrayType(T.DoubleType()))]))
     learned = learned.select(F.col("session").alias("_session"), F.col("k").alias("_k"), "noise")
     on = F.col("session").eqNullSafe(F.col("_session")) & (F.least("k", F.lit(NOISE_FRAMES - 1)) == F.col("_k"))
-    joined = numbered.join(learned, on, "left").select("session", "frame_no", subtracted("x", F.when(F.col("fits"), F.col("noise"))).alias("x"))
-    return joined.unionByName(frames.where(~F.coalesce(F.size("x") > 1, F.lit(False))).select("session", "frame_no", "x"))
+    return numbered.join(learned, on, "left").select("session", "frame_no", "x", F.when(F.col("fits"), F.col("noise")).alias("noise"))
+
+
+def denoise(frames: DataFrame) -> DataFrame:
+    """session, frame_no and x of every frame, its noise subtracted (with_noise says which is)."""
+    return with_noise(frames).select("session", "frame_no", subtracted("x", "noise").alias("x"))
+
+
+@F.pandas_udf(T.StructType([T.StructField(n, T.DoubleType()) for n in ("energy", "zcr", "centroid")]))
+def voice_features(frames: pd.Series, noise: pd.Series) -> pd.DataFrame:
+    """Energy, zero crossings and centroid of each frame after suppression and gain, in one step; null of empty and null frames."""
+    out = np.full((len(frames), 3), np.nan)
+    where: dict[tuple[int, bool], list[int]] = {}
+    for k, (x, n) in enumerate(zip(frames, noise, strict=True)):
+        if x is not None and len(x):
+            where.setdefault((len(x), n is not None), []).append(k)
+    for (_, noisy), at in where.items():
+        x = np.array([frames.iloc[k] for k in at], float)
+        if noisy:
+            x = suppressed(x, np.array([noise.iloc[k] for k in at], float))
+        top = np.abs(x).max(axis=1)
+        g = np.where(top > 0.001, np.clip(0.7 / np.maximum(top, 1e-9), 0.5, 3.0), 1.0)
+        x = np.clip(x * g[:, None], -1, 1)
+        out[at, 0] = np.sqrt((x * x).mean(axis=1))
+        out[at, 1] = np.abs(np.diff(np.sign(x), axis=1)).sum(axis=1) / (2 * x.shape[1])
+        out[at, 2] = centroids(x)
+    found = pd.DataFrame(out, columns=["energy", "zcr", "centroid"])
+    return found.astype(object).where(found.notna(), None)

@@ -89,10 +89,10 @@ def stack_depth(ops: DataFrame) -> DataFrame:
 
 
 def latch(frames: DataFrame, on: int = 5, off: int = 12) -> DataFrame:
-    """turns.latch for sessions of any length: the state turns at on speech frames in a row, and back at off silent ones."""
-    speech, silent = F.col("speech") == 1, F.coalesce(F.col("speech") == 0, F.lit(False))
+    """turns.latch for sessions of any length: the state turns at on speech frames (1) in a row, and back at off others (0 or null)."""
+    speech = F.coalesce(F.col("speech") == 1, F.lit(False))
     rows = running(blocked(frames, "session", "frame_no"), "session", {"_n": ("count", F.lit(1))})
-    rows = running(rows, "session", {"_spoke": ("max", F.when(~silent, F.col("_n"))), "_still": ("max", F.when(~F.coalesce(speech, F.lit(False)), F.col("_n")))})
+    rows = running(rows, "session", {"_spoke": ("max", F.when(speech, F.col("_n"))), "_still": ("max", F.when(~speech, F.col("_n")))})
     change = F.when(F.col("_n") - F.coalesce("_still", F.lit(0)) >= on, True).when(F.col("_n") - F.coalesce("_spoke", F.lit(0)) >= off, False)
     rows = running(rows.withColumn("_change", change), "session", {"_state": ("last", F.col("_change"))})
     return without_marks(rows.withColumn("speaking", F.coalesce("_state", F.lit(False))).drop("_n", "_spoke", "_still", "_change", "_state"))

@@ -45,18 +45,26 @@ def latch(frames: DataFrame, on: int = 5, off: int = 12) -> DataFrame:
     return out.withColumn("speaking", F.coalesce(F.last("_change", ignorenulls=True).over(_frames().rowsBetween(Window.unboundedPreceding, 0)), F.lit(False))).drop("_change")
 
 
+def _voice(features: DataFrame, frames: DataFrame) -> DataFrame:
+    """Floor, vote and latch over the features of frames that aren't empty; an empty or null frame is no speech and leaves the others' floor and latch alone."""
+    out = latch(speech_votes(noise_floor(features)))
+    empty = frames.where(~F.coalesce(F.size("x") > 0, F.lit(False))).select("session", "frame_no", F.lit(0).alias("speech"), F.lit(False).alias("speaking"))
+    return out.unionByName(empty, allowMissingColumns=True)
+
+
 def voice_activity(frames: DataFrame) -> DataFrame:
     """Features, floor, vote and latch of every frame (gain first, as energy is measured after it).
 
-    An empty or null frame is no speech, has no features, and leaves the others' floor and latch alone. A session is one
-    ordered partition: give long recordings session keys of their own.
+    A session is one ordered partition: give long recordings session keys of their own, or take scan.latch.
     """
-    some = F.coalesce(F.size("x") > 0, F.lit(False))
-    x = frames.where(some).withColumn("x", audio.gained(F.col("x")))
-    x = x.select("session", "frame_no", audio.energy(F.col("x")).alias("energy"), audio.zero_crossings(F.col("x")).alias("zcr"), audio.spectral_centroid("x").alias("centroid"))
-    out = latch(speech_votes(noise_floor(x)))
-    empty = frames.where(~some).select("session", "frame_no", F.lit(0).alias("speech"), F.lit(False).alias("speaking"))
-    return out.unionByName(empty, allowMissingColumns=True)
+    found = frames.where(F.size("x") > 0).select("session", "frame_no", audio.voice_features("x", F.lit(None).cast("array<double>")).alias("f"))
+    return _voice(found.select("session", "frame_no", "f.*"), frames)
+
+
+def voice_pipeline(frames: DataFrame) -> DataFrame:
+    """voice_activity of denoised frames: one Arrow step makes the features of each frame, and only these go through the windows."""
+    found = audio.with_noise(frames.where(F.size("x") > 0)).select("session", "frame_no", audio.voice_features("x", "noise").alias("f"))
+    return _voice(found.select("session", "frame_no", "f.*"), frames)
 
 
 def turns(speech: DataFrame, gap: int = 30) -> DataFrame:
@@ -65,9 +73,12 @@ def turns(speech: DataFrame, gap: int = 30) -> DataFrame:
     return speech.withColumn("_new", new.cast("int")).withColumn("turn", F.sum("_new").over(_frames())).drop("_new")
 
 
-def turn_spans(speech: DataFrame, gap: int = 30) -> DataFrame:
-    """First and last frame and size of each turn; it completes gap frames after the last."""
-    return turns(speech, gap).groupBy("session", "turn").agg(F.min("frame_no").alias("first_frame"), F.max("frame_no").alias("last_frame"), F.count(F.lit(1)).alias("n_frames"), (F.max("frame_no") + gap).alias("complete_frame"))
+def turn_spans(frames: DataFrame, gap: int = 30) -> DataFrame:
+    """First and last speech frame and size of each turn of frames (session, frame_no, speech). A turn is complete at the frame gap after its last one; null where the session ends before."""
+    spans = turns(frames.where("speech").select("session", "frame_no"), gap).groupBy("session", "turn").agg(F.min("frame_no").alias("first_frame"), F.max("frame_no").alias("last_frame"), F.count(F.lit(1)).alias("n_frames"))
+    ends = frames.groupBy(F.col("session").alias("_session")).agg(F.max("frame_no").alias("_end"))
+    done = F.col("last_frame") + gap
+    return spans.join(ends, F.col("session").eqNullSafe(F.col("_session"))).withColumn("complete_frame", F.when(done <= F.col("_end"), done)).drop("_session", "_end")
 
 
 def barge_ins(frames: DataFrame, gap: int = 30) -> DataFrame:

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import audio, extraction, geometry
-from ..operators import lifecycle, messages, patterns, quality, questions, strikes, turns
+from ..operators import asof, lifecycle, messages, patterns, quality, questions, scan, strikes, turns
 from ..sources import documents, tables
-from ..streaming import state
+from ..streaming import processors, state
 
 AS_OF_YEAR = 2024
 QUERIES: dict = {}
@@ -325,7 +325,7 @@ _AFTER = _VAD[_VAD.index(", p as") :].replace("from f)", "from f1)", 1)
 @query(f"with {_DENOISED}{_AFTER} select session, frame_no, round(energy, 6) as energy, round(zcr, 6) as zcr, round(centroid, 6) as centroid, round(floor, 6) as floor, speech, speaking from la")
 def audio_pipeline(spark, d):
     """Denoise, gain, vote and latch; the noise estimate is a recurrence over a session's first frames."""
-    found = turns.voice_activity(audio.denoise(tables.frames(spark, d)))
+    found = turns.voice_pipeline(tables.frames(spark, d))
     return found.select("session", "frame_no", *(F.round(c, 6).alias(c) for c in ("energy", "zcr", "centroid", "floor")), "speech", "speaking")
 
 
@@ -346,12 +346,13 @@ def _event_frames(spark, d):
     return tables.table(spark, d, "events").select(F.col("user_id").alias("session"), n.alias("frame_no"), (F.col("value") >= 150).alias("speech"), said.alias("said"))
 
 
-@query(f"with {_T} select session, turn::bigint as turn, min(frame_no) as first_frame, max(frame_no) as last_frame, count(*) as n_frames, max(frame_no) + 30 as complete_frame from tu group by 1, 2")
+@query(f"with {_T} select session, turn::bigint as turn, min(frame_no) as first_frame, max(frame_no) as last_frame, count(*) as n_frames, case when max(frame_no) + 30 <= any_value(ends) then max(frame_no) + 30 end as complete_frame from tu join (select session, max(frame_no) as ends from e group by 1) using (session) group by 1, 2")
 def speech_turns(spark, d):
-    return turns.turn_spans(_event_frames(spark, d).where("speech"))
+    return turns.turn_spans(_event_frames(spark, d))
 
 
-@query(f"with {_T} select session, frame_no, turn::bigint as turn, gap is null or gap > 30 as starts from tu")
+@query(f"""with {_T} select session, frame_no, turn::bigint as turn, case when gap is null or gap > 30 then 'start' else 'speech' end as event from tu
+ union all select session, max(frame_no) + 30, turn::bigint, 'complete' from tu join (select session, max(frame_no) as ends from e group by 1) using (session) group by session, turn having max(frame_no) + 30 <= any_value(ends)""")
 def turns_stream(spark, d):
     """Turns as a keyed rule that a stream runs frame by frame."""
     return state.run_batch(_event_frames(spark, d), "session", state.turn_step(), state.TURNS, ("frame_no",))
@@ -378,6 +379,66 @@ def strike_stack(spark, d):
     return strikes.stack_depth(tables.table(spark, d, "events").select("event_id", F.col("user_id").alias("interview_id"), "ts", op.alias("op"))).select("event_id", "interview_id", "op", "depth")
 
 
+# Two tables in event time, in ms: user frames and model events.
+_TWO = """r as (select user_id as session, epoch_us(ts) // 1000 as ms, 0 as source, event_id as id, value >= 150 as speech, value as energy, null::boolean as said from events
+ union all select conv_id, 1704067200000 + turn * 259200000 + conv_id * 60000, 1, turn, null, null, role = 'assistant' from conversations)"""
+
+
+@query(f"""with {_TWO}, p as (select *, coalesce(last_value(said ignore nulls) over (partition by session order by ms, source, id rows between unbounded preceding and 1 preceding), false) as speaking from r)
+ select session, id, speaking, speech and not speaking as passed from p where source = 0""")
+def frames_as_of(spark, d):
+    """Whether the model speaks at each user frame, and whether the frame passes the echo gate: an as-of join of two tables."""
+    ms = lambda df: df.withColumn("ts", F.unix_millis(F.col("ts").cast("timestamp")))
+    found = asof.last_before(ms(tables.voice_frames(spark, d)), ms(tables.model_events(spark, d)), "session", "ts", "said")
+    speaking = F.coalesce("said", F.lit(False))
+    return found.select("session", "id", speaking.alias("speaking"), (F.col("speech") & ~speaking).alias("passed"))
+
+
+@query(f"""with {_TWO}, c as (select max(ms) as clock from r),
+ g as (select *, sum((gap > 172800000)::int) over (partition by session order by ms, source, id) as stretch from (select *, coalesce(ms - lag(ms) over (partition by session order by ms, source, id), 0) as gap from r)),
+ p as (select *, coalesce(last_value(said ignore nulls) over (partition by session, stretch order by ms, source, id rows between unbounded preceding and 1 preceding), false) as speaking from g),
+ v as (select *, ms - lag(ms) over (partition by session, stretch order by ms, id) as quiet from p where speech),
+ t as (select *, sum((quiet is null or quiet > 36000000)::int) over (partition by session, stretch order by ms, id) as turn from v),
+ e as (select session, stretch, max(ms) + 172800000 as ms, count(*) filter (speech and not speaking) as passed, count(*) filter (source = 0) as frames, list(energy order by ms, id) filter (energy is not null) as energies from p group by 1, 2),
+ k as (select *, list_sort(energies[greatest(1, len(energies) - 149):]) as held from e)
+ select session, ms, 'turn_started' as kind, turn::bigint as turn, null::bigint as frames, speaking as barge_in, null::double as floor from t where quiet is null or quiet > 36000000
+ union all select session, max(ms) + 36000000, 'turn_complete', turn::bigint, count(*), null, null from t group by session, stretch, turn having max(ms) + 36000000 <= (select clock from c)
+ union all select session, ms, 'session_ended', passed, frames, null, held[len(held) * 30 // 100 + 1] from k where ms <= (select clock from c)""")
+def session_events(spark, d):
+    """Turns, barge-in and silence of sessions of two inputs, by the rule that a stream runs as a state processor with timers."""
+    rule = processors.SessionRule(quiet=36_000_000, idle=172_800_000)
+    found = processors.run_table(tables.voice_frames(spark, d), tables.model_events(spark, d), rule)
+    return found.select("session", F.unix_millis("at").alias("ms"), "kind", "turn", "frames", "barge_in", "floor")
+
+
+@query(ORACLES["playback_schedule"])
+def playback_blocks(spark, d):
+    """playback_schedule by the segmented scan: a long session is the work of many tasks."""
+    e = tables.table(spark, d, "events").select("event_id", F.col("user_id").alias("session"), F.col("event_id").alias("seq"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("arrival"), (F.col("value") * 60).alias("duration"))
+    return scan.playback(e).select("event_id", "session", F.round("start", 2).alias("start"))
+
+
+@query(ORACLES["strike_stack"])
+def strike_stack_blocks(spark, d):
+    op = F.when((F.col("event_type") == "signup") & (F.col("event_id") % 7 == 0), "reset").when(F.col("event_type") == "error", "pop").otherwise("add")
+    return scan.stack_depth(tables.table(spark, d, "events").select("event_id", F.col("user_id").alias("interview_id"), "ts", op.alias("op"))).select("event_id", "interview_id", "op", "depth")
+
+
+@query("""with s as (select event_id % 2 as session, event_id as frame_no, value > 20 as speech from events),
+ ch as (select session, frame_no, case when count(*) filter (speech) over (partition by session order by frame_no rows between 4 preceding and current row) = 5 then true when count(*) filter (not speech) over (partition by session order by frame_no rows between 11 preceding and current row) = 12 then false end as c from s)
+ select session, frame_no, coalesce(last_value(c ignore nulls) over (partition by session order by frame_no rows unbounded preceding), false) as speaking from ch""")
+def latch_blocks(spark, d):
+    """The latch over two sessions that hold all events: each is cut into blocks."""
+    frames = tables.table(spark, d, "events").select((F.col("event_id") % 2).alias("session"), F.col("event_id").alias("frame_no"), (F.col("value") > 20).cast("int").alias("speech"))
+    return scan.latch(frames).select("session", "frame_no", "speaking")
+
+
+@query("with s as (select l_suppkey % 3 as session, l_orderkey * 10 + l_linenumber as frame_no from lineitem where l_quantity > 45), g as (select *, frame_no - lag(frame_no) over (partition by session order by frame_no) as gap from s) select session, frame_no, sum((gap is null or gap > 30)::int) over (partition by session order by frame_no)::bigint as turn from g")
+def turns_blocks(spark, d):
+    lines = tables.table(spark, d, "lineitem").where("l_quantity > 45").select((F.col("l_suppkey") % 3).alias("session"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("frame_no"))
+    return scan.turns(lines).select("session", "frame_no", "turn")
+
+
 _LEFT, _RIGHT, _IRIS = [0, 1, 2, 3, 4, 5], [6, 7, 8, 9, 10, 11], (12, 13)
 
 

@@ -34,3 +34,14 @@ def interviews(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("resume_id"), F.col("c_name").alias("candidate_name"), F.col("c_mktsegment").alias("segment"))
+
+
+def voice_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """session, ts, id, speech and energy of user frames."""
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("session"), "ts", F.col("event_id").alias("id"), (F.col("value") >= 150).alias("speech"), F.col("value").alias("energy"))
+
+
+def model_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """session, ts, id and said of what the model does: an assistant's turn begins its speech, another ends it; turns are three days apart."""
+    at = F.timestamp_millis(F.lit(1704067200000) + F.col("turn") * 259_200_000 + F.col("conv_id") * 60_000)
+    return table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session"), at.alias("ts"), F.col("turn").alias("id"), (F.col("role") == "assistant").alias("said"))

@@ -20,9 +20,9 @@ from ..sources.tables import THRESHOLD
 STRIKES = "event_id long, interview_id long, strike_number long, terminates boolean"
 EMITTED = "event_id long, session long, event_type string"
 ALLOWED = "event_id long, client long, allowed boolean"
-TURNS = "session long, frame_no long, turn long, starts boolean"
+TURNS = "session long, frame_no long, turn long, event string"
 VOICE = "session int, frame_no long, energy double, zcr double, centroid double, floor double, speech int, speaking boolean"
-TURN_STATE, VOICE_STATE = "last long, turn long", "noise array<double>, learned int, energies array<double>, spoken int, silent int, speaking boolean"
+TURN_STATE, VOICE_STATE = "last long, turn long, silent int", "noise array<double>, learned int, energies array<double>, spoken int, silent int, speaking boolean"
 
 def strike_step(limit: int) -> Callable:
     def step(state: tuple, rows: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
@@ -77,16 +77,21 @@ def rate_step(limits: dict[str, int], window_ms: int) -> Callable:
 
 
 def turn_step(gap: int = 30) -> Callable:
-    """The turn of every speech frame, and whether it starts it: a new one after more than gap frames without speech."""
+    """The turn of every speech frame and what it is: `start` after at least gap frames without speech, `speech` else; and `complete` at the frame with which a turn has had gap silent ones."""
 
     def step(state: tuple, rows: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
-        last, turn = state or (None, 0)
+        last, turn, silent = state or (None, 0, 0)
         out = []
-        for r in rows[rows["speech"].astype(bool)].itertuples(index=False):
-            new = last is None or r.frame_no - last > gap
-            turn, last = turn + new, r.frame_no
-            out.append((r.session, r.frame_no, turn, new))
-        return (last, turn), pd.DataFrame(out, columns=["session", "frame_no", "turn", "starts"])
+        for session, frame, speech in zip(rows["session"], rows["frame_no"], rows["speech"].astype(bool), strict=True):
+            if speech:
+                new = last is None or frame - last > gap
+                turn, last, silent = turn + new, frame, 0
+                out.append((session, frame, turn, "start" if new else "speech"))
+            elif last is not None:
+                silent += 1
+                if silent == gap:
+                    out.append((session, frame, turn, "complete"))
+        return (last, turn, silent), pd.DataFrame(out, columns=["session", "frame_no", "turn", "event"])
 
     return step
 

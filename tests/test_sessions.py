@@ -69,7 +69,7 @@ def test_latch(spark, speech, want):
 
 @pytest.mark.parametrize(("frames", "n"), [([0, 30], 1), ([0, 31], 2)])
 def test_turn_gap(spark, frames, n):
-    assert turns.turn_spans(spark.createDataFrame([(1, f) for f in frames], "session int, frame_no int")).count() == n
+    assert turns.turn_spans(spark.createDataFrame([(1, f, True) for f in frames], "session int, frame_no int, speech boolean")).count() == n
 
 
 def test_quotas_fall_short():
