@@ -182,6 +182,8 @@ def without_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
     # Whole texts: all but the least id of a class lose every word, if there is a window in it.
     whole = docs.where(id_.isNotNull()).select(id_.alias("_id"), F.xxhash64(text_).alias("digest"), F.crc32(text_.cast("binary")).alias("crc")).where("crc is not null")
     whole = whole.groupBy("digest", "crc").agg(F.min("_id").alias("least"), F.max("_id").alias("most")).where("least < most").drop("most")
+    # Written, so that the join below may split the rows of one class.
+    whole, _ = textio.save(whole, "whole")
     rows = docs.select(id_.alias("_id"), F.struct(F.xxhash64(text_).alias("d"), F.crc32(text_.cast("binary")).alias("c")).alias("digest"), F.xxhash64(id_, F.xxhash64(text_)).alias("h"), text_.alias("text"))
     rows = rows.mapInArrow(_all_words(bits), f"_id {kind}, digest struct<d:long,c:long>, n_words long, sha string, text string").select("_id", F.col("digest.d").alias("digest"), F.col("digest.c").alias("crc"), "n_words", "sha", "text")
     rows = rows.join(whole, ["digest", "crc"], "left")
