@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .keywords import matching
+
 # Keywords, patterns and host rules of the data model.
 TECH_SKILLS = [
     "python", "java", "javascript", "typescript", "c++", "c#", "go", "rust", "ruby", "php", "swift", "kotlin", "scala", "r", "matlab", "sql", "nosql",
@@ -65,21 +67,14 @@ def display(skill: str) -> str:
     return skill.title()
 
 
-def _found(low: Column) -> Column:
-    """Display names of the keywords in a lower-cased text. The tests stand in the names' order, so that no row is sorted."""
-    known = sorted((display(s), s) for s in {*TECH_SKILLS, *SOFT_SKILLS})
-    return F.array_distinct(F.array_compact(F.array(*(F.when(low.contains(s), n) for n, s in known))))
-
-
 def skills(text: Column) -> Column:
-    """Sorted display names of the keywords that the text contains, with no word boundary; the text is lower-cased once, as a lambda's variable."""
-    return F.when(text.isNotNull(), F.transform(F.array(F.lower(text)), _found)[0])
+    """Sorted display names of the keywords that the text contains, with no word boundary."""
+    return matching([(s, display(s)) for s in [*TECH_SKILLS, *SOFT_SKILLS]])(F.lower(text))
 
 
 def with_skills(rows: DataFrame, text: str = "text", name: str = "skills") -> DataFrame:
-    """rows with their texts' skills. The lower-cased text is a column of its own, so that all tests are generated code."""
-    out = rows.withColumn("_low", F.lower(text))
-    return out.withColumn(name, F.when(F.col("_low").isNotNull(), _found(F.col("_low")))).drop("_low")
+    """rows with their texts' skills; keywords of a table are keywords.with_matches."""
+    return rows.withColumn(name, skills(F.col(text)))
 
 
 def education(text: Column) -> Column:

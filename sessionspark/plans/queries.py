@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import audio, extraction, geometry
-from ..operators import asof, lifecycle, messages, patterns, quality, questions, scan, strikes, turns
+from ..functions import audio, extraction, geometry, keywords
+from ..operators import asof, debounce, lifecycle, messages, patterns, quality, questions, scan, strikes, turns
 from ..sources import documents, tables
 from ..streaming import processors, state
 
@@ -151,11 +151,22 @@ def resume_skills(spark, d):
 
 @query(f"select skill, count(*) as resumes from (select unnest({_SKILLS}) as skill from documents) group by 1")
 def skill_counts(spark, d):
-    # explode_outer: explode would add a filter on the whole match, which is pushed below the lower-casing
+    # explode_outer: explode would add a filter on the match, which is then made twice
     counts = _skilled(spark, d).select(F.explode_outer("s").alias("skill")).groupBy("skill").agg(F.count(F.lit(1)).alias("resumes"))
     return counts.where("skill is not null")
 
 
+_DICT = "k as (select distinct unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) as keyword from benchmark)"
+
+
+@query(f"with {_DICT} select doc_id, count(keyword)::int as n_keywords, sha256(coalesce(string_agg(keyword, ',' order by keyword), '')) as listed from documents left join k on contains(lower(text), keyword) group by doc_id")
+def dictionary_matches(spark, d):
+    """Keywords from a table: the words of all benchmark items, anywhere in the resumes."""
+    words = tables.table(spark, d, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0))).alias("keyword")).withColumn("name", F.col("keyword"))
+    found = keywords.with_matches(tables.table(spark, d, "documents").select("doc_id", "text"), F.lower("text"), words, "found")
+    return found.select("doc_id", F.coalesce(F.size("found"), F.lit(0)).alias("n_keywords"), F.sha2(F.coalesce(F.array_join("found", ","), F.lit("")).cast("binary"), 256).alias("listed"))
+
+
 @query(f"select doc_id, array_to_string(regexp_extract_all(text, {_q(extraction.DEGREE)}, 1)[1:3], '|') as degrees from documents")
 def resume_education(spark, d):
     return tables.table(spark, d, "documents").select("doc_id", F.array_join(extraction.education(F.col("text")), "|").alias("degrees"))
@@ -492,6 +503,22 @@ def question_plan(spark, d):
   case when s.faces = 2 then 'multiple_faces' when s.faces = 0 and s.now - r.last > 3600000 then 'no_face' end from r join s on s.session = r.session and s.k = r.k + 1)
  select event_id, session, kind as event_type from r where kind is not null""")
 def no_face_debounce(spark, d):
+    faces = F.when(F.col("event_type") == "error", 0).when(F.col("event_type") == "view", 1).otherwise(2)
+    rows = tables.table(spark, d, "events").select("event_id", F.col("user_id").alias("session"), "ts", faces.alias("faces"))
+    return debounce.emitted(rows, 3_600_000)
+
+
+@query(ORACLES["no_face_debounce"].replace("3600000", "259200000").replace("user_id", "user_id % 7").replace("case event_type when", "case when event_id % 5 > 0 then 0 else case event_type when").replace("else 2 end as faces", "else 2 end end as faces"))
+def no_face_chains(spark, d):
+    """The debounce with three quiet days: most samples fall into the quiet after another, so that chains are long."""
+    faces = F.when(F.col("event_type") == "error", 0).when(F.col("event_type") == "view", 1).otherwise(2)
+    rows = tables.table(spark, d, "events").select("event_id", (F.col("user_id") % 7).alias("session"), "ts", F.when(F.col("event_id") % 5 > 0, 0).otherwise(faces).alias("faces"))
+    return debounce.emitted(rows, 259_200_000)
+
+
+@query(ORACLES["no_face_debounce"])
+def no_face_stateful(spark, d):
+    """no_face_debounce as a keyed rule that a stream runs; only samples with one face or none go through it."""
     faces = F.when(F.col("event_type") == "error", 0).when(F.col("event_type") == "view", 1).otherwise(2)
     rows = tables.table(spark, d, "events").select("event_id", F.col("user_id").alias("session"), "ts", faces.alias("faces"))
     return state.run_batch(rows, "session", state.debounce_step(3_600_000), state.EMITTED)

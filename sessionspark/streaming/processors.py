@@ -83,9 +83,10 @@ class SessionRule:
             yield self.due(s, d)
 
 
-def _frame(session, found: list[tuple]) -> pd.DataFrame:
-    out = pd.DataFrame([(session, pd.Timestamp(at, unit="ms"), *rest) for at, *rest in found], columns=[c.split()[0] for c in EVENTS.split(", ")])
-    return out.astype({"turn": "Int64", "frames": "Int64", "barge_in": "boolean", "floor": "float64", "kind": "object"})
+def _frame(found: list[tuple]) -> pd.DataFrame:
+    out = pd.DataFrame(found, columns=[c.split()[0] for c in EVENTS.split(", ")])
+    out["at"] = pd.to_datetime(out["at"], unit="ms")
+    return out.astype({"session": "int64", "turn": "Int64", "frames": "Int64", "barge_in": "boolean", "floor": "float64", "kind": "object"})
 
 
 class InEventTime(StatefulProcessor):
@@ -145,7 +146,7 @@ class InEventTime(StatefulProcessor):
         due = self.rule.deadline(s)
         self._wake(min((t for t in (due, later) if t is not None), default=None))
         if found:
-            yield _frame(key[0], found)
+            yield _frame([(key[0], *r) for r in found])
 
     def close(self) -> None:
         pass
@@ -177,23 +178,21 @@ def run_table(frames: DataFrame, model: DataFrame, rule: SessionRule, clock: Dat
     end = None if end is None else clock.select(F.unix_millis(F.col(clock.columns[0]))).first()[0]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, s = None, None
+        now, s, columns = None, None, ("session", "ts", "source", "speech", "energy", "said")
         for f in batches:
-            for session, part in f.groupby("session", sort=False):
-                found = []
+            found = []
+            f["ts"] = f["ts"].astype("datetime64[ms]").astype("int64")
+            rows = f[list(columns)].astype(object).where(f[list(columns)].notna(), None)
+            for session, at, source, speech, energy, said in rows.itertuples(index=False):
                 if s is None or session != now:
-                    if s is not None:
-                        yield _frame(now, list(rule.upto(s, end)))
+                    found += [(now, *r) for r in rule.upto(s, end)] if s is not None else []
                     now, s = session, {**dict.fromkeys(rule.VALUES), "energies": []}
-                for ts, source, speech, energy, said in zip(*(part[c] for c in ("ts", "source", "speech", "energy", "said")), strict=True):
-                    at = ts.value // 1_000_000
-                    found += rule.upto(s, at - 1)
-                    out = rule.row(s, at, int(source), *(None if pd.isna(v) else v for v in (speech, energy, said)))
-                    if out is not None:
-                        found.append(out)
-                yield _frame(session, found)
+                found += [(session, *r) for r in rule.upto(s, at - 1)]
+                if (out := rule.row(s, at, source, speech, energy, said)) is not None:
+                    found.append((session, *out))
+            yield _frame(found)
         if s is not None:
-            yield _frame(now, list(rule.upto(s, end)))
+            yield _frame([(now, *r) for r in rule.upto(s, end)])
 
     order = ["session", "ts", "source", "id"]
     return rows.repartition("session").sortWithinPartitions(*order).mapInPandas(run, EVENTS)

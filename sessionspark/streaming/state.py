@@ -22,6 +22,7 @@ EMITTED = "event_id long, session long, event_type string"
 ALLOWED = "event_id long, client long, allowed boolean"
 TURNS = "session long, frame_no long, turn long, event string"
 VOICE = "session int, frame_no long, energy double, zcr double, centroid double, floor double, speech int, speaking boolean"
+DEBOUNCE_STATE, RATE_STATE = "last long", "held array<long>"
 TURN_STATE, VOICE_STATE = "last long, turn long, silent int", "noise array<double>, learned int, energies array<double>, spoken int, silent int, speaking boolean"
 
 def strike_step(limit: int) -> Callable:
