@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.stored import stored
+
 
 def detail(interviews: DataFrame, candidates: DataFrame) -> DataFrame:
     """Interviews with their candidate embedded."""
@@ -60,6 +62,17 @@ def cascade(tables: list[tuple[str, DataFrame, str, str]], root: DataFrame, key:
     return out
 
 
+def cascade_counts(tables: list[tuple[str, DataFrame, str, str]], root: DataFrame, key: str) -> DataFrame:
+    """child and victims: how many rows of each table go with the root's. Each table is read once; a level's keys are written for the next."""
+    out, victims, of = None, root, key
+    for name, rows, foreign, own in tables:
+        keys = rows.select(F.col(own).alias("_own"), F.col(foreign).alias("_foreign"))
+        victims = stored(keys.join(victims.select(F.col(of).alias("_foreign")), "_foreign", "left_semi").select("_own"), name)
+        n = victims.agg(F.lit(name).alias("child"), F.count(F.lit(1)).alias("victims"))
+        out, of = n if out is None else out.unionByName(n), "_own"
+    return out
+
+
 def error_code(name: Column) -> Column:
     """A class name in lower case without error and exception; unknown_error if nothing is left."""
     code = F.replace(F.replace(F.lower(name), F.lit("error"), F.lit("")), F.lit("exception"), F.lit(""))
@@ -150,8 +163,10 @@ def append(table: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def update_fields(table: DataFrame, changes: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """table with the named fields of the changed rows replaced, by nulls too; all other columns stay, unknown keys add nothing."""
-    new = changes.select(F.col(key).alias("_key"), F.struct(*fields).alias("_new"))
+    """table with the named fields of the changed rows replaced, by nulls too; all other columns stay, unknown keys add nothing. A key that is in changes twice raises an error."""
+    repeated = F.raise_error(F.concat(F.lit("a key is in changes more than once: "), F.col(key).cast("string")))
+    new = changes.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.first(F.struct(*fields)).alias("_new"))
+    new = new.select(F.col(key).alias("_key"), F.when(F.col("_n") > 1, repeated.cast(new.schema["_new"].dataType)).otherwise(F.col("_new")).alias("_new"))
     out = table.join(new, F.col(key) == F.col("_key"), "left")
     return out.select(*(F.when(F.col("_key").isNotNull(), F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c) if c in fields else F.col(c) for c in table.columns))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Category shares and difficulty weights.
@@ -94,8 +94,12 @@ def quotas(n: int) -> dict[str, int]:
     return {c: int(n * s) or (c == "project") * 1 for c, s in SHARES.items()}
 
 
-def quota_table(spark: SparkSession, sizes: list[int]) -> DataFrame:
-    return spark.createDataFrame([(n, c, q) for n in sizes for c, q in quotas(n).items()], "n long, category string, quota long")
+def quotas_of(plans: DataFrame) -> DataFrame:
+    """n, category and quota of each different plan size n of a table."""
+    shares = F.explode(F.array(*(F.struct(F.lit(c).alias("category"), F.lit(s).alias("share")) for c, s in SHARES.items()))).alias("s")
+    whole = F.floor(F.col("n") * F.col("s.share"))
+    quota = F.when((F.col("s.category") == "project") & (whole == 0), F.lit(1)).otherwise(whole).cast("long")
+    return plans.select(F.col("n").cast("long").alias("n")).distinct().select("n", shares).select("n", "s.category", quota.alias("quota"))
 
 
 def draw(seed: int, key: Column, category: Column, number: Column, salt: int) -> Column:

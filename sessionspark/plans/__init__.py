@@ -1 +1 @@
-from . import queries, records  # noqa: F401  records adds to the queries of queries
+from . import queries, records, stores  # noqa: F401  records and stores add to the queries of queries

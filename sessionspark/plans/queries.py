@@ -226,12 +226,7 @@ def cascade_delete_counts(spark, d):
     def t(n):
         return tables.table(spark, d, n)
 
-    gone = lifecycle.cascade([("nation", t("nation"), "n_regionkey", "n_nationkey"), ("customer", t("customer"), "c_nationkey", "c_custkey"), ("orders", t("orders"), "o_custkey", "o_orderkey"), ("lineitem", t("lineitem"), "l_orderkey", "l_orderkey")], t("region").where("r_regionkey = 1"), "r_regionkey")
-    out = None
-    for name, rows in gone.items():
-        n = rows.agg(F.lit(name).alias("child"), F.count(F.lit(1)).alias("victims"))
-        out = n if out is None else out.unionByName(n)
-    return out
+    return lifecycle.cascade_counts([("nation", t("nation"), "n_regionkey", "n_nationkey"), ("customer", t("customer"), "c_nationkey", "c_custkey"), ("orders", t("orders"), "o_custkey", "o_orderkey"), ("lineitem", t("lineitem"), "l_orderkey", "l_orderkey")], t("region").where("r_regionkey = 1"), "r_regionkey")
 
 
 @query(f"with {_I} select resume_id, interview_id, status, created_at from (select *, row_number() over (partition by resume_id order by created_at desc, interview_id desc) as k from i) where k = 1")
@@ -472,11 +467,6 @@ def gaze_direction(spark, d):
     return rows.select("vec_id", "faces", F.round(ear, 6).alias("ear"), F.round(ratio, 6).alias("ratio"), direction.alias("direction"), confidence.cast("double").alias("confidence"), geometry.looking_away(direction, confidence, F.col("faces")).alias("looking_away"))
 
 
-@query("select n, category, quota::bigint as quota from (values " + ", ".join(f"({n}, '{c}', floor({n} * {s}) + case when '{c}' = 'project' and floor({n} * {s}) = 0 then 1 else 0 end)" for n in (5, 7, 10, 15, 25) for c, s in questions.SHARES.items()) + ") t(n, category, quota)")
-def question_quota(spark, d):
-    return questions.quota_table(spark, [5, 7, 10, 15, 25])
-
-
 def _hashed(salt: int) -> str:
     return f"(('0x' || left(md5('42:' || doc_id || ':' || category || ':' || number || ':{salt}'), 8))::bigint / 4294967296.0::double)"
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import io
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
+from pyarrow.fs import FileSystem, LocalFileSystem
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,6 +45,22 @@ def read_documents(spark: SparkSession, path: str, pdf_text: Callable[[Column],
     return files.select("path", suffix.alias("suffix"), F.col("length").alias("n_bytes"), checked.alias("raw_text"))
 
 
+def write_texts(rows: DataFrame, path: str) -> None:
+    """One file for each row (name, text) in the folder path, by the tasks; a task that runs again writes the same."""
+    folder = rows.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(rows.sparkSession._jsc.hadoopConfiguration()).mkdirs(folder)
+
+    def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fs, base = FileSystem.from_uri(path) if ":" in path else (LocalFileSystem(), path)
+        for f in frames:
+            for name, text in zip(f["name"], f["text"], strict=True):
+                with fs.open_output_stream(f"{base}/{name}") as out:
+                    out.write((text or "").encode())
+            yield f[["name"]]
+
+    rows.mapInPandas(write, "name string").write.format("noop").mode("overwrite").save()
+
+
 def hrefs(pages: DataFrame, html: str = "html") -> DataFrame:
     """A row for each link of each page; html has one page (the document page of a link, 1)."""
     return pages.withColumn("page", F.lit(1)).withColumn("href", F.explode(F.regexp_extract_all(html, F.lit(r'href="([^"]*)"'), 1)))
