@@ -2,8 +2,9 @@
 
 A word's features are its byte n-grams of 2 to 4 with marks at both ends (those with a mark are its affixes), affixes of
 one character, and the word itself (the lexicon), hashed into TABLE weights for each label; labels of neighbouring words
-are tied by learned transition weights. Forward-backward gives each word's label probabilities, in chains of CHAIN words
-that together cover the whole text. A text's language is the label with the highest mean probability over its words,
+are tied by learned transition weights. Forward-backward gives each word's label probabilities over the whole text: chains of
+CHAIN words are worked on at once, and the messages between them, products of the chains' transfer matrices, are carried along
+the text first, so that the result is that of one uncut chain. A text's language is the label with the highest mean probability over its words,
 its score that mean; runs of equal word labels mark the switches inside a text.
 
 Training fits all weights on a bounded sample: of each label about PER_LABEL different documents, picked by a hash of their
@@ -79,8 +80,8 @@ def _chains(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return begin, np.minimum(CHAIN, np.repeat(first[1:], n) - begin)
 
 
-def forward_backward(emission: np.ndarray, begin: np.ndarray, length: np.ndarray, transition: np.ndarray, pairs: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
-    """Label probabilities of each word (rows of emission), and the expected transition counts. Chains: begin and length."""
+def forward_backward(emission: np.ndarray, begin: np.ndarray, length: np.ndarray, transition: np.ndarray, pairs: bool = False, prior: np.ndarray | None = None, future: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray | None]:
+    """Label probabilities of each word (rows of emission), and the expected transition counts. Chains: begin and length, and for each the messages to its first word and to its last."""
     n_labels = emission.shape[1]
     out = np.zeros_like(emission)
     counts = np.zeros((n_labels, n_labels)) if pairs else None
@@ -88,6 +89,7 @@ def forward_backward(emission: np.ndarray, begin: np.ndarray, length: np.ndarray
         return out, counts
     order = np.argsort(-length, kind="stable")
     begin, length = begin[order], length[order]
+    prior, future = (None if v is None else v[order] for v in (prior, future))
     psi = np.exp(emission - emission.max(axis=1, keepdims=True))
     t_matrix = np.exp(transition).astype(emission.dtype)
     steps = int(length[0])
@@ -95,9 +97,9 @@ def forward_backward(emission: np.ndarray, begin: np.ndarray, length: np.ndarray
     ahead = np.zeros((steps, len(begin), n_labels), emission.dtype)
     for t in range(steps):
         m = live[t]
-        a = psi[begin[:m] + t] if not t else (ahead[t - 1, :m] @ t_matrix) * psi[begin[:m] + t]
+        a = psi[begin[:m] + t] * (1 if prior is None else prior[:m]) if not t else (ahead[t - 1, :m] @ t_matrix) * psi[begin[:m] + t]
         ahead[t, :m] = a / a.sum(axis=1, keepdims=True)
-    back = np.ones((len(begin), n_labels), emission.dtype)
+    back = np.ones((len(begin), n_labels), emission.dtype) if future is None else future.astype(emission.dtype)
     for t in range(steps - 1, -1, -1):
         m = live[t]
         p = ahead[t, :m] * back[:m]
@@ -112,6 +114,42 @@ def forward_backward(emission: np.ndarray, begin: np.ndarray, length: np.ndarray
     return out, counts
 
 
+def transfers(emission: np.ndarray, begin: np.ndarray, length: np.ndarray, transition: np.ndarray) -> np.ndarray:
+    """For each chain, the matrix from a message to its first word to the one that its last word passes on, up to a factor."""
+    order = np.argsort(-length, kind="stable")
+    begin, length = begin[order], length[order]
+    psi = np.exp(emission - emission.max(axis=1, keepdims=True))
+    t_matrix = np.exp(transition).astype(emission.dtype)
+    out = np.zeros((len(begin), *t_matrix.shape), np.float64)
+    now = np.eye(len(t_matrix), dtype=emission.dtype)[None] * psi[begin][:, None, :]
+    for t in range(1, int(length[0]) if len(length) else 0):
+        m = int(np.searchsorted(-length, -t, "left"))
+        now[:m] = (now[:m] @ t_matrix) * psi[begin[:m] + t][:, None, :]
+        now[:m] /= now[:m].sum(axis=(1, 2), keepdims=True)
+    out[order] = now
+    return out
+
+
+def messages(moves: np.ndarray, chains: np.ndarray, transition: np.ndarray, prior: np.ndarray | None = None, future: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Messages to the first and to the last word of each chain of rows that have `chains` chains each (moves: their transfer matrices). prior and future: those to the first row's first and the last row's last word, where the text goes on there."""
+    end = np.cumsum(chains)
+    start = end - chains
+    ahead, back = np.ones(moves.shape[:2]), np.ones(moves.shape[:2])
+    if prior is not None:
+        ahead[0] = prior
+    if future is not None:
+        back[-1] = future
+    t_matrix = np.exp(transition).astype(np.float64)
+    for k in range(1, int(chains.max(initial=0))):
+        at = (start + k)[chains > k]
+        a = (ahead[at - 1][:, None, :] @ moves[at - 1])[:, 0] @ t_matrix
+        ahead[at] = a / a.sum(axis=1, keepdims=True)
+        at = (end - 1 - k)[chains > k]
+        b = (moves[at + 1] @ back[at + 1][:, :, None])[:, :, 0] @ t_matrix.T
+        back[at] = b / b.sum(axis=1, keepdims=True)
+    return ahead, back
+
+
 class Model:
     """Labels and weights of a trained field."""
 
@@ -123,11 +161,31 @@ class Model:
     def emissions(self, slots: np.ndarray, at: np.ndarray) -> np.ndarray:
         return np.add.reduceat(self.weights[slots], at, axis=0) if len(at) else np.zeros((0, len(self.labels)), np.float32)
 
-    def word_probabilities(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Label probabilities of every word of a piece."""
+    def word_emissions(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         _, one, word = np.unique(textio.span_hashes(data, starts, ends, np.arange(256, dtype=np.uint8)), return_index=True, return_inverse=True)
-        emission = self.emissions(*word_features(data, starts[one], ends[one]))[word]
-        return forward_backward(emission, *_chains(first), self.transition)[0]
+        return self.emissions(*word_features(data, starts[one], ends[one]))[word]
+
+    def word_probabilities(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray, prior: np.ndarray | None = None, future: np.ndarray | None = None) -> np.ndarray:
+        """Label probabilities of every word of a piece; prior and future: the messages to its first and last word, where its only row goes on there."""
+        emission, (begin, length) = self.word_emissions(data, starts, ends), _chains(first)
+        counts = -(-np.diff(first) // CHAIN)
+        if prior is None and future is None and counts.max(initial=0) < 2:
+            return forward_backward(emission, begin, length, self.transition)[0]
+        # Only chains with a neighbour have messages to carry.
+        shared = np.repeat((counts > 1) | (prior is not None) | (future is not None), counts)
+        ahead, back = np.ones((2, len(begin), len(self.labels)))
+        moves = transfers(emission, begin[shared], length[shared], self.transition)
+        ahead[shared], back[shared] = messages(moves, counts[counts > 1] if prior is None and future is None else counts, self.transition, prior, future)
+        return forward_backward(emission, begin, length, self.transition, prior=ahead.astype(emission.dtype), future=back.astype(emission.dtype))[0]
+
+    def transfer(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The transfer matrix of all words of a piece of one row."""
+        moves = transfers(self.word_emissions(data, starts, ends), *_chains(np.array([0, len(starts)])), self.transition)
+        t_matrix, now = np.exp(self.transition).astype(np.float64), moves[0]
+        for m in moves[1:]:
+            now = now @ t_matrix @ m
+            now /= now.sum()
+        return now
 
 
 def train(samples: list[tuple[str, str]], seed: int = 0) -> Model:
@@ -219,8 +277,13 @@ def row_means(model: Model, data: np.ndarray, starts: np.ndarray, ends: np.ndarr
     """Mean label probabilities of each row and, if each, the label of every word."""
     n = np.diff(first)
     total, words = np.zeros((len(n), len(model.labels))), np.zeros(len(starts) if each else 0, np.int32)
-    for a, b in slices(starts, first):
-        p = model.word_probabilities(data[starts[a] : ends[b - 1]], starts[a:b] - starts[a], ends[a:b] - starts[a], np.clip(first, a, b) - a)
+    cuts = list(slices(starts, first))
+    spans = [(data[starts[a] : ends[b - 1]], starts[a:b] - starts[a], ends[a:b] - starts[a]) for a, b in cuts]
+    carried = [(None, None)] * len(cuts)
+    if len(cuts) > 1:
+        carried = list(zip(*messages(np.stack([model.transfer(*x) for x in spans]), np.array([len(cuts)]), model.transition), strict=True))
+    for (a, b), span, (prior, future) in zip(cuts, spans, carried, strict=True):
+        p = model.word_probabilities(*span, np.clip(first, a, b) - a, prior, future)
         if each:
             words[a:b] = p.argmax(axis=1)
         begin = np.clip(first[:-1], a, b) - a

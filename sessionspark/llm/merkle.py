@@ -1,8 +1,9 @@
 """Merkle fixity audit of WARC replicas.
 
 Records are laid out in files of 2 ** FILE_BITS consecutive ids, ordered by id, url and digest; equal records are one row
-with a count of copies. The primary's layout (its manifest) splits a file whose ids hold more than FILE_RECORDS rows into
-parts by a hash of id, url and digest. A leaf is the SHA-256 of a record. Records whose offsets begin in the same
+with a count of copies. The replicas' common layout (the manifest) splits a file whose ids hold more than FILE_RECORDS rows in
+either of them into parts by a hash of id and url; only where one id and url has more than FILE_RECORDS rows are they dealt by
+their digest too. So a record that changes at equal length stays in its place, and exactly one range differs. A leaf is the SHA-256 of a record. Records whose offsets begin in the same
 RANGE_BYTES of a part make a range node, ranges a part's node; FAN parts of a file and then FAN files make a node of the
 next level, up to a level of at most FAN nodes under the root. So every node has few children whatever ids there are. A
 node's digest is that of its children's positions and digests in order, so trees of replicas are built apart and compared
@@ -12,7 +13,7 @@ place among the left-over copies; the primary's range and offset tell which reco
 
 Defined cases: a null url or html is empty in its record; null ids have a file of their own, after all others; of equal
 records the last copies are the ones that a fault marks; very long records are leaves as any other; two empty replicas
-have equal roots; an empty replica lacks all records; further columns are not read.
+have equal roots; an empty replica lacks all records; further columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -37,12 +38,12 @@ RECORD, NODE = ["file", "id", "url", "digest"], ["file", "part"]
 
 def warc_record(key: str, url: str, html: str | Column) -> Column:
     """A WARC/1.1 response record."""
-    body = F.coalesce(F.col(html) if isinstance(html, str) else html, F.lit(""))
+    body = F.coalesce(F.col(textio.quoted(html)) if isinstance(html, str) else html, F.lit(""))
     head = F.concat(
         F.lit("WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:"),
-        F.coalesce(F.col(key).cast("string"), F.lit("")),
+        F.coalesce(F.col(textio.quoted(key)).cast("string"), F.lit("")),
         F.lit(">\r\nWARC-Target-URI: "),
-        F.coalesce(url, F.lit("")),
+        F.coalesce(F.col(textio.quoted(url)), F.lit("")),
         F.lit("\r\nContent-Type: text/html\r\nContent-Length: "),
         F.octet_length(body).cast("string"),
         F.lit("\r\n\r\n"),
@@ -51,25 +52,38 @@ def warc_record(key: str, url: str, html: str | Column) -> Column:
 
 
 def _file(key: str) -> Column:
-    return F.coalesce(F.shiftright(F.col(key).cast("long"), FILE_BITS), F.lit(NO_ID))
+    return F.coalesce(F.shiftright(F.col(textio.quoted(key)).cast("long"), FILE_BITS), F.lit(NO_ID))
 
 
-def manifest(pages: DataFrame, key: str = "page_id") -> DataFrame:
-    """Files that are split, and into how many parts: at most a row for FILE_RECORDS rows of pages."""
-    counts = pages.groupBy(_file(key).alias("file")).agg(F.ceil(F.count(F.lit(1)) / FILE_RECORDS).cast("long").alias("parts"))
-    return textio.save(counts.where("parts > 1"), "manifest")[0]
+def _most(pages: list[DataFrame], by: list[Column]) -> DataFrame:
+    """by and n, the rows of the replica that has most of them."""
+    counts = None
+    for p in pages:
+        c = p.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+        counts = c if counts is None else counts.unionByName(c)
+    return counts.groupBy(*(c for c in counts.columns if c != "n")).agg(F.max("n").alias("n"))
+
+
+def manifest(pages: list[DataFrame], key: str = "page_id", url: str = "url") -> tuple[DataFrame, DataFrame]:
+    """(files that are split, and into how many parts; ids and urls that have more rows than a part): each at most a row for FILE_RECORDS rows of a replica."""
+    files = _most(pages, [_file(key).alias("file")]).select("file", F.ceil(F.col("n") / FILE_RECORDS).cast("long").alias("parts")).where("parts > 1")
+    names = [F.col(textio.quoted(key)).cast("long").alias("_id"), F.coalesce(F.col(textio.quoted(url)), F.lit("")).alias("_url")]
+    many = _most(pages, names).where(F.col("n") > FILE_RECORDS).select("_id", "_url", F.lit(True).alias("_many"))
+    return textio.save(files, "manifest")[0], textio.save(many, "many")[0]
 
 
 class Tree:
     """A replica's records, ranges and levels of nodes (file, part, digest), written to the shared folder."""
 
-    def __init__(self, pages: DataFrame, layout: DataFrame, *, key: str = "page_id", url: str = "url", html: str = "html") -> None:
+    def __init__(self, pages: DataFrame, layout: tuple[DataFrame, DataFrame], *, key: str = "page_id", url: str = "url", html: str = "html") -> None:
         self.spark, self.paths = pages.sparkSession, []
-        rows = pages.select(F.col(key).cast("long").alias("id"), F.coalesce(url, F.lit("")).alias("url"), warc_record(key, url, html).alias("record"), _file(key).alias("file"))
+        rows = pages.select(F.col(textio.quoted(key)).cast("long").alias("id"), F.coalesce(F.col(textio.quoted(url)), F.lit("")).alias("url"), warc_record(key, url, html).alias("record"), _file(key).alias("file"))
         rows = rows.select("file", "id", "url", F.octet_length("record").cast("long").alias("n_bytes"), F.sha2(F.col("record").cast("binary"), 256).alias("digest"))
         rows = rows.groupBy(*RECORD).agg(F.first("n_bytes").alias("n_bytes"), F.count(F.lit(1)).alias("copies"))
-        rows = rows.withColumn("_hash", F.xxhash64("id", "url", "digest")).withColumn("_salt", F.pmod(F.shiftright("_hash", 32), F.lit(SALTS)))
-        salted = layout.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+        files, many = layout
+        rows = rows.join(many, F.col("id").eqNullSafe(F.col("_id")) & (F.col("url") == F.col("_url")), "left").drop("_id", "_url")
+        rows = rows.withColumn("_hash", F.when(F.col("_many"), F.xxhash64("id", "url", "digest")).otherwise(F.xxhash64("id", "url"))).drop("_many").withColumn("_salt", F.pmod(F.xxhash64("digest"), F.lit(SALTS)))
+        salted = files.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
         rows = rows.join(salted, ["file", "_salt"], "left").withColumn("part", F.coalesce(F.pmod("_hash", "parts"), F.lit(0).cast("long"))).drop("parts", "_salt", "_hash")
         order = Window.partitionBy(*NODE).orderBy("id", "url", "digest").rowsBetween(Window.unboundedPreceding, -1)
         rows = rows.withColumn("offset", F.coalesce(F.sum(F.col("n_bytes") * F.col("copies")).over(order), F.lit(0).cast("long")))
@@ -103,10 +117,10 @@ def _above(children: DataFrame, by: list[str], place: list[str]) -> DataFrame:
     return children.groupBy(*by).agg(F.sha2(text.cast("binary"), 256).alias("digest"))
 
 
-def build(pages: list[DataFrame], layout: DataFrame, **columns) -> tuple[list[Tree], list[str]]:
+def build(pages: list[DataFrame], layout: tuple[DataFrame, DataFrame], **columns) -> tuple[list[Tree], list[str]]:
     """Trees of replicas (the primary first) of equal height, and the steps of their levels."""
     trees = [Tree(p, layout, **columns) for p in pages]
-    most = layout.agg(F.max("parts")).first()[0] or 1
+    most = layout[0].agg(F.max("parts")).first()[0] or 1
     steps = ["part"] * (-(-(most - 1).bit_length() // FAN_BITS))
     for step in steps:
         for t in trees:
@@ -156,8 +170,8 @@ def audit(primary: Tree, replica: Tree, steps: list[str]) -> DataFrame:
 
 
 def fixity_report(primary: DataFrame, replica: DataFrame, *, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """Every record of the primary with file, offset (in its part of the file), n_bytes, record_sha256 and status, and the replica's extra ones."""
-    (a, b), steps = build([primary, replica], manifest(primary, key), key=key, url=url, html=html)
+    """Every record of the primary with file, part, offset (in its part of the file), n_bytes, record_sha256 and status, and the replica's extra ones."""
+    (a, b), steps = build([primary, replica], manifest([primary, replica], key, url), key=key, url=url, html=html)
     same = a.root() == b.root()
     bad = None if same else audit(a, b, steps)
     for t in (a, b):
@@ -169,11 +183,11 @@ def fixity_report(primary: DataFrame, replica: DataFrame, *, key: str = "page_id
     else:
         marks = bad.where("status <> 'extra'").select(*NODE, "offset", "status")
         found = copies.join(marks, [*NODE, "offset"], "left").withColumn("status", F.coalesce("status", F.lit("intact")))
-    found = found.select(F.col("id").alias(key), "file", "offset", "n_bytes", F.col("digest").alias("record_sha256"), "status")
+    found = found.select(F.col("id").alias(key), "file", "part", "offset", "n_bytes", F.col("digest").alias("record_sha256"), "status")
     if same:
         return found
     none = F.lit(None).cast("long")
-    return found.unionByName(bad.where("status = 'extra'").select(F.col("id").alias(key), "file", none.alias("offset"), none.alias("n_bytes"), F.col("other_digest").alias("record_sha256"), "status"))
+    return found.unionByName(bad.where("status = 'extra'").select(F.col("id").alias(key), "file", none.alias("part"), none.alias("offset"), none.alias("n_bytes"), F.col("other_digest").alias("record_sha256"), "status"))
 
 
 def damaged(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
@@ -203,7 +217,7 @@ b0 as (select page_id, url, case when page_id % 101 = 7 then '#' || substring(ht
   union all select page_id, coalesce(url, '') || '#copy', html from pages where page_id % 997 = 17),
 b as (select page_id, coalesce(url, '') as url, sha256({_RECORD}) as other, floor(page_id / 1024)::bigint as file from b0),
 bo as (select *, row_number() over (partition by page_id, url order by other) as place from b)
-select coalesce(ao.page_id, bo.page_id) as page_id, coalesce(ao.file, bo.file) as file, ao."offset", ao.n_bytes, coalesce(digest, other) as record_sha256,
+select coalesce(ao.page_id, bo.page_id) as page_id, coalesce(ao.file, bo.file) as file, case when ao.file is not null then 0::bigint end as part, ao."offset", ao.n_bytes, coalesce(digest, other) as record_sha256,
   case when other is null then 'missing' when digest is null then 'extra' when digest = other then 'intact' else 'corrupt' end as status
 from ao full join bo on ao.page_id = bo.page_id and ao.url = bo.url and ao.place = bo.place
 """

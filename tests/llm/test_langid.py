@@ -32,24 +32,23 @@ def _slots(word):
 
 
 def _plain(model, text):
-    """(label, score) of a text, word by word and chain by chain."""
+    """(label, score) of a text, word by word, as one chain."""
     words = re.findall(rb"[A-Za-z\x80-\xff]+", text.lower().encode())
     if not any(c.isalpha() for c in text):
         return "und", 0.0
     n, total = len(model.labels), [0.0] * len(model.labels)
     trans = np.exp(model.transition.astype(float))
-    for c in range(0, len(words), langid.CHAIN):
-        psi = [[math.exp(sum(float(model.weights[s, k]) for s in _slots(w))) for k in range(n)] for w in words[c : c + langid.CHAIN]]
-        ahead, back = [], [[1.0] * n]
-        for t, p in enumerate(psi):
-            a = [p[k] * (1.0 if not t else sum(ahead[-1][j] * trans[j, k] for j in range(n))) for k in range(n)]
-            ahead.append([x / sum(a) for x in a])
-        for p in psi[:0:-1]:
-            b = [sum(trans[j, k] * p[k] * back[0][k] for k in range(n)) for j in range(n)]
-            back.insert(0, [x / sum(b) for x in b])
-        for a, b in zip(ahead, back, strict=True):
-            s = sum(x * y for x, y in zip(a, b, strict=True))
-            total = [v + x * y / s for v, x, y in zip(total, a, b, strict=True)]
+    psi = [[math.exp(sum(float(model.weights[s, k]) for s in _slots(w))) for k in range(n)] for w in words]
+    ahead, back = [], [[1.0] * n]
+    for t, p in enumerate(psi):
+        a = [p[k] * (1.0 if not t else sum(ahead[-1][j] * trans[j, k] for j in range(n))) for k in range(n)]
+        ahead.append([x / sum(a) for x in a])
+    for p in psi[:0:-1]:
+        b = [sum(trans[j, k] * p[k] * back[0][k] for k in range(n)) for j in range(n)]
+        back.insert(0, [x / sum(b) for x in b])
+    for a, b in zip(ahead, back, strict=True):
+        s = sum(x * y for x, y in zip(a, b, strict=True))
+        total = [v + x * y / s for v, x, y in zip(total, a, b, strict=True)]
     mean = [v / len(words) for v in total]
     return model.labels[mean.index(max(mean))], max(mean)
 
@@ -72,6 +71,24 @@ def test_predictions_equal_the_plain_field(spark, table, model):
         assert got[k].lang_pred == label and abs(got[k].score - score) < 1e-4
 
 
+@pytest.mark.parametrize("cut", [None, 300])
+def test_texts_of_many_chains_equal_one_chain(spark, table, model, monkeypatch, cut):
+    """Texts of 65 to 1,000 words, some of whose words say nothing, so that messages go far."""
+    if cut:
+        monkeypatch.setattr(langid, "CUT", cut)
+    words = [w for r in table.where("length(text) > 300").orderBy("doc_id").limit(12).collect() for w in r.text.split()]
+    rng = random.Random(4)
+    texts = []
+    for k, n in enumerate((65, 66, 127, 128, 129, 200, 500, 1000)):
+        start = rng.randint(0, max(0, len(words) - n))
+        part = [w if rng.random() < 0.5 else "zq" for w in words[start : start + n]]
+        texts.append((k, " ".join((part * 20)[:n])))
+    got = {r.doc_id: r for r in langid.identify(spark.createDataFrame(texts, "doc_id long, text string"), model, keys=["doc_id"]).collect()}
+    for k, text in texts:
+        label, score = _plain(model, text)
+        assert got[k].lang_pred == label and abs(got[k].score - score) < 1e-4
+
+
 def test_long_texts_are_labelled_in_slices(spark, table, model, monkeypatch):
     text = " ".join(r.text for r in table.where("length(text) > 300").limit(40).collect())
     rows = spark.createDataFrame([(1, text), (2, "x"), (3, text[:999])], "doc_id long, text string")

@@ -67,7 +67,7 @@ def test_nodes_have_few_children_and_the_descent_reads_them(spark, monkeypatch):
     monkeypatch.setattr(merkle, "FAN_BITS", 2)
     monkeypatch.setattr(merkle, "FAN", 4)
     rows = [(None if k % 3 == 0 else k * 10, f"u{k}", "z" * (k % 90)) for k in range(120)] + [(5, "same", f"v{k}") for k in range(60)]
-    layout = merkle.manifest(_pages(spark, rows))
+    layout = merkle.manifest([_pages(spark, rows)])
     (a,), steps = merkle.build([_pages(spark, rows)], layout)
     assert steps.count("part") >= 2 and steps.count("file") >= 3 and a.levels[-1].count() <= 4
     assert a.ranges.groupBy("file", "part").count().agg({"count": "max"}).first()[0] <= 16
@@ -96,7 +96,7 @@ def test_a_repeated_record_is_one_row_and_its_last_copies_are_marked(spark, monk
     bad = [r for r in rows if r.status != "intact"]
     assert len(bad) == 1 and bad[0].offset // merkle.RANGE_BYTES == 1 and bad[0].offset == max(r.offset for r in rows)
     assert len({r.offset for r in rows}) == 200
-    (tree,), _ = merkle.build([_pages(spark, [(1, "u", good)] * 200)], merkle.manifest(_pages(spark, [(1, "u", good)])))
+    (tree,), _ = merkle.build([_pages(spark, [(1, "u", good)] * 200)], merkle.manifest([_pages(spark, [(1, "u", good)])]))
     assert tree.records.count() == 1
 
 
@@ -111,4 +111,31 @@ def test_a_fault_in_one_of_differing_copies_names_its_digest(spark):
 def test_nodes_are_deleted_after_the_audit(spark):
     before = set(textio._written)
     merkle.fixity_report(_pages(spark, BASE), _pages(spark, BASE[1:]))
-    assert len(set(textio._written) - before) <= 3  # the manifest, the primary's records and the faults
+    assert len(set(textio._written) - before) <= 4  # the two parts of the manifest, the primary's records and the faults
+
+
+@pytest.mark.parametrize("split", [False, True])
+def test_a_flip_of_equal_length_makes_one_range_differ(spark, monkeypatch, split):
+    monkeypatch.setattr(merkle, "RANGE_BYTES", 2000)
+    if split:
+        monkeypatch.setattr(merkle, "FILE_RECORDS", 100)
+    rows = [(k, f"u{k}", f"{k:05d}" * 4) for k in range(700)]
+    other = [(i, u, "#" + h[1:] if i == 345 else h) for i, u, h in rows]
+    (a, b), _ = merkle.build([_pages(spark, rows), _pages(spark, other)], merkle.manifest([_pages(spark, rows), _pages(spark, other)]))
+    assert (a.records.select("file", "part").distinct().count() > 1) == split
+    both = a.ranges.selectExpr("file", "part", "range", "digest").exceptAll(b.ranges.select("file", "part", "range", "digest"))
+    assert a.ranges.count() == b.ranges.count() > 30 and both.count() == 1
+
+
+def test_a_replica_larger_than_the_primary_is_split_too(spark, monkeypatch):
+    monkeypatch.setattr(merkle, "FILE_RECORDS", 20)
+    rows = [(None, "u", f"r{k}") for k in range(10)]
+    more = rows + [(None, "u", f"s{k}") for k in range(300)] + [(None, f"v{k}", "t") for k in range(100)]
+    (_, b), _ = merkle.build([_pages(spark, rows), _pages(spark, more)], merkle.manifest([_pages(spark, rows), _pages(spark, more)]))
+    assert b.records.groupBy("file", "part").count().agg({"count": "max"}).first()[0] <= 60
+    _report(spark, rows, more)
+
+
+def test_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "u", "a", 2), (2, None, "b", 3)], "`page.id` long, `the url` string, `h.t` string, part int")
+    assert sorted(r.status for r in merkle.fixity_report(df, df.where("part = 2"), key="page.id", url="the url", html="h.t").collect()) == ["intact", "missing"]
