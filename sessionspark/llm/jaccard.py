@@ -247,7 +247,7 @@ def candidates(nodes: DataFrame, least: float) -> DataFrame:
         for u, v in forest_of_candidates(np.frombuffer(a, _NODE), np.frombuffer(b, _NODE), same, least):
             yield pd.DataFrame({"u": u, "v": v})
 
-    return over_pairs(tiles, parts, 1, compare, "u long, v long").distinct()
+    return over_pairs(tiles, parts, 1, compare, "u long, v long", tile_bytes=_NODE.itemsize * TILE).distinct()
 
 
 def true_links(nodes: DataFrame, least: float) -> DataFrame:

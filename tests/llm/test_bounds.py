@@ -1,5 +1,6 @@
 """Edge rows, hot groups, grids and names of columns of the decontamination, SimHash and KD-tree operators."""
 
+import math
 import random
 import re
 
@@ -59,15 +60,27 @@ def test_bit_set_has_all_prints(spark):
 @pytest.mark.parametrize("parts", [{3: 1}, {0: 2, 5: 1, 9: 4}, {k: 3 for k in range(10, 40)}, {32: 700}])
 @pytest.mark.parametrize("radius", [1, 4])
 def test_grid_has_every_pair_of_tiles_once(parts, radius):
-    pairs, size, n = tiles.grid(parts, radius)
+    spans, size, n = tiles.grid(parts, radius)
+    pairs = [(s, t) for s, (_, b) in enumerate(spans) for t in range(s, b + 1)]
+    assert sorted(pairs) == sorted((t, s) for s, (a, _) in enumerate(spans) for t in range(a, s + 1))
     classes = [c for c in sorted(parts) for _ in range(parts[c])]
-    assert size <= tiles.HELD and len(set(pairs)) == len(pairs) and n == len(classes)
+    assert size <= tiles.HELD and n == len(classes)
     supers = -(-n // size)
     met = {(a, b) for i, j in pairs for a in range(i * size, min(n, (i + 1) * size)) for b in range(max(a, j * size), min(n, (j + 1) * size))}
     assert all((a, b) in met for a in range(n) for b in range(a, n) if classes[b] - classes[a] <= radius)
     assert all(0 <= i <= j < supers for i, j in pairs)
 
 
+def test_plans_of_many_values():
+    """10 ** 9 different fingerprints are planned with few partitions and rows on the driver; few tiles don't make many partitions."""
+    weights = [math.comb(64, c) / 2**64 for c in range(65)]
+    parts = {c: -(-int(1e9 * w) // simhash.TILE) for c, w in enumerate(weights) if 1e9 * w >= 1}
+    spans, size, _ = tiles.grid(parts, 4, 126)
+    assert len(spans) < 3000 and tiles.partitions(spans, size, 1 << 15, 1000) <= 1 << 15
+    spans, size, _ = tiles.grid({c: 1 for c in range(12, 52)}, 4)
+    assert tiles.partitions(spans, size, 1 << 15, 8) == 32
+
+
 def test_simhash_over_many_tiles_with_clashing_columns(spark, monkeypatch):
     monkeypatch.setattr(simhash, "TILE", 20)
     monkeypatch.setattr(simhash, "SUB", 4)
