@@ -6,9 +6,10 @@ W consecutive K-grams, where K + W - 1 = WINDOW, so that every shared span of WI
 fingerprint. A shorter item is one window, and its fingerprint the hash of all its words.
 
 Documents are fingerprinted in one pass over their Arrow buffers. Most fingerprints that no item has are dropped there by
-a bit set of bounded size, which Spark builds from the items' fingerprints; the others carry the words around them. They
-are joined to the items' fingerprints by hash, a join of any size, and each pair is extended over the words of both sides,
-which also removes hash collisions.
+a bit set of bounded size, which Spark builds from the items' fingerprints. Each of the others is extended to the windows that
+keep it, and these are joined to the items' different windows, one row for each, by fingerprint and 128 bits of hashes of the
+window's words: a passage that n documents and m items share costs n + m rows for each of its windows, not n * m. Which items
+a document has is then read from the items of its windows, once for all documents with the same windows.
 
 Defined cases: a null or wordless text has no words and no hits; a null benchmark text has no windows; a null item id
 is left out; equal documents and repeated ids are reported row by row; an empty benchmark leaves all clean, no documents
@@ -21,7 +22,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,11 +33,10 @@ WINDOW, K = 10, 5
 W = WINDOW - K + 1
 #: Bits of the set that is sent to the executors: so many for each fingerprint, and at most MAX_BITS (16 MB). A larger benchmark fills the set more, so that it drops less; results don't depend on it.
 PRINT_BITS, MAX_BITS = 64, 1 << 27
-#: Copies of the items' fingerprints, so that documents which share one fingerprint are joined in several tasks.
-SALTS = 8
-
-_CAND = pa.struct([("h", pa.int64()), ("pos", pa.int64()), ("before", pa.int32()), ("kind", pa.int32()), ("words", pa.string())])
-_CAND_TYPE = T.ArrayType(T.StructType([T.StructField("h", T.LongType()), T.StructField("pos", T.LongType()), T.StructField("before", T.IntegerType()), T.StructField("kind", T.IntegerType()), T.StructField("words", T.StringType())]))
+_CAND = pa.struct([("h", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("pos", pa.int64()), ("kind", pa.int32())])
+_CAND_TYPE = T.ArrayType(T.StructType([T.StructField("h", T.LongType()), T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("pos", T.LongType()), T.StructField("kind", T.IntegerType())]))
+#: What tells a window: the fingerprint that it keeps, the hashes of its words, and their number if it is an item of fewer than WINDOW.
+KEY = ["h", "kind", "a", "b"]
 
 
 def _grams(words: np.ndarray, k: int, salt: int) -> np.ndarray:
@@ -52,30 +51,29 @@ def _grams(words: np.ndarray, k: int, salt: int) -> np.ndarray:
 
 
 def winnow(words: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and hashes of the K-grams that winnowing keeps; last: for each word, the end of its document."""
+    """Position of every window, and of the K-gram that winnowing keeps for it; last: for each word, the end of its document."""
     g = _grams(words, K, 0)
     n = len(g) - W + 1
     if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     least, at = g[:n].copy(), np.zeros(n, np.int64)
     for j in range(1, W):
         take = g[j : j + n] <= least
         least[take] = g[j : j + n][take]
         at[take] = j
-    inside = np.arange(n) + WINDOW <= last[:n]
-    kept = np.unique((np.arange(n) + at)[inside])
-    return kept, g[kept]
+    windows = np.flatnonzero(np.arange(n) + WINDOW <= last[:n])
+    return windows, windows + at[windows]
 
 
-def _fingerprints(data: np.ndarray, offsets: np.ndarray, short: list[int], bits: np.ndarray | None, whole_items: bool):
-    """Per piece of rows: words of each row, and (row, hash, position, words before, kind, words around) of kept fingerprints."""
+def _windows(data: np.ndarray, offsets: np.ndarray, short: list[int], bits: np.ndarray | None, whole_items: bool) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Words of each row of a piece, and row, h, a, b, position and kind of its windows whose fingerprints may be an item's."""
     starts, ends, first = textio.word_spans(data, offsets, textio.WORD_BYTES)
     counts = np.diff(first)
     words = textio.span_hashes(data, starts, ends)
-    last = np.repeat(first[1:], counts)
-    begin = np.repeat(first[:-1], counts)
+    last, begin = np.repeat(first[1:], counts), np.repeat(first[:-1], counts)
     found = []
     for kind in [0, *short]:
+        size = kind or WINDOW
         if kind:
             h = _grams(words, kind, kind)
             at = np.flatnonzero(np.arange(len(h)) + kind <= last[: len(h)])
@@ -83,27 +81,22 @@ def _fingerprints(data: np.ndarray, offsets: np.ndarray, short: list[int], bits:
                 at = at[(begin[at] == at) & (last[at] == at + kind)]
             h = h[at]
         else:
-            at, h = winnow(words, last)
+            at, kept = winnow(words, last)
+            h = _grams(words, K, 0)[kept] if len(at) else np.zeros(0, np.uint64)
         if bits is not None and len(h):
             slot = h >> np.uint64(64 - int(np.log2(len(bits) * 8)))
             keep = (bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 > 0
             at, h = at[keep], h[keep]
-        found.append((kind, at, h))
-    lowered = textio.ASCII_LOWER[data].tobytes() if any(len(at) for _, at, _ in found) else b""
-    rows = []
-    for kind, at, h in found:
-        lo = np.maximum(begin[at], at - (W - 1)) if not kind else at
-        hi = np.minimum(last[at], at + WINDOW) if not kind else at + kind
-        row = np.searchsorted(first, at, "right") - 1
-        for r, x, p, a, z in zip(row.tolist(), h.view(np.int64).tolist(), at.tolist(), lo.tolist(), hi.tolist(), strict=True):
-            text = b" ".join(lowered[starts[i] : ends[i]] for i in range(a, z)).decode()
-            rows.append((r, x, p - int(first[r]), p - a, kind, text))
-    rows.sort(key=lambda x: x[0])
-    return counts, rows
+        a, b = (_grams(words, size, salt)[at] if len(at) else h for salt in (101, 102))
+        found.append((at, h, a, b, np.full(len(at), kind, np.int32)))
+    at, h, a, b, kind = (np.concatenate([f[k] for f in found]) for k in range(5))
+    row = np.searchsorted(first, at, "right") - 1
+    order = np.argsort(row, kind="stable")
+    return counts, [x[order] for x in (row, h.view(np.int64), a.view(np.int64), b.view(np.int64), at - first[row], kind)]
 
 
 def _scan(df: DataFrame, text: str, keys: list[str], short: list[int], bits, whole_items: bool) -> DataFrame:
-    """keys, n_words and the kept fingerprints of each row."""
+    """keys, n_words and the windows of each row whose fingerprints may be an item's."""
     schema = df.select(*keys).schema.add("n_words", "long").add("cands", _CAND_TYPE)
     column = len(keys)
 
@@ -113,36 +106,14 @@ def _scan(df: DataFrame, text: str, keys: list[str], short: list[int], bits, who
             data, offsets = textio.utf8(batch.column(column))
             for i, j in textio.pieces(offsets):
                 o = offsets[i : j + 1]
-                counts, rows = _fingerprints(data[o[0] : o[-1]], o - o[0], short, shown, whole_items)
-                ends = np.zeros(j - i + 1, np.int32)
-                np.add.at(ends, np.array([r[0] for r in rows], np.int64) + 1, 1)
-                fields = [pa.array([r[k + 1] for r in rows], t.type) for k, t in enumerate(_CAND)]
-                cands = pa.ListArray.from_arrays(pa.array(np.cumsum(ends), pa.int32()), pa.StructArray.from_arrays(fields, fields=list(_CAND)))
+                counts, (row, *fields) = _windows(data[o[0] : o[-1]], o - o[0], short, shown, whole_items)
+                ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=j - i))])
+                cands = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(x, t.type) for x, t in zip(fields, _CAND, strict=True)], fields=list(_CAND)))
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(i, j - i) for k in range(column)), pa.array(counts, pa.int64()), cands], names=schema.names)
 
     return df.select(*keys, text).mapInArrow(run, schema)
 
 
-def _extend(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Grow each shared fingerprint to the longest equal run of words around it; keep runs with a whole window."""
-    for f in frames:
-        out = []
-        for row, pos, before, words, kind, item, item_before, item_words in f.itertuples(index=False, name=None):
-            a, b = words.split(" "), item_words.split(" ")
-            k = kind or K
-            if a[before : before + k] != b[item_before : item_before + k]:
-                continue
-            left = 0
-            while left < min(before, item_before) and a[before - left - 1] == b[item_before - left - 1]:
-                left += 1
-            right, x, y = 0, before + k, item_before + k
-            while x + right < len(a) and y + right < len(b) and a[x + right] == b[y + right]:
-                right += 1
-            if left + k + right >= (kind or WINDOW):
-                out.append((row, pos - left, pos + k + right, item))
-        yield pd.DataFrame(out, columns=["row_key", "lo", "hi", "item"]).astype({"row_key": "int64", "lo": "int64", "hi": "int64", "item": "str"})
-
-
 def bit_set(prints: DataFrame) -> np.ndarray:
     """Bytes of the set of the first bits of the fingerprints (column h); the driver gets its 32,768-bit pieces, MAX_BITS in all at most."""
     size = min(MAX_BITS, 1 << max(16, (PRINT_BITS * prints.count()).bit_length()))
@@ -155,40 +126,48 @@ def bit_set(prints: DataFrame) -> np.ndarray:
     return held
 
 
-def find_overlaps(docs: DataFrame, benchmark: DataFrame, *, keys: list[str], text: str = "text", item_id: str = "item_id", item_text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(rows, hits): rows has row_key, keys (a struct k0, k1, ...) and n_words of every document; hits has row_key, lo, hi (words) and item of each shared run."""
+def find_overlaps(docs: DataFrame, benchmark: DataFrame, *, keys: list[str], text: str = "text", item_id: str = "item_id", item_text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, hits, members): rows has row_key, keys (a struct k0, k1, ...) and n_words of every document; hits has row_key, lo, hi (words) and window of each item window in it; members has window and item."""
     spark = docs.sparkSession
     items = benchmark.select(F.col(textio.quoted(item_id)).cast("string").alias("item"), F.col(textio.quoted(item_text)).alias("item_text")).where("item is not null")
     lengths = _scan(items, "item_text", ["item"], [], None, True).where(f"n_words between 1 and {WINDOW - 1}").select("n_words").distinct()
     short = sorted(r[0] for r in lengths.collect())  # at most WINDOW - 1 values
-    prints = _scan(items, "item_text", ["item"], short, None, True).select("item", F.explode("cands").alias("c"))
-    prints = prints.select("item", F.col("c.h").alias("h"), F.col("c.before").alias("item_before"), F.col("c.kind").alias("kind"), F.col("c.words").alias("item_words"))
+    prints = _scan(items, "item_text", ["item"], short, None, True).select("item", F.explode("cands").alias("c")).select("item", *(f"c.{k}" for k in KEY))
     prints, _ = textio.save(prints.distinct(), "prints")
-    bits = spark.sparkContext.broadcast(bit_set(prints))
+    windows, _ = textio.save(prints.select(*KEY).distinct().withColumn("window", F.monotonically_increasing_id()), "windows")
+    members, _ = textio.save(prints.join(windows, KEY).select("window", "item"), "members")
+    bits = spark.sparkContext.broadcast(bit_set(windows.select("h").distinct()))
     kept = docs.select(F.struct(*(F.col(textio.quoted(k)).alias(f"k{i}") for i, k in enumerate(keys))).alias("keys"), F.col(textio.quoted(text)).alias("text"))
     rows, _ = textio.save(_scan(kept, "text", ["keys"], short, bits, False).withColumn("row_key", F.monotonically_increasing_id()), "rows")
-    near = rows.where(F.size("cands") > 0).select("row_key", F.explode("cands").alias("c"))
-    near = near.select("row_key", F.col("c.h").alias("h"), F.col("c.kind").alias("kind"), F.col("c.pos").alias("pos"), F.col("c.before").alias("before"), F.col("c.words").alias("words"), F.pmod("row_key", F.lit(SALTS)).alias("salt"))
-    salted = prints.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    pairs = near.join(salted, ["h", "kind", "salt"]).select("row_key", "pos", "before", "words", "kind", "item", "item_before", "item_words")
-    hits = pairs.mapInPandas(_extend, "row_key long, lo long, hi long, item string").distinct()
-    return rows.select("row_key", "keys", "n_words"), hits
+    near = rows.where(F.size("cands") > 0).select("row_key", F.explode("cands").alias("c")).select("row_key", *(f"c.{k}" for k in [*KEY, "pos"]))
+    # A window that very many documents have is a row here for each of them, and one row there: Spark splits such a key.
+    hi = F.col("pos") + F.when(F.col("kind") > 0, F.col("kind")).otherwise(F.lit(WINDOW))
+    hits = near.join(windows, KEY).select("row_key", F.col("pos").alias("lo"), hi.alias("hi"), "window")
+    return rows.select("row_key", "keys", "n_words"), hits, members
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, keys: list[str], text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """keys, n_words, n_hit, n_items, items_sha256 and contaminated of every row of docs."""
-    rows, hits = find_overlaps(docs, benchmark, keys=keys, text=text, item_id=item_id, item_text=item_text)
-    grouped = hits.groupBy("row_key").agg(F.array_sort(F.collect_set(F.struct("lo", "hi"))).alias("runs"), F.array_sort(F.collect_set("item")).alias("items"))
+    rows, hits, members = find_overlaps(docs, benchmark, keys=keys, text=text, item_id=item_id, item_text=item_text)
+    zero = F.lit(0).cast("long")
     covered = F.aggregate(
         "runs",
-        F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("total")),
-        lambda s, x: F.struct(F.greatest(s["end"], x["hi"]).alias("end"), (s["total"] + F.greatest(F.lit(0).cast("long"), x["hi"] - F.greatest(s["end"], x["lo"]))).alias("total")),
+        F.struct(zero.alias("end"), zero.alias("total")),
+        lambda s, x: F.struct(F.greatest(s["end"], x["hi"]).alias("end"), (s["total"] + F.greatest(zero, x["hi"] - F.greatest(s["end"], x["lo"]))).alias("total")),
         lambda s: s["total"],
     )
-    grouped = grouped.select("row_key", covered.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.array_join("items", ",").alias("listed"))
-    n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
-    return rows.join(grouped, "row_key", "left").select(
-        *(F.col(f"keys.k{i}").alias(k) for i, k in enumerate(keys)), "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"), F.sha2(F.coalesce("listed", F.lit("")).cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated")
+    # A document's windows, of which it has fewer than words.
+    grouped = hits.groupBy("row_key").agg(F.array_sort(F.collect_set(F.struct("lo", "hi"))).alias("runs"), F.array_sort(F.collect_set("window")).alias("windows"))
+    grouped = grouped.select("row_key", covered.alias("n_hit"), "windows", F.sha2(F.array_join("windows", ",").cast("binary"), 256).alias("held"))
+    grouped, _ = textio.save(grouped, "grouped")
+    # The items of each different set of windows.
+    sets = grouped.groupBy("held").agg(F.first("windows").alias("windows")).select("held", F.explode("windows").alias("window"))
+    items = sets.join(members, "window").groupBy("held").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    items, _ = textio.save(items.select("held", F.size("items").cast("long").alias("n_items"), F.array_join("items", ",").alias("listed")), "items")
+    found = grouped.select("row_key", "n_hit", "held").join(items, "held")
+    n_hit = F.coalesce("n_hit", zero)
+    return rows.join(found, "row_key", "left").select(
+        *(F.col(f"keys.k{i}").alias(k) for i, k in enumerate(keys)), "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", zero).alias("n_items"), F.sha2(F.coalesce("listed", F.lit("")).cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated")
     )
 
 

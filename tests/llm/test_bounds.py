@@ -1,5 +1,6 @@
 """Edge rows, hot groups, grids and names of columns of the decontamination, SimHash and KD-tree operators."""
 
+import hashlib
 import math
 import random
 import re
@@ -49,6 +50,18 @@ def test_decontamination_with_hot_passages_and_full_bit_sets(spark, monkeypatch,
     assert sorted((repr(r.doc_id), r.n_words, r.n_hit, r.n_items) for r in got.collect()) == want
 
 
+def test_shared_phrase_makes_no_pairs(spark):
+    """400 documents and 300 items that share one phrase of 13 words: a row for each document and window."""
+    phrase = " ".join(f"p{k}" for k in range(13))
+    docs = spark.createDataFrame([(k, f"d{k} {phrase} e{k}") for k in range(400)], "doc_id long, text string")
+    bench = spark.createDataFrame([(k, f"i{k} x{k} {phrase} y{k}") for k in range(300)], "item_id long, text string")
+    rows, hits, members = decontamination.find_overlaps(docs, bench, keys=["doc_id"])
+    assert (hits.count(), rows.count()) == (1600, 400) and members.count() == 300 * 7
+    got = decontamination.decontaminate(docs, bench, keys=["doc_id"]).collect()
+    listed = hashlib.sha256(",".join(sorted(str(k) for k in range(300))).encode()).hexdigest()
+    assert {(r.n_hit, r.n_items, r.items_sha256) for r in got} == {(13, 300, listed)}
+
+
 def test_bit_set_has_all_prints(spark):
     h = np.random.default_rng(0).integers(-(1 << 63), 1 << 63, 5000)
     held = decontamination.bit_set(spark.createDataFrame([(int(x),) for x in h], "h long"))
