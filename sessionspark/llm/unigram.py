@@ -7,17 +7,19 @@ candidate must be strictly better, so the longest piece wins; a character withou
 10 below the least piece. With byte fallback it counts as its bytes, else unknown characters that touch are one token.
 
 A vocabulary is a SentencePiece file's pieces and scores, or a tokenizers file (.json) of a Unigram model, with any scores.
-Spaces become U+2581 with one before the text. Texts are cut into words where that can't change a count: before each
-U+2581 if the file's Metaspace pre-tokenizer cuts there itself, or between words if all scores are whole numbers (their
-sums are exact) and no piece holds U+2581 after another character. Other texts run whole, so that sums of fractions are
-added up in the library's order.
+Spaces become U+2581 with one before the text. Texts are cut into words before each U+2581 if the file's Metaspace
+pre-tokenizer cuts there itself, or if no piece holds U+2581 after another character and no unknown run can go on over it: then
+every way through the text ends a piece there. Sums of whole numbers are exact, so a word's best way is the same at any place.
+Sums of fractions are rounded, and a word's best way could depend on what was added up before it; but only if two ways are
+nearer to each other than the rounding. So each word's MARGIN, the least lead that any best way in it has, is kept beside its
+count, and a text with a word whose lead is within the rounding of its sum is counted whole, in the library's order of addition.
 
 No public unigram file is at hand and tokenizers are not trained here: the query takes the SentencePiece file's pieces and
 scores as its vocabulary.
 
 Defined cases: a null or empty text has 0 tokens and score 0; repeated rows and null ids stay rows; a text that holds
-U+2581 itself isn't cut into words, and is by a pre-tokenizer; a very long text is counted whole, words of more than LONG
-bytes alone; an empty table gives an empty result; other columns, whatever their names, are not read.
+U+2581 itself isn't cut into words, and is by a pre-tokenizer; a very long text is counted whole, by its words, and words of
+more than LONG bytes one by one; an empty table gives an empty result; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -37,6 +39,8 @@ from . import textio
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
 LONG = 2048
+#: Leads under MARGIN times a text's sum may be rounding: ten thousand additions of 64-bit floats stay under it.
+MARGIN = 1e-12
 
 
 class Automaton:
@@ -78,8 +82,8 @@ class Automaton:
         self.longest = np.where(np.array(ends), np.arange(n), self.shorter).astype(np.int32)
         self.unknown = min(v for _, v in pieces) - UNKNOWN_PENALTY
 
-    def count(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Best score and piece count of each word."""
+    def count(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Best score and piece count of each word, and the least lead over a second best that the best has at any of its characters."""
         sizes = np.array([len(w) for w in words], np.int64)
         order = np.argsort(-sizes, kind="stable")
         data = np.frombuffer(b"".join(words), np.uint8)
@@ -87,6 +91,7 @@ class Automaton:
         sizes = sizes[order]
         cells = np.cumsum(sizes + 1) - (sizes + 1)  # a word's cell for the bytes before its first
         best, pieces = np.zeros(int((sizes + 1).sum())), np.zeros(int((sizes + 1).sum()), np.int64)
+        lead = np.full(len(words), np.inf)
         lost = np.zeros(len(best), bool)  # the best way's last piece is an unknown character
         state, begin = np.zeros(len(words), np.int32), np.zeros(len(words), np.int64)
         for t in range(int(sizes[0]) if len(sizes) else 0):
@@ -99,6 +104,7 @@ class Automaton:
             at = np.flatnonzero(last | ((after & 0xC0) != 0x80))  # ends of characters
             cell, lone = cells[at] + t + 1, t + 1 - begin[at]
             top, many = np.full(len(at), -np.inf), np.zeros(len(at), np.int64)
+            second = np.full(len(at), -np.inf)
             single = np.zeros(len(at), bool)
             out, here = self.longest[state[at]], np.arange(len(at))
             while True:
@@ -111,6 +117,7 @@ class Automaton:
                 source = cell[here] - length
                 value = best[source] + self.score[out]
                 better = value > top[here]
+                second[here] = np.maximum(second[here], np.minimum(value, top[here]))
                 top[here[better]] = value[better]
                 many[here[better]] = pieces[source[better]] + 1
                 single[here[length == lone[here]]] = True
@@ -120,13 +127,15 @@ class Automaton:
                 source = cell[u] - lone[u]
                 value = best[source] + self.unknown
                 better = value > top[u]
+                second[u] = np.maximum(second[u], np.minimum(value, top[u]))
                 top[u[better]] = value[better]
                 many[u[better]] = (pieces[source] + (lone[u] if self.byte_fallback else ~lost[source]))[better]
                 lost[cell[u[better]]] = True
             best[cell], pieces[cell] = top, many
-        score, n = np.zeros(len(words)), np.zeros(len(words), np.int64)
-        score[order], n[order] = best[cells + sizes], pieces[cells + sizes]
-        return score, n
+            lead[at] = np.minimum(lead[at], top - second)
+        score, n, least = np.zeros(len(words)), np.zeros(len(words), np.int64), np.zeros(len(words))
+        score[order], n[order], least[order] = best[cells + sizes], pieces[cells + sizes], lead
+        return score, n, least
 
     def count_long(self, word: bytes) -> tuple[float, int]:
         """The same for one long word, without arrays."""
@@ -182,13 +191,13 @@ class Counter:
     def __init__(self, model: str) -> None:
         self.split, self.pieces, byte_fallback = read_vocabulary(model)
         self.automaton = Automaton(self.pieces, byte_fallback)
-        whole = all(v == int(v) for _, v in self.pieces)
-        self.cuts = whole and byte_fallback and not any(SPACE in p.lstrip(SPACE) for p, _ in self.pieces)
+        self.whole = all(v == int(v) for _, v in self.pieces)
+        self.cuts = (byte_fallback or any(p == SPACE for p, _ in self.pieces)) and not any(SPACE in p.lstrip(SPACE) for p, _ in self.pieces)
         self._clear()
 
     def _clear(self) -> None:
         self.known: dict[str, int] = {}
-        self.score, self.n = np.zeros(0), np.zeros(0, np.int64)
+        self.score, self.n, self.lead = np.zeros(0), np.zeros(0, np.int64), np.zeros(0)
 
     def words(self, text: str) -> list[str]:
         """The words whose best pieces together are the text's."""
@@ -220,21 +229,27 @@ class Counter:
         new = list({w for w in flat if w not in self.known})
         if new:
             coded = [(w if w[0] == SPACE else SPACE + w).encode() for w in new]
-            score, n = np.zeros(len(new)), np.zeros(len(new), np.int64)
+            score, n, lead = np.zeros(len(new)), np.zeros(len(new), np.int64), np.zeros(len(new))
             short = [i for i, w in enumerate(coded) if len(w) <= LONG]
-            score[short], n[short] = self.automaton.count([coded[i] for i in short])
+            score[short], n[short], lead[short] = self.automaton.count([coded[i] for i in short])
             for i, w in enumerate(coded):
                 if len(w) > LONG:
                     score[i], n[i] = self.automaton.count_long(w)
             for k, w in enumerate(new, len(self.n)):
                 self.known[w] = k
-            self.score, self.n = np.concatenate([self.score, score]), np.concatenate([self.n, n])
+            self.score, self.n, self.lead = np.concatenate([self.score, score]), np.concatenate([self.n, n]), np.concatenate([self.lead, lead])
         at = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
         for w in new:  # long words aren't kept
             if len(w) > 64:
                 del self.known[w]
-        ends = np.cumsum([len(c) for c in cut])
-        return tuple(np.diff(np.concatenate(([0], np.cumsum(x[at])))[np.concatenate(([0], ends)).astype(np.int64)]) for x in (self.n, self.score))
+        ends = np.concatenate(([0], np.cumsum([len(c) for c in cut]))).astype(np.int64)
+        n, score = (np.diff(np.concatenate(([0], np.cumsum(x[at])))[ends]) for x in (self.n, self.score))
+        if not self.whole and not self.split:
+            some = np.flatnonzero(np.diff(ends) > 1)
+            least = np.minimum.reduceat(np.append(self.lead[at], np.inf), ends[some]) if len(some) else np.zeros(0)
+            for i in some[least <= MARGIN * (1 + np.abs(score[some]))].tolist():
+                score[i], n[i] = self.automaton.count_long((SPACE + texts[i].replace(" ", SPACE)).encode())
+        return n, score
 
 
 _counters: dict[str, Counter] = {}

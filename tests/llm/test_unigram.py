@@ -41,6 +41,38 @@ def test_counts_equal_the_library(tmp_path, fallback, cut):
         assert n.tolist() == [len(t.encode(x, add_special_tokens=False).ids) for x in texts]
 
 
+@pytest.mark.parametrize("fallback", [False, True])
+@pytest.mark.parametrize("scores", ["ties", "any"])
+def test_long_texts_of_fractional_scores_equal_the_library(tmp_path, monkeypatch, fallback, scores):
+    """Pieces hold U+2581 at their begin only, as real vocabularies' do; with scores that tie, sums differ by rounding alone."""
+    from tokenizers import Tokenizer, models, normalizers
+
+    whole = []
+    counted = unigram.Automaton.count_long
+    monkeypatch.setattr(unigram.Automaton, "count_long", lambda self, w: whole.append(w) or counted(self, w))
+    rng = random.Random(5)
+    pieces = {"<unk>": -9.75, S: -2.1, "a": -1.1, "b": -1.3, "é": -1.7}
+    if fallback:
+        pieces |= {f"<0x{b:02X}>": -8.0 - b / 64 for b in range(256)}
+    for n in range(2, 7):
+        for k in range(60):
+            w = "".join(rng.choice("abé") for _ in range(n - 1))
+            pieces[rng.choice([S, rng.choice("abé")]) + w] = -rng.choice([0.1, 0.2, 0.3, 0.7]) * n if scores == "ties" else -rng.uniform(1, 12)
+    t = Tokenizer(models.Unigram(list(pieces.items()), unk_id=0, byte_fallback=fallback))
+    t.normalizer = normalizers.Sequence([normalizers.Prepend(S), normalizers.Replace(" ", S)])
+    path = str(tmp_path / "v.json")
+    t.save(path)
+    counter = unigram.Counter(path)
+    assert counter.cuts and not counter.whole
+    word = lambda: "".join(rng.choice("aaabbé") for _ in range(rng.randint(1, 9))) + rng.choice(["", "", "z", "漢字"])
+    vocabulary = [word() for _ in range(300)]
+    texts = [rng.choice([" ", "", "  "]) + " ".join(rng.choice(vocabulary) + rng.choice(["", "", " "]) for _ in range(rng.choice([3, 40, 900, 4000]))) for _ in range(40)]
+    texts += ["a" * 3000 + " b", " ", "z z z", "é" * 2500]
+    n, score = counter.count(texts)
+    assert n.tolist() == [len(t.encode(x, add_special_tokens=False).ids) for x in texts] and max(map(len, texts)) > 10_000
+    assert scores == "ties" or len(whole) < 10  # the texts of one long word
+
+
 def test_scores_and_columns_of_a_table(spark, tmp_path):
     t, path = _library(tmp_path, 1, False, True)
     rows = [(1, "ab ba", "x", 7), (2, None, "y", 8), (2, "zz z", "z", 9)]
