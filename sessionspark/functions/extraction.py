@@ -84,8 +84,8 @@ def education(text: Column) -> Column:
 
 def job_spans(text: Column) -> Column:
     """The first five year ranges as `start - end`."""
-    a, b = (F.slice(F.regexp_extract_all(text, F.lit(SPAN), k), 1, 5) for k in (1, 2))
-    return F.zip_with(a, b, lambda x, y: F.concat(x, F.lit(" - "), y))
+    found = F.slice(F.regexp_extract_all(text, F.lit(SPAN), 0), 1, 5)
+    return F.transform(found, lambda m: F.concat(F.left(m, F.lit(4)), F.lit(" - "), F.regexp_replace(m, r"^\d{4}\s*[-–]\s*", "")))
 
 
 def experience_years(text: Column, as_of_year: int, most: float = 50.0) -> Column:

@@ -1,12 +1,13 @@
 """The session queries against DuckDB, and edge rows of single rules."""
 
+import random
 import datetime as dt
 
 import pytest
 from pyspark.sql import functions as F
 
 from sessionspark.functions import audio, extraction, geometry
-from sessionspark.operators import lifecycle, messages, quality, questions, strikes, turns
+from sessionspark.operators import lifecycle, messages, patterns, quality, questions, strikes, turns
 from sessionspark.plans import queries as plans
 from sessionspark.streaming import state
 
@@ -144,3 +145,17 @@ def test_disconnects_of_a_stream(spark, tmp_path):
 def test_rows_without_a_key(spark):
     rows = _reports(spark, [0.7, 0.8]).withColumn("interview_id", F.lit(None).cast("long"))
     assert state.run_batch(rows, "interview_id", state.strike_step(2), state.STRIKES).count() == 0
+
+
+def test_halves_of_a_long_session(spark):
+    """Early and late rates of the last 100 samples, past the first hundred too."""
+    rng = random.Random(9)
+    away = [int(rng.random() < (0.2 if k % 90 < 45 else 0.7)) for k in range(330)]
+    at = dt.datetime(2024, 1, 1)
+    rows = spark.createDataFrame([(k, 1, at + dt.timedelta(seconds=k), a) for k, a in enumerate(away)], "event_id long, session long, ts timestamp, away int")
+    got = {r.event_id: (r.early, r.late) for r in patterns.gaze_patterns(rows).collect()}
+    for k in range(330):
+        held = away[max(0, k - 99) : k + 1]
+        half = len(held) // 2
+        want = (sum(held[:half]) / half if half else None, sum(held[half:]) / (len(held) - half))
+        assert got[k][1] == pytest.approx(want[1]) and (got[k][0] is None if want[0] is None else got[k][0] == pytest.approx(want[0]))
