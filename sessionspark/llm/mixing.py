@@ -6,7 +6,7 @@ drawn words miss the target by half a block at most. The block quotas of all sou
 the output shards: each node gives its left half of shards a multivariate-hypergeometric draw of its own blocks, the
 right half the rest. A leaf's quotas are ranges of the permuted ranks, so the shards' blocks are disjoint within a pass.
 Blocks are shuffled inside a shard by a hash (column order_key). Shards are laid out by shard and order_key; one of more
-than RANGE_BLOCKS blocks is cut by ranges of order_key, so that no task holds a whole shard.
+than RANGE_WORDS words is cut by ranges of order_key, so that no task holds a whole shard.
 
 A block has BLOCK_WORDS words, fewer in a source of under LEAST_BLOCKS such blocks, and more where all sources together would
 have over MOST_BLOCKS: numpy draws hypergeometric numbers from populations below 10^9. Sources are a dimension that its user
@@ -40,8 +40,8 @@ from .running import before_buckets, bucket_bits, each_copy, top_bits
 #: Words of a block, blocks that a small source has at least, blocks of all sources at most (about), sources at most.
 BLOCK_WORDS, LEAST_BLOCKS, MOST_BLOCKS, MOST_SOURCES = 256, 512, 10**8, 10**5
 MAX_EPOCHS = 3
-#: Blocks of a shard that one task lays out, about.
-RANGE_BLOCKS = 1 << 14
+#: Words of a shard that one task lays out, about, whatever the blocks' size.
+RANGE_WORDS = 1 << 22
 
 
 def word_counts(docs: DataFrame, *, keys: list[str], text: str) -> DataFrame:
@@ -128,7 +128,7 @@ def mix(docs: DataFrame, *, keys: list[str], source: str = "source", text: str =
         raise ValueError(f"more than {MOST_SOURCES} sources")
     totals = sorted(((r[0], r[1]) for r in totals), key=lambda t: (t[0] is None, t[0] or ""))
     planned = [(r.source, *(int(x) for x in (r.src, r.source_size)), float(r.target), *(int(x) for x in (r.block_words, r.n_blocks, r.epochs, r.rest)), [int(x) for x in r.ends]) for r in plan(totals, n_shards, seed, weights).itertuples(index=False)]
-    n_ranges = max(1, -(-sum(r[8][-1] for r in planned) // (n_shards * RANGE_BLOCKS)))
+    n_ranges = max(1, -(-sum(r[8][-1] * r[4] for r in planned) // (n_shards * RANGE_WORDS)))
     sources = spark.createDataFrame(planned, "source string, src long, source_size long, target double, block_words long, n_blocks long, epochs long, rest long, ends array<long>")
     rows = rows.join(sources, F.col("_source").eqNullSafe(F.col("source")))
     some = rows.where("size > 0").withColumn("_bucket", top_bits(F.col("_hash"), bucket_bits(n_rows))).withColumn("_words", F.col("size") * F.col("copies"))

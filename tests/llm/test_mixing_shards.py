@@ -97,9 +97,9 @@ def test_block_sizes_grow_smoothly():
     assert words == sorted(words) and words[2:4] == [256, 256]
 
 
-@pytest.mark.parametrize("range_blocks", [1 << 14, 20])
-def test_shards_hold_their_quotas_in_shuffled_order(spark, docs, monkeypatch, range_blocks):
-    monkeypatch.setattr(mixing, "RANGE_BLOCKS", range_blocks)
+@pytest.mark.parametrize("range_words", [1 << 22, 200])
+def test_shards_hold_their_quotas_in_shuffled_order(spark, docs, monkeypatch, range_words):
+    monkeypatch.setattr(mixing, "RANGE_WORDS", range_words)
     rows, drawn = mixing.mix(docs, keys=["doc_id"], n_shards=5)
     pieces = mixing.laid_out(drawn).collect()
     totals = sorted(((r[0], r[1]) for r in rows.groupBy("source").agg(F.sum(F.col("size") * F.col("copies"))).collect()), key=lambda t: (t[0] is None, t[0] or ""))
@@ -115,7 +115,7 @@ def test_shards_hold_their_quotas_in_shuffled_order(spark, docs, monkeypatch, ra
         held = sorted((r for r in pieces if r.shard == shard), key=lambda r: r.place)
         assert [r.place for r in held] == list(range(len(held)))
         assert [(r.order_key, r.src, r.at) for r in held] == sorted((r.order_key, r.src, r.at) for r in held)
-    assert (max(r.range for r in pieces) > 0) == (range_blocks == 20)
+    assert (max(r.range for r in pieces) > 0) == (range_words == 200)
 
 
 def test_mixed_documents_are_written_in_the_shards_order(spark, docs):
