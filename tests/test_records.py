@@ -40,6 +40,33 @@ def test_uploads_that_are_refused(spark, tmp_path, name, size, error):
         documents.read_documents(spark, str(tmp_path)).collect()
 
 
+def test_many_files_are_dealt_to_folders_and_listed_by_tasks(spark, tmp_path):
+    """No file is named in the plan of the read, and a folder holds few of them."""
+    path = f"file://{tmp_path}/uploads"
+    rows = spark.range(0, 90).select(F.concat("id", F.lit(".txt")).alias("name"), F.when(F.col("id") % 9 > 0, F.concat(F.lit("é "), "id")).alias("text"))
+    documents.write_texts(rows, path, 10)
+    root = tmp_path / "uploads"
+    folders = [p for p in root.iterdir() if p.is_dir()]
+    assert len(folders) == 9 and max(len(list(p.iterdir())) for p in folders) < 40
+    (root / "_hidden").mkdir()
+    (root / "_hidden" / "x.exe").write_bytes(b"x")
+    (root / "last.TXT").write_bytes(b"last")
+    found = documents.read_documents(spark, path)
+    assert found.inputFiles() == []
+    got = {r.path.rsplit("/", 1)[1]: (r.suffix, r.n_bytes, r.raw_text) for r in found.collect()}
+    want = {f"{k}.txt": f"é {k}" if k % 9 else "" for k in range(90)} | {"last.TXT": "last"}
+    assert got == {k: ("txt", len(v.encode()), v) for k, v in want.items()}
+
+
+def test_file_pattern_and_missing_path(spark, tmp_path):
+    for k in range(3):
+        (tmp_path / f"a{k}.txt").write_text(str(k))
+    got = documents.read_documents(spark, f"{tmp_path}/a[01].txt").collect()
+    assert sorted((r.path, r.raw_text) for r in got) == [(f"file:{tmp_path}/a{k}.txt", str(k)) for k in range(2)]
+    with pytest.raises(FileNotFoundError):
+        documents.read_documents(spark, f"{tmp_path}/none")
+
+
 def test_links_of_a_page(spark):
     pages = spark.createDataFrame([(1, '<a href="https://github.com/x">a</a><a href="mailto:a@b.co">')], "page_id long, html string")
     rows = documents.hrefs(pages).select("href", "page", extraction.link_class(F.col("href")).alias("kind")).collect()
