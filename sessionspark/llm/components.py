@@ -43,8 +43,9 @@ def connected_components(links: DataFrame) -> DataFrame:
     """(node, label) of every node of links (u, v): label is the least node that can be reached.
 
     Neighbourhoods are never gathered: each step needs a node's least neighbour only, a partial aggregate that is joined
-    back. Each round is written to the shared folder and ends when the links no longer change. Batches of links are
-    contracted to stars on the way, which shortens long chains and so saves rounds.
+    back. Links go from a node to a lesser one (u > v) and are never turned round: a node's least neighbour is found from
+    its links to lesser ones, and every link then moves to that of its v. So a round has a row for each link. Each round is written to the shared folder and
+    ends when the links no longer change. Batches of links are contracted to stars on the way, which shortens long chains and so saves rounds.
     """
     spark = links.sparkSession
     pairs = links.where("u <> v").select("u", "v").mapInPandas(contracted, "u long, v long").distinct()
@@ -55,12 +56,10 @@ def connected_components(links: DataFrame) -> DataFrame:
         if now == mark or not now[0]:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label"))).groupBy("node").agg(F.min("label").alias("label"))
         mark = now
-        pair, back = F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v"))
-        both = edges.mapInPandas(contracted, "u long, v long").select(F.explode(F.array(pair, back)).alias("e")).select("e.u", "e.v")
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = edges.groupBy(F.col("u").alias("v")).agg(F.min("v").alias("m"))
+        large = edges.join(least, "v", "left").select("u", F.coalesce("m", "v").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v")))
-        new, new_path = save(small.distinct(), "links")
+        new, new_path = save(small.mapInPandas(contracted, "u long, v long").distinct(), "links")
         drop(spark, path)
         edges, path = new, new_path

@@ -63,6 +63,32 @@ def test_false_links_are_looked_through_again(spark, monkeypatch):
     assert [first.setdefault(labels[k], k) for k in range(len(texts))] == _groups(texts)
 
 
+def test_groups_are_looked_through_by_their_labels(spark, monkeypatch):
+    """After the true links only links between the labels are left, so a large group's candidates are not contracted three times."""
+    monkeypatch.setattr(jaccard, "RADIUS", 64)
+    monkeypatch.setattr(jaccard, "WIDE", 256)
+    calls, components = [], jaccard.connected_components
+
+    def counted(links):
+        calls.append({frozenset(r) for r in links.collect()})
+        return components(links)
+
+    monkeypatch.setattr(jaccard, "connected_components", counted)
+    words = [[f"w{base}x{k}" for k in range(60)] for base in range(3)]
+    texts = [" ".join([*words[base][:at], "y", *words[base][at + 1 :]]) for base in range(3) for at in range(2, 8)]
+    texts += [" ".join(words[0][:30] + words[1][30:])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = {r.doc_id: r.label for r in jaccard.group_similar(docs, keys=["doc_id"]).collect()}
+    first = {}
+    assert [first.setdefault(labels[k], k) for k in range(len(texts))] == _groups(texts)
+    assert len(calls) == 3
+    label = {x: x for link in calls[0] for x in link}
+    for _ in label:
+        for link in calls[0]:
+            label |= dict.fromkeys(link, min(label[x] for x in link))
+    assert all(label.get(x, x) == x for link in calls[1] | calls[2] for x in link)
+
+
 def test_recall_of_sketches_at_the_least_similarity():
     rng, found = np.random.default_rng(0), 0
     for _ in range(500):

@@ -104,6 +104,21 @@ def test_components(spark):
     assert got == {**dict.fromkeys(range(51), 0), 100: 100, 101: 100}
 
 
+def test_components_have_a_row_for_each_link_in_a_round(spark, monkeypatch):
+    """Links are not turned round: a large star, in many batches, makes no more rows than it has links."""
+    made, save = [], components.save
+
+    def kept(df, name):
+        made.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return save(df, name)
+
+    monkeypatch.setattr(components, "save", kept)
+    links = spark.range(1, 300, 1, 8).select(F.col("id").alias("u"), (F.col("id") % 2 * 1000).alias("v")).unionByName(spark.createDataFrame([(0, 1000), (2000, 2001)], "u long, v long"))
+    got = {r.node: r.label for r in components.connected_components(links).collect()}
+    assert got == {k: 0 for k in [*range(300), 1000]} | {2000: 2000, 2001: 2000}
+    assert len(made) > 1 and not any("Generate" in plan for plan in made)
+
+
 def test_targets_reshare():
     assert mixing.targets([1, 100, 100], [1, 2, 3]) == pytest.approx([3, 198 * 2 / 5, 198 * 3 / 5])
 
