@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import io
 import zipfile
+from collections.abc import Iterator
 from xml.sax.saxutils import escape
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -81,8 +82,8 @@ def event_records(spark, d):
     return rows.select(F.col("event_id").alias("id"), "event_type", F.round("confidence", 6).alias("confidence"), "details", struck.alias("resulted_in_strike"), F.when(struck, F.col("strike_number")).alias("strike_number"), lifecycle.iso(F.col("ts")).alias("timestamp"))
 
 
-@F.pandas_udf(T.BinaryType())
-def _as_docx(texts: pd.Series) -> pd.Series:
+@F.arrow_udf(T.BinaryType())
+def _as_docx(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """Texts as docx files, a paragraph for each line."""
 
     def one(text: str) -> bytes:
@@ -92,7 +93,8 @@ def _as_docx(texts: pd.Series) -> pd.Series:
             z.writestr("word/document.xml", f'<w:document xmlns:w="{documents.WORD}"><w:body>{body}</w:body></w:document>')
         return out.getvalue()
 
-    return texts.map(one, na_action="ignore")
+    for column in texts:
+        yield from documents.by_pieces(column, one, pa.binary())
 
 
 @query("select doc_id, case when doc_id % 2 = 0 and not regexp_matches(text, '[\\x00-\\x08\\x0B-\\x1F]') then 'docx' else 'txt' end as suffix, length(text)::bigint as n_chars, md5(text) as digest from documents")

@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
+import pyarrow as pa
 from pyarrow.fs import FileSelector, FileSystem, FileType, LocalFileSystem
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,12 +22,21 @@ from pyspark.sql import types as T
 MAX_BYTES = 10 * 1024 * 1024
 #: Files of a folder that write_texts makes, about; files and bytes that a reading task holds, about.
 FOLDER_FILES, BATCH_FILES, BATCH_BYTES = 1000, 500, 1 << 22
+#: Values of an Arrow column that are Python objects at once, and their bytes, about.
+PIECE_VALUES, PIECE_BYTES = 256, 1 << 20
 # Fixed value: the name space of docx texts.
 WORD = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
 
 
-@F.pandas_udf(T.StringType())
-def docx_text(content: pd.Series) -> pd.Series:
+def by_pieces(column: pa.Array, one: Callable, kind: pa.DataType) -> Iterator[pa.Array]:
+    """one(value) of every value (null of null), some values at a time: whatever the batch holds, few are Python objects at once."""
+    step = max(1, min(PIECE_VALUES, PIECE_BYTES * len(column) // max(column.nbytes, 1)))
+    for k in range(0, len(column), step):
+        yield pa.array([None if v is None else one(v) for v in column.slice(k, step).to_pylist()], kind)
+
+
+@F.arrow_udf(T.StringType())
+def docx_text(content: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """Paragraphs of a docx file, joined by line feeds."""
 
     def one(raw: bytes) -> str:
@@ -34,7 +44,8 @@ def docx_text(content: pd.Series) -> pd.Series:
             root = ElementTree.fromstring(z.read("word/document.xml"))
         return "\n".join("".join(t.text or "" for t in p.iter(f"{{{WORD}}}t")) for p in root.iter(f"{{{WORD}}}p"))
 
-    return content.map(one, na_action="ignore")
+    for column in content:
+        yield from by_pieces(column, one, pa.string())
 
 
 def document_text(suffix: Column, content: Column, pdf_text: Callable[[Column], Column] | None = None) -> Column:

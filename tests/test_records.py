@@ -58,6 +58,20 @@ def test_many_files_are_dealt_to_folders_and_listed_by_tasks(spark, tmp_path):
     assert got == {k: ("txt", len(v.encode()), v) for k, v in want.items()}
 
 
+def test_docx_columns_are_read_some_values_at_a_time(spark):
+    import pyarrow as pa
+
+    seen = []
+    column = pa.array([None if k % 5 == 0 else "x" * k for k in range(2000)])
+    got = list(documents.by_pieces(column, lambda v: seen.append(v) or len(v), pa.int64()))
+    assert max(map(len, got)) <= documents.PIECE_VALUES and len(got) > 7
+    assert [v for c in got for v in c.to_pylist()] == [None if k % 5 == 0 else k for k in range(2000)]
+    assert list(documents.by_pieces(pa.array([], pa.string()), len, pa.int64())) == []
+    texts = [f"a{k}\nb" for k in range(700)]
+    rows = spark.createDataFrame([(k, _docx(*t.split("\n")) if k % 3 else None) for k, t in enumerate(texts)], "id int, c binary").coalesce(1)
+    assert {r.id: r.t for r in rows.select("id", documents.docx_text("c").alias("t")).collect()} == {k: t if k % 3 else None for k, t in enumerate(texts)}
+
+
 def test_file_pattern_and_missing_path(spark, tmp_path):
     for k in range(3):
         (tmp_path / f"a{k}.txt").write_text(str(k))
